@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, media, mixing, pii, secrets, tokens, toxicity
+from . import html_text, jaccard, media, mixing, pii, secrets, tokens, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -46,5 +50,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op5_personal_data, op6_media_columns, op7_html_extraction, op8_toxicity, op10_mix)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_token_counts, op4_jaccard_join, op5_personal_data, op6_media_columns, op7_html_extraction, op8_toxicity, op10_mix)}
 ORACLES: dict[str, str] = {}
