@@ -243,6 +243,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: that whose id is the component's. Rows of null id stay."""
+    """``docs`` with one document of each component: that whose id is the component's. Of repeated ids one row stays; rows of null id stay all."""
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

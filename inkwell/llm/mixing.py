@@ -56,7 +56,7 @@ def sainte_lague(df: DataFrame, group: list[str], key: Column, votes: str, seats
     return x.join(won, same, "left").withColumn(out, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop(*drop)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, size, source_size, target, taken): how many of each document's words the mix takes.
 
     Each source's target is cut into blocks of equal numbers of words; Sainte-Laguë gives whole blocks to sources and
@@ -64,11 +64,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     and then the first blocks of one more. The last block may end within a document.
 
     Null text has size 0 and takes nothing; a null source is a source of its own, the last. Repeated rows count as so
-    many documents. Other columns are not read; an empty table, or one without words, gives 0 for all.
+    many documents. Of other columns those in ``keep`` are
+    carried along, the others not read; an empty table, or one without words, gives 0 for all.
     """
     at = Scratch(docs.sparkSession, "mixing")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = at.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), h.alias("h")), "sized")
+    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    sized = at.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), h.alias("h"), *kept), "sized")
     sources = at.put(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "source_size", "number", "target"), "sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     block, shards = max(1, -(-total // BLOCKS)), max(1, -(-total // SHARD_WORDS))
@@ -84,4 +86,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("shard_size") > 0, F.expr("quota div shard_size")).otherwise(F.lit(0))
     over = F.when(F.col("shard_size") > 0, F.col("quota") - whole * F.col("shard_size")).otherwise(F.lit(0))
     taken = (whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), over - F.col("before")))).cast("long")
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])

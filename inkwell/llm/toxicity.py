@@ -184,3 +184,18 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, score double")
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay as they are."""
+    spark = docs.sparkSession
+    ship(spark)
+    handle = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*handle.value)
+        for b in batches:
+            yield b.filter(pa.array([m.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
