@@ -15,6 +15,7 @@ from .shingles import mix
 
 LENGTH = 200  # bytes of a string that must not repeat
 ANCHOR = 64  # bytes of the strings that are ranked first
+STEP = 16  # windows in a block of round 3
 PIECE = 1 << 19  # bytes ranked at once; positions in a piece fit into _POS bits
 _POS = np.uint64(20)
 _LOW = np.uint64((1 << 20) - 1)
@@ -31,15 +32,17 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return t
 
 
-def ranks(x: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the ANCHOR bytes and of the ``length`` bytes from each place on, by doubling: a rank of 2n bytes comes from two of n."""
-    h, n, anchor = _FIRST[x], 1, None
-    while 2 * n <= length:
-        if n == ANCHOR:
-            anchor = h
-        h, n = _pair(h[:-n], h[n:]), 2 * n
-    anchor = h if n == ANCHOR else anchor
-    return anchor, _pair(h[: len(h) - (length - n)], h[length - n :]) if n < length else h
+def ranks(x: np.ndarray, *lengths: int) -> list[np.ndarray]:
+    """Ranks of the strings of each length from each place on, by doubling: the rank of 2n bytes is that of two of n.
+
+    Other lengths take two strings that overlap. Lengths ascend.
+    """
+    h, n, out = _FIRST[x], 1, []
+    for length in lengths:
+        while 2 * n <= length:
+            h, n = _pair(h[:-n], h[n:]), 2 * n
+        out.append(_pair(h[: len(h) - (length - n)], h[length - n :]) if n < length else h)
+    return out
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -58,7 +61,7 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sampled positions: (text, first window, number of windows less one, rank of the anchor, rank of the whole stretch).
+    """Sampled positions: (text, first window, windows less one, distance from there to the anchor, its rank, rank of the whole stretch).
 
     Each window of ``length`` bytes has as anchor the least-ranked of the ANCHOR-byte strings in it, the first of
     equals. It hangs on the window's bytes alone, so equal windows have equal anchors at equal distances. Windows in a
@@ -69,7 +72,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
         x = np.frombuffer(b"".join(y for _, _, y in part), np.uint8)
         size = np.array([len(y) for _, _, y in part])
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        anchor, whole = ranks(x, length)
+        anchor, whole = ranks(x, ANCHOR, length)
         m = (anchor >> _POS << _POS) | np.arange(len(anchor), dtype=np.uint64)
         n = 1
         while 2 * n <= width:
@@ -88,7 +91,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
         owner = np.searchsorted(begin, cut, "right") - 1
         number, offset = np.array([i for i, _, _ in part]), np.array([s for _, s, _ in part])
         shape = ((last - cut) * 1024 + (a - cut)).astype(np.uint64)
-        yield number[owner], cut - begin[owner] + offset[owner], last - cut, anchor[a], _pair(_pair(whole[cut], whole[last]), shape)
+        yield number[owner], cut - begin[owner] + offset[owner], last - cut, a - cut, anchor[a], _pair(_pair(whole[cut], whole[last]), shape)
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -109,46 +112,122 @@ def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.k") == F.col(f"{b}.k"))
 
 
+def _take(b: pa.RecordBatch, names: str, rows: np.ndarray) -> list[pa.Array]:
+    rows = pa.array(rows)
+    return [b.column(b.schema.names.index(c)).take(rows) for c in names.split()]
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
+
+
+def blocks_of(slices: list[bytes], at: np.ndarray, far: np.ndarray, near: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The windows of each stretch in blocks of STEP by their distance to the anchor: (stretch, block, core, whole, bounded, farthest, nearest).
+
+    ``at`` is the anchor's place in its slice of the text; the windows begin ``far`` to ``near`` bytes before it. core
+    ranks the bytes that all windows of the full block share: where it is unique, none of them repeats. whole ranks all
+    bytes of the full block: where it repeats, all of them do; it is there only where the slice bounds the block.
+    """
+    x = np.frombuffer(b"".join(slices) + bytes(2 * length), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(y) for y in slices])[:-1]])
+    size = np.array([len(y) for y in slices])
+    core, whole = ranks(x, length - STEP + 1, length)
+    first, last = near // STEP, far // STEP
+    i = np.repeat(np.arange(len(slices)), last - first + 1)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[i]
+    p = at[i] - STEP * j  # the block's nearest window
+    inside = (p - STEP + 1 >= 0) & (p + length <= size[i])
+    q = begin[i] + p
+    return i, j, core[q], _pair(whole[np.where(inside, q - STEP + 1, 0)], whole[np.where(inside, q, 0)]), inside, np.minimum(STEP * j + STEP - 1, far[i]), np.maximum(STEP * j, near[i])
+
+
 def repeated_stretches(docs: DataFrame, at: Scratch, length: int = LENGTH) -> DataFrame:
     """Rows (id, k, lo, hi): windows from lo to hi, all of which repeat somewhere else.
 
-    Round 1 ranks sampled positions by ANCHOR bytes; those whose rank is unique are done. Round 2 ranks the stretches of
-    the rest by all of their bytes; a stretch that another equals repeats throughout, and one of the equals stands for
-    all from here on. Round 3 ranks single windows by ``length`` bytes, only where stretches of one anchor differ.
+    Each round ranks longer strings of the positions that are left, sorts them by rank, and lets go of those whose rank
+    is unique. Round 1 takes sampled positions and ANCHOR bytes; round 2 their stretches of windows; round 3 blocks of
+    STEP windows where stretches of one anchor differ; round 4 single windows of ``length`` bytes where blocks with the
+    same core differ. What equals another as a whole is done with at once; one of the equals stands for all from there on.
     """
+    place = "id long, k long, lo long"
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(2)]
-            for i, lo, more, v, c in anchors(texts, length):
-                i = pa.array(i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column(1).take(i), pa.array(lo), pa.array(more.astype(np.int16)), pa.array(v.view(np.int64)), pa.array(c.view(np.int64))], names=["id", "k", "lo", "more", "v", "c"])
+            for i, lo, more, off, v, c in anchors(texts, length):
+                yield pa.RecordBatch.from_arrays([*_take(b, "id k", i), *_longs(lo), pa.array(more.astype(np.int16)), pa.array(off.astype(np.int16)), *_longs(v, c)], names=["id", "k", "lo", "more", "off", "v", "c"])
 
-    sampled = at.put(docs.mapInArrow(sample, "id long, k long, lo long, more smallint, v long, c long"), "sampled")
+    sampled = at.put(docs.mapInArrow(sample, f"{place}, more smallint, off smallint, v long, c long"), "sampled")
     again = sampled.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
     alive = at.put(sampled.join(again, "v"), "alive")
     at.drop("sampled")
-    stretches = at.put(alive.groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "lo")).alias("first")), "stretches")
-    differ = stretches.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("v")
-    whole = alive.join(stretches.where("n > 1").select("v", "c"), ["v", "c"], "left_semi").select("id", "k", "lo", (F.col("lo") + F.col("more")).alias("hi"))
-    open_ = alive.join(stretches.join(differ, "v", "left_semi"), ["v", "c"]).where((F.col("n") == 1) | ((F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.k") == F.col("k")) & (F.col("first.lo") == F.col("lo"))))
-    open_ = open_.groupBy("id", "k").agg(F.collect_list(F.struct("lo", "more", "v")).alias("spans"))
+    whole, open_ = _equals(alive, ["v"], "c", at, "stretches")
+    whole = at.put(whole.select("id", "k", "lo", (F.col("lo") + F.col("more")).alias("hi")), "done-2")
+    open_ = open_.groupBy("id", "k").agg(F.collect_list(F.struct("lo", "more", "off", "v")).alias("spans"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, (body, spans) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                body = body.as_py()
-                for s in spans.as_py():
-                    _, name = ranks(np.frombuffer(body[s["lo"] : s["lo"] + s["more"] + length], np.uint8), length)
-                    n = len(name)
-                    one = lambda c: b.column(c).take(pa.array(np.full(n, i)))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([one(0), one(1), pa.array(np.arange(s["lo"], s["lo"] + n)), pa.array(np.full(n, s["v"])), pa.array(name.view(np.int64))], names=["id", "k", "p", "v", "w"])
+            for row in range(b.num_rows):
+                body, spans = b.column(2)[row].as_py(), b.column(3)[row].values
+                lo, more, off, v = (np.asarray(spans.field(c)) for c in ("lo", "more", "off", "v"))
+                lo, more, off = lo.astype(np.int64), more.astype(np.int64), off.astype(np.int64)
+                begin = np.maximum(lo + off - (off // STEP + 1) * STEP, 0)
+                slices = [body[s:e] for s, e in zip(begin.tolist(), (lo + off + length).tolist(), strict=True)]
+                n = np.full(len(lo), row)
+                yield pa.RecordBatch.from_arrays([*_take(b, "id k", n), *_longs(lo, lo + off - begin, off, off - more), *_longs(v), pa.array(slices, pa.binary())], names=["id", "k", "lo", "at", "far", "near", "v", "bytes"])
 
     joined = docs.alias("d").join(open_.alias("o"), _same("d", "o")).select("d.id", "d.k", "d.body", "o.spans")
-    single = at.put(joined.mapInArrow(windows, "id long, k long, p long, v long, w long"), "windows")
+    slices = at.put(joined.mapInArrow(cut, f"{place}, at long, far long, near long, v long, bytes binary"), "slices")
+    at.drop("alive", "stretches")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 2_000):
+                r = b.slice(s, 2_000)
+                i, j, core, all_, inside, far, near = blocks_of(r.column(6).to_pylist(), *(np.asarray(r.column(c)) for c in (3, 4, 5)), length)
+                # a block that the text does not bound equals no other as a whole
+                alone = mix(np.arange(len(i), dtype=np.uint64) + mix(np.asarray(r.column(2)).view(np.uint64)[i] + np.asarray(r.column(1)).view(np.uint64)[i]))
+                yield pa.RecordBatch.from_arrays([*_take(r, "id k lo", i), *_longs(j, core, np.where(inside, all_, alone), far, near), *_take(r, "v", i)], names=["id", "k", "lo", "j", "core", "c", "far", "near", "v"])
+
+    blocks = slices.select("id", "k", "lo", "at", "far", "near", "bytes", "v").mapInArrow(split, f"{place}, j long, core long, c long, far long, near long, v long")
+    blocks = at.put(blocks, "blocks")
+    whole3, open_ = _equals(blocks, ["v", "j", "core"], "c", at, "cores")
+    anchor = slices.select(F.col("id").alias("i2"), F.col("k").alias("k2"), F.col("lo").alias("lo2"), "at", F.col("far").alias("off"), "bytes")
+    here = F.col("id").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")) & (F.col("lo") == F.col("lo2"))
+    # places of blocks: the stretch's first window is ``off`` before its anchor
+    offsets = slices.select(F.col("id").alias("i2"), F.col("k").alias("k2"), F.col("lo").alias("lo2"), F.col("far").alias("off"))
+    done3 = whole3.join(offsets, here).select("id", "k", (F.col("lo") + F.col("off") - F.col("far")).alias("lo"), (F.col("lo") + F.col("off") - F.col("near")).alias("hi"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 2_000):
+                r = b.slice(s, 2_000)
+                lo, off, spot, far, near = (np.asarray(r.column(c)) for c in range(2, 7))
+                n = far - near + 1
+                parts = [y[p : p + m + length - 1] for y, p, m in zip(r.column(8).to_pylist(), (spot - far).tolist(), n.tolist(), strict=True)]
+                (name,) = ranks(np.frombuffer(b"".join(parts), np.uint8), length)
+                begin = np.cumsum(n + length - 1) - (n + length - 1)
+                i = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.RecordBatch.from_arrays([*_take(r, "id k", i), *_longs(lo[i] + off[i] - far[i] + step), *_take(r, "v", i), *_longs(name[begin[i] + step])], names=["id", "k", "p", "v", "w"])
+
+    single = open_.join(anchor, here).select("id", "k", "lo", "off", "at", "far", "near", "v", "bytes").mapInArrow(windows, "id long, k long, p long, v long, w long")
+    single = at.put(single, "windows")
     twice = single.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "w")
-    part = single.join(twice, ["v", "w"]).select("id", "k", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    return whole.unionByName(part)
+    done4 = single.join(twice, ["v", "w"]).select("id", "k", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    return whole.unionByName(done3).unionByName(done4)
+
+
+def _equals(rows: DataFrame, group: list[str], rank: str, at: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows whose group holds others: those that equal another by ``rank``, and those to look at more closely.
+
+    The latter are in groups of more than one rank: each row that equals no other, and the first of those that do.
+    """
+    kinds = at.put(rows.groupBy(*group, rank).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "lo")).alias("first")), name)
+    differ = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(*group)
+    equal = rows.join(kinds.where("n > 1").select(*group, rank), [*group, rank], "left_semi")
+    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.k") == F.col("k")) & (F.col("first.lo") == F.col("lo"))
+    return equal, rows.join(kinds.join(differ, group, "left_semi"), [*group, rank]).where((F.col("n") == 1) | first)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -165,7 +244,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = Scratch(spark, "suffix")
     docs = _key(docs, id_col, text_col)
     spans = at.put(repeated_stretches(docs, at, length).groupBy("id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    at.drop("alive", "stretches", "windows")
+    at.drop("slices", "blocks", "cores", "windows", "done-2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
