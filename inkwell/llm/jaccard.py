@@ -16,6 +16,7 @@ from .shingles import batches_of, mix, shingle_sets
 SIZE = 5  # words in a shingle
 NUM, DEN = 4, 5  # the similarity, as a fraction
 COLUMNS = 256  # of the token-group matrix: tokens fall into them by hash
+LARGE = 8  # members from which on the union of a group's tokens is looked at before it is opened
 HEAVY = 1 << 16  # bound on the frequent tokens that are sent to all tasks
 LOCAL = 6  # documents of a batch that must hold a token for it to be counted as frequent
 
@@ -167,6 +168,30 @@ def group_rows(sets: DataFrame) -> DataFrame:
     return sets.select("root", "n", "profile").mapInArrow(part, schema).repartition("root").sortWithinPartitions("root").mapInArrow(whole, schema)
 
 
+def tokens_of(texts: DataFrame, key: str) -> DataFrame:
+    """Rows (key, token): the tokens of each text, once for a key and batch; ``texts`` has (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            for first, part in batches_of(b.column(1)):
+                sets: dict[int, list[np.ndarray]] = {}
+                for i, s in enumerate(shingle_sets(part, SIZE), first):
+                    sets.setdefault(keys[i], []).append(s)
+                for k, found in sets.items():
+                    token = np.unique(np.concatenate(found))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), k, np.int64)), pa.array(token.view(np.int64))], names=[key, "token"])
+
+    return texts.select(key, "text").mapInArrow(run, f"{key} long, token long")
+
+
+def reaching(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (id, n, home) with how many of the document's tokens the union of the group's (members: home, text) holds."""
+    union = tokens_of(members, "home").distinct()
+    own = tokens_of(texts.join(pairs.select("id").distinct(), "id", "left_semi"), "id")
+    return pairs.join(own, "id").join(union, ["home", "token"]).groupBy("id", "n", "home").agg(F.count(F.lit(1)).alias("held"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) per document; sets of word shingles link from a similarity of 0.8 on.
 
@@ -174,8 +199,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     2. Documents are tied to the smallest document with which they share the most prefix tokens, where both link: the
        similar ones form groups.
     3. The matrix holds each group's columns. A document meets the other groups that share a prefix token with it, and
-       only where sizes and matrix row leave room for a link.
-    4. Those groups are compared by their first document, then opened where that didn't join them.
+       only where sizes, the token's places and the matrix row leave room for a link.
+    4. Those groups are compared by two of their documents, then opened where that didn't join them; large ones only if
+       the union of their tokens holds enough of the document's.
     Links within one component are not looked for, as they change nothing.
 
     Null and empty texts have no shingles and link with nothing, one another included. Rows with a null id come back
@@ -192,7 +218,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     # tokens that two documents share in their prefixes; of the smaller one it stands among the first
     reps = shown.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("early", F.expr("pos <= n - ceil(8 * n / 9)")).drop("pos")
+    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("early", F.expr("pos <= n - ceil(8 * n / 9)"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lead"), F.max("early").alias("any_early")).where("df > 1 and any_early").select("token", "lead")
     shared = at.put(tokens.join(counts, "token"), "shared")
 
@@ -217,22 +243,31 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = grouped("groups")
 
     # documents that meet other groups in a token
-    met = shared.select("token", "id", "n", "early").join(roots, "id")
+    met = shared.select("token", "id", "n", "pos", "early").join(roots, "id")
     mixed = met.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("token")
     met = at.put(met.join(mixed, "token"), "met")
-    homes = met.where("early").groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("root", "home")
-    reach = met.join(homes, "token").where(f"root <> home and lo <= n and hi * {DEN} >= n * {NUM}").groupBy("id", "n", "home").agg(F.count(F.lit(1)).alias("c"))
+    homes = met.where("early").groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room")).withColumnRenamed("root", "home")
+    # what two sets share begins with a token of both prefixes: no more can follow than stands from there on in either
+    fits = f"least(n - pos, room) * {NUM + DEN} >= {NUM} * (n + greatest(lo, ceil({NUM} * n / {DEN})))"
+    reach = met.join(homes, "token").where(f"root <> home and lo <= n and hi * {DEN} >= n * {NUM} and {fits}").groupBy("id", "n", "home").agg(F.count(F.lit(1)).alias("c"))
     matrix = group_rows(rows.join(roots, "id").join(met.select("root").distinct(), "root", "left_semi"))
     reach = reach.join(rows.select("id", "profile"), "id").join(matrix.withColumnRenamed("root", "home"), "home")
     reach = at.put(promising(reach, ("n", "profile"), ("least", "matrix"), True).select("id", "n", "home"), "reach")
 
-    # by the group's first document, then by all of its members
-    first = linked(with_rows(reach.select(F.col("id").alias("a"), F.col("home").alias("b"))), texts)
+    # by the group's first document and that with the fewest tokens of its own, then by all of its members
+    own = met.groupBy("id", "root").agg(F.min(F.col("pos") / F.col("n")).alias("own")).groupBy(F.col("root").alias("home")).agg(F.min_by("id", F.struct("own", "id")).alias("b"))
+    leaders = reach.select(F.col("id").alias("a"), F.col("home").alias("b")).unionByName(reach.join(own, "home").select(F.col("id").alias("a"), "b")).distinct()
+    first = linked(with_rows(leaders), texts)
     edges = at.put(edges.unionByName(first), "edges-1")
     now = grouped("first")
-    still = reach.join(now.select("id", F.col("root").alias("ra")), "id").join(now.select(F.col("id").alias("home"), F.col("root").alias("rb")), "home").where("ra <> rb")
+    still = reach.join(now.select("id", F.col("root").alias("ra")), "id").join(now.select(F.col("id").alias("home"), F.col("root").alias("rb")), "home").where("ra <> rb").select("id", "n", "home")
+    still = at.put(still, "still")
+    large = roots.join(still.select(F.col("home").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("root").alias("home")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select("home")
+    large = at.put(large, "large")
+    inside = roots.withColumnRenamed("root", "home").join(large, "home").join(texts, "id")
+    still = still.join(large, "home", "left_anti").select("id", "n", "home", F.col("n").alias("held")).unionByName(reaching(still.join(large, "home", "left_semi"), inside, texts))
     members = roots.join(rows.select("id", F.col("n").alias("m")), "id").select(F.col("id").alias("b"), F.col("root").alias("home"), "m")
-    opened = still.join(members, "home").where(f"id <> b and m <= n and m * {DEN} >= n * {NUM} and b <> home").select(F.col("id").alias("a"), "b")
+    opened = still.join(members, "home").where(f"id <> b and m <= n and m * {DEN} >= n * {NUM} and b <> home and {NUM} * (n + m) <= {NUM + DEN} * held").select(F.col("id").alias("a"), "b")
     edges = at.put(edges.unionByName(linked(with_rows(opened), texts)), "edges-2")
     final = grouped("final")
 
