@@ -21,6 +21,11 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(normalize(text), "([.!?]) ", "$1\u0001"), "\u0001")
 
 
+def line_key(text: Column) -> Column:
+    """A line with spaces and tabs as one space, none at the ends, and # for each number: equal for lines that differ in page numbers only."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"[ \t]+", " ")), "[0-9]+", "#")
+
+
 def stem(word: Column) -> Column:
     return F.regexp_replace(word, f"^(.{{4,}}?)({'|'.join(SUFFIXES)})$", "$1")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evidence, grading, retrieval, session
 from ..sources.tables import table
+from . import review_queries
 
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 SENTENCES = rf"string_split(regexp_replace({NORM}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
@@ -57,7 +58,7 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return retrieval.dense(e.where("vec_id < 5").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id")
+    return retrieval.dense(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id")
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -71,13 +72,13 @@ def dense_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    hits = _dense(spark, d).where("q_id < 2")
+    hits = _dense(spark, d)
     fused = retrieval.reciprocal_rank_fusion(retrieval.top_k(hits, "q_id", "vec_id", "score", 40).withColumn("question", F.lit(1)), "question", "vec_id")
     return retrieval.top_k(fused, "question", "vec_id", "rrf", 60)
 
 
 def multiquery_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d).where("q_id < 3").groupBy("vec_id").agg(F.round(F.max("score"), 4).alias("score"))
+    return _dense(spark, d).groupBy("vec_id").agg(F.round(F.max("score"), 4).alias("score"))
 
 
 def align_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +122,7 @@ def batch_clean(spark: SparkSession, d: str) -> DataFrame:
     return session.ordered_distinct(q, "question", "doc_id")
 
 
-_SCORED = "select q.vec_id as q_id, e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id < 5"
+_SCORED = "select q.vec_id as q_id, e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 50 = 0"
 _BM25 = f"""q as (select distinct item_id, unnest({TOKENS}) as t from benchmark),
 d as (select doc_id, {TOKENS} as ts from documents), st as (select count(*) as n, avg(len(ts)) as avgdl from d),
 tf as (select doc_id, dl, t, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as t from d) where t in (select t from q) group by all),
@@ -148,8 +149,8 @@ ORACLES = {
 k as (select * from t where (score >= 0.42 or (best < 0.42 and rn = 1)) and score >= 0.72 * best),
 m as (select q_id, label, sum(score) as mass, min(rn) as first from k group by 1, 2), l as (select q_id, arg_max(label, (mass, -first)) as lead, max(mass) / sum(mass) as share from m group by 1)
 select q_id, vec_id as item, label, score, row_number() over (partition by q_id order by score desc, vec_id) as rnk from k join l using (q_id) where share < 0.6 or label = lead qualify rnk <= 6""",
-    "rrf_fusion": f"with r as (select q_id, vec_id, row_number() over (partition by q_id order by score desc, vec_id) as rnk from ({_SCORED}) where q_id < 2 qualify rnk <= 40), f as (select 1::int as question, vec_id, round(sum(1.0::double / (59 + rnk)), 6) as rrf from r group by vec_id) select *, row_number() over (order by rrf desc, vec_id) as rnk from f qualify rnk <= 60",
-    "multiquery_fusion": f"select vec_id, round(max(score), 4) as score from ({_SCORED}) where q_id < 3 group by vec_id",
+    "rrf_fusion": f"with r as (select q_id, vec_id, row_number() over (partition by q_id order by score desc, vec_id) as rnk from ({_SCORED}) qualify rnk <= 40), f as (select 1::int as question, vec_id, round(sum(1.0::double / (59 + rnk)), 6) as rrf from r group by vec_id) select *, row_number() over (order by rrf desc, vec_id) as rnk from f qualify rnk <= 60",
+    "multiquery_fusion": f"select vec_id, round(max(score), 4) as score from ({_SCORED}) group by vec_id",
     "align_exact": f"select doc_id, item_id, p - 1 as start, p - 1 + length(quote) as \"end\", 'grounded' as label from (select doc_id, item_id, quote, instr(norm, quote) as p from (select doc_id, {NORM} as norm from documents), (select item_id, {NORM} as quote from benchmark) where length(quote) >= 12) where p > 0",
     "source_view": """with e as (select user_id, event_id % 5000 * 3 as start, event_id % 5000 * 3 + 10 + event_id % 5000 * 3 % 7 as "end" from events),
 r as (select *, max("end") over (partition by user_id order by start, "end" rows between unbounded preceding and 1 preceding) as reach from e),
@@ -162,4 +163,5 @@ select user_id, merged_no::bigint as merged_no, min(start) as start, max("end")
     "doc_registry": "select 'd' || row_number() over (order by source) as reg_id, source as label, n_pages from (select source, count(*) as n_pages from documents group by source)",
     "batch_clean": "select row_number() over (order by first_id) as pos, question from (select question, min(doc_id) as first_id from (select trim(split_part(text, chr(10), 1)) as question, doc_id from documents) where question <> '' group by question)",
 }
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in ORACLES} | review_queries.QUERIES
+ORACLES |= review_queries.ORACLES
