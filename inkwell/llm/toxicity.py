@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,17 +85,30 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, words): each text's clean_bytes, compressed. Features hang on these alone, and they are a fraction of the text to shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            words = [z.compress(clean_bytes(t.as_py()).tobytes()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], names=["doc_id", "words"])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words binary")
+
+
 def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, int, int]:
     """ln of the share of toxic over the share of clean training rows with a bucket, smoothed toward 0; and the rows of either class.
 
-    Counted over all rows of ``train`` (text, toxic). What reaches the driver is bounded by the number of buckets.
+    Counted over all rows of ``train`` (words, toxic). What reaches the driver is bounded by the number of buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << BITS, np.int32), np.zeros((2, (1 << BITS) + 1), np.int64)
+        z = zstandard.ZstdDecompressor()
         for b in batches:
-            for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                x, found = clean_bytes(text.as_py()), []
+            for words, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                x, found = np.frombuffer(z.decompress(words.as_py()), np.uint8), []
                 for s in range(0, len(x), BUFFER):
                     found += [distinct(g, seen) for g in buckets(x[s : s + BUFFER + SIZES[-1]])]
                 n[y][distinct(np.concatenate(found), seen)] += 1
@@ -102,7 +116,7 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, int, int]:
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at]), pa.array(n[1][at])], names=["bucket", "clean", "toxic"])
 
-    sums = train.select("text", "toxic").mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    sums = train.select("words", "toxic").mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     n = np.zeros((2, (1 << BITS) + 1))
     at = sums["bucket"].to_numpy()
     n[0][at], n[1][at] = sums["clean"].to_numpy(), sums["toxic"].to_numpy()
@@ -144,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     ship(spark)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out("doc_id"))
-    ratio, toxic, clean = log_count_ratios(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marks, "doc_id"))
+    # labels grow with the corpus: one plan at every size, without a broadcast
+    ratio, toxic, clean = log_count_ratios(distinct_words(docs.where(~held_out("doc_id"))).join(marks.hint("merge"), "doc_id"))
     if not toxic or not clean:
         return Model(np.zeros(1 << BITS), -40.0)
     some = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
