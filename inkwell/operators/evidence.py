@@ -17,18 +17,22 @@ def grounding_label(score: Column, grounded: float = 90.0, partial: float = 78.0
 def align_exact(docs: DataFrame, quotes: DataFrame, d_id: str = "doc_id", q_id: str = "item_id", least: int = 12) -> DataFrame:
     """Rows (d_id, q_id, start, end, label): the first place of each quote in each document's normal form, 0-based and half-open.
 
-    Pairs meet by the quote's first words, an equi-join on run fingerprints, instead of a test of every pair.
+    Pairs meet by a run of the quote's inner words, an equi-join on run fingerprints, instead of a test of every pair:
+    six words, or one where the quote has fewer than eight. Only quotes of one or two words are looked for in every
+    document. Neither side is broadcast unless its measured size allows it.
     """
     q = quotes.select(q_id, normalize(F.col("text")).alias("quote")).where(F.length("quote") >= least)
     words = F.split("quote", " ")
     # the last of the words may go on in the document, the first may begin within a word: neither is part of the seed
-    q = q.withColumn("seed", F.when(F.size(words) >= SEED_WORDS + 2, F.array_join(F.slice(words, 2, SEED_WORDS), " ")))
+    size = F.when(F.size(words) >= SEED_WORDS + 2, SEED_WORDS).when(F.size(words) >= 3, 1)
+    q = q.withColumn("seed", F.when(size.isNotNull(), F.xxhash64(F.array_join(F.slice(words, F.lit(2), size), " "))))
     d = docs.select(d_id, normalize(F.col("text")).alias("norm"))
-    dw = F.split("norm", " ")
-    runs = d.select(d_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(dw) - SEED_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(dw, i, F.lit(SEED_WORDS)), " ")))).alias("seed"))
-    meet = runs.join(F.broadcast(q.where("seed is not null")), "seed").select(d_id, q_id, "quote")
-    found = meet.join(d, d_id)
-    short = d.join(F.broadcast(q.where("seed is null").select(q_id, "quote")), F.expr("contains(norm, quote)")).select(d_id, q_id, "quote", "norm")
+    w = d.select(d_id, F.split("norm", " ").alias("w"))
+    shifted = [F.slice("w", F.lit(i + 1), F.size("w")) for i in range(SEED_WORDS)]
+    run = lambda s: F.xxhash64(F.concat_ws(" ", *[s[str(i)] for i in range(SEED_WORDS)]))
+    runs = w.select(d_id, F.explode(F.array_distinct(F.concat(F.transform(F.arrays_zip(*shifted), run), F.transform("w", lambda x: F.xxhash64(x))))).alias("seed"))
+    found = runs.join(q.where("seed is not null"), "seed").select(d_id, q_id, "quote").distinct().join(d, d_id)
+    short = d.join(q.where("seed is null").select(q_id, "quote"), F.expr("contains(norm, quote)")).select(d_id, q_id, "quote", "norm")
     at = found.select(d_id, q_id, "quote", "norm").unionByName(short).withColumn("p", F.expr("locate(quote, norm)")).where("p > 0")
     return at.select(d_id, q_id, (F.col("p") - 1).cast("long").alias("start"), (F.col("p") - 1 + F.length("quote")).cast("long").alias("end"), grounding_label(F.lit(100.0)).alias("label"))
 
