@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, jaccard, media, mixing, pii, secrets, suffix_dedup, tokens, toxicity
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def vocabulary() -> str:
@@ -60,4 +61,3 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_token_counts, op4_jaccard_join, op5_personal_data, op6_media_columns, op7_html_extraction, op8_toxicity, op9_decontamination, op10_mix)}
-ORACLES: dict[str, str] = {}
