@@ -11,6 +11,7 @@ WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MOST = 3  # times that a document may be taken
 BLOCKS = 100_000  # equal-token blocks that the whole mix is cut into
 SHARD_WORDS = 2_000_000  # words in a shard, which bounds what is ordered together
+SHARD_BLOCKS = 20  # blocks in a shard on average, at least, unless it would hold more than SHARD_WORDS
 SEED = "mix-1"
 
 
@@ -56,12 +57,28 @@ def sainte_lague(df: DataFrame, group: list[str], key: Column, votes: str, seats
     return x.join(won, same, "left").withColumn(out, F.col("_sure") + F.coalesce("_won", F.lit(0))).drop(*drop)
 
 
+def hand_out(parts: DataFrame, group: str, key: str, size: str, due: Column, quota: str) -> DataFrame:
+    """Raise ``quota`` of a group's rows until they come to ``due``: by words, in proportion to what each is below MOST times its size.
+
+    Words that a row's limit cuts off its blocks thus go to the others of the group; what rounding leaves goes to the first by key.
+    """
+    w = Window.partitionBy(group)
+    before = w.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    x = parts.withColumn("_room", F.col(size) * MOST - F.col(quota)).withColumn("_lack", F.greatest(F.lit(0), due - F.sum(quota).over(w)))
+    x = x.withColumn("_all", F.sum("_room").over(w)).withColumn("_more", F.when(F.col("_all") > 0, F.floor(F.col("_lack") * (F.col("_room") / F.col("_all")))).otherwise(F.lit(0)))
+    x = x.withColumn("_left", F.col("_room") - F.col("_more")).withColumn("_rest", F.col("_lack") - F.sum("_more").over(w))
+    last = F.greatest(F.lit(0), F.least("_left", F.col("_rest") - F.coalesce(F.sum("_left").over(before), F.lit(0))))
+    return x.withColumn(quota, F.col(quota) + F.col("_more") + last).drop("_room", "_lack", "_all", "_more", "_left", "_rest")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, size, source_size, target, taken): how many of each document's words the mix takes.
 
     Each source's target is cut into blocks of equal numbers of words; Sainte-Laguë gives whole blocks to sources and
     then to the hash shards of each. A shard's documents stand in seeded order; its blocks are whole passes over them
-    and then the first blocks of one more. The last block may end within a document.
+    and then the first blocks of one more. The last block may end within a document. A source has as many shards as its
+    own words fill; what a shard's limit cuts off its blocks goes to the source's other shards, by words. A source thus
+    gets all of its blocks, and comes to its target but for the rounding to whole blocks.
 
     Null text has size 0 and takes nothing; a null source is a source of its own, the last. Repeated rows count as so
     many documents. Of other columns those in ``keep`` are
@@ -75,11 +92,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
     block, shards = max(1, -(-total // BLOCKS)), max(1, -(-total // SHARD_WORDS))
     quota = sainte_lague(sources.withColumn("all", F.lit(1)), ["all"], F.col("number"), "target", F.lit(total // block), F.ceil(F.col("source_size") * MOST / block), "blocks")
-    quota = at.put(quota.select(F.col("source").alias("q_source"), "number", "source_size", "target", "blocks"), "quota")
-    rows = sized.join(quota, F.col("source").eqNullSafe(F.col("q_source"))).withColumn("shard", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % shards)
-    parts = rows.groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
+    own = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.least(F.lit(shards), F.floor(F.col("source_size") / (block * SHARD_BLOCKS))), F.lit(1))
+    quota = at.put(quota.select(F.col("source").alias("q_source"), "number", "source_size", "target", "blocks", own.alias("shards")), "quota")
+    rows = sized.join(quota, F.col("source").eqNullSafe(F.col("q_source"))).withColumn("shard", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("shards"))
+    parts = rows.groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("source_size").alias("source_size"))
     parts = sainte_lague(parts, ["number"], F.col("shard"), "shard_size", F.col("blocks"), F.ceil(F.col("shard_size") * MOST / block), "shard_blocks")
-    parts = at.put(parts.select(F.col("number").alias("p_number"), F.col("shard").alias("p_shard"), "shard_size", F.least(F.col("shard_blocks") * block, F.col("shard_size") * MOST).alias("quota")), "parts")
+    parts = parts.withColumn("quota", F.least(F.col("shard_blocks") * block, F.col("shard_size") * MOST))
+    parts = hand_out(parts, "number", "shard", "shard_size", F.least(F.col("blocks") * block, F.col("source_size") * MOST), "quota")
+    parts = at.put(parts.select(F.col("number").alias("p_number"), F.col("shard").alias("p_shard"), "shard_size", "quota"), "parts")
     rows = rows.join(parts, (F.col("number") == F.col("p_number")) & (F.col("shard") == F.col("p_shard")))
     order = Window.partitionBy("number", "shard").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
