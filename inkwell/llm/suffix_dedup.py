@@ -65,9 +65,10 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
 
     Each window of ``length`` bytes has as anchor the least-ranked of the ANCHOR-byte strings in it, the first of
     equals. It hangs on the window's bytes alone, so equal windows have equal anchors at equal distances. Windows in a
-    row with the same anchor are one stretch; equal stretches have equal ranks and hold equal windows.
+    row with the same anchor are one stretch; equal stretches have equal ranks and hold equal windows. A stretch that
+    goes on in the next piece of its text is held back and joined there, so each anchor has one row.
     """
-    width = length - ANCHOR + 1
+    width, seam = length - ANCHOR + 1, None
     for part in _pieces(texts, length):
         x = np.frombuffer(b"".join(y for _, _, y in part), np.uint8)
         size = np.array([len(y) for _, _, y in part])
@@ -90,8 +91,18 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
         a = at[cut]
         owner = np.searchsorted(begin, cut, "right") - 1
         number, offset = np.array([i for i, _, _ in part]), np.array([s for _, s, _ in part])
-        shape = ((last - cut) * 1024 + (a - cut)).astype(np.uint64)
-        yield number[owner], cut - begin[owner] + offset[owner], last - cut, a - cut, anchor[a], _pair(_pair(whole[cut], whole[last]), shape)
+        rows = [number[owner], cut - begin[owner] + offset[owner], last - cut, a - cut, anchor[a], whole[cut], whole[last]]
+        if seam is not None:
+            rows = [np.concatenate(x) for x in zip(seam, rows, strict=True)]
+            _, lo, more, off, _, first, _ = rows
+            if lo[0] + off[0] == lo[1] + off[1]:
+                lo[1], more[1], off[1], first[1] = lo[0], more[0] + more[1] + 1, off[0], first[0]
+                rows = [x[1:] for x in rows]
+        i, s, _ = part[-1]
+        goes_on = s + PIECE // 2 < len(texts[i]) - length + 1
+        seam = [x[-1:] for x in rows] if goes_on else None
+        i, lo, more, off, v, first, end = [x[:-1] for x in rows] if goes_on else rows
+        yield i, lo, more, off, v, _pair(_pair(first, end), (more * 1024 + off).astype(np.uint64))
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
