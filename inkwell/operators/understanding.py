@@ -76,14 +76,33 @@ def enumeration_cues(questions: DataFrame, text: str = "text") -> DataFrame:
     return x.withColumn("wants_set", (n > 0) & (~F.col("_fact") | (n >= 2))).withColumn("cue_score", F.round(F.least(F.lit(1.0), n / 3), 2)).drop("_t", "_c", "_fact")
 
 
-def document_matches(questions: DataFrame, registry: DataFrame, q_id: str, most: int = 50) -> DataFrame:
-    """Rows (q_id, n_matches, resolved) of a batch of up to ``most`` questions: the document of that id, else those whose label holds the text.
+def _begin(text: Column) -> Column:
+    """The first 16, 8, 4, 2 or 1 characters, as many of these as there are."""
+    sizes = [F.when(F.length(text) >= n, F.substring(text, 1, n)) for n in _PARTS[::-1]]
+    return F.coalesce(*sizes, text)
 
-    ``resolved`` is the one label that matches; several or none leave the search over all documents.
+
+def _parts(text: Column) -> Column:
+    """Each distinct string that _begin gives for some string in the text."""
+    at = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[F.coalesce(at(n), F.array().cast("array<string>")) for n in _PARTS]))
+
+
+_PARTS = (1, 2, 4, 8, 16)
+
+
+def document_matches(questions: DataFrame, registry: DataFrame, q_id: str) -> DataFrame:
+    """Rows (q_id, n_matches, resolved) of every question: the document of that id, else those whose label holds the text.
+
+    ``resolved`` is the one label that matches; several or none leave the search over all documents. Each distinct text
+    meets the ids by equality, and the labels by its beginning, which stands somewhere in any label that holds it.
     """
-    q = F.broadcast(questions.select(q_id, F.lower(F.trim("text")).alias("_q")).limit(most))
-    hits = registry.join(q, (F.col("_q") == F.lower("reg_id")) | F.contains(F.lower("label"), F.col("_q"))).withColumn("exact", F.col("_q") == F.lower("reg_id"))
-    found = hits.groupBy(q_id).agg(F.max(F.when(F.col("exact"), F.col("label"))).alias("named"), F.countDistinct("label").alias("n"), F.min("label").alias("one"))
-    x = q.join(found, q_id, "left")
+    q = questions.select(q_id, F.lower(F.trim("text")).alias("_q"))
+    asked = q.where("_q is not null").select("_q").distinct()
+    named = registry.select(F.lower("reg_id").alias("_q"), "label").join(asked, "_q").groupBy("_q").agg(F.max("label").alias("named"))
+    labels = registry.where("label is not null").select("label", F.lower("label").alias("_l")).distinct().select("label", "_l", F.explode(_parts(F.col("_l"))).alias("_part"))
+    hits = labels.join(asked.withColumn("_part", _begin(F.col("_q"))), "_part").where(F.contains(F.col("_l"), F.col("_q")))
+    found = hits.groupBy("_q").agg(F.countDistinct("label").alias("n"), F.min("label").alias("one"))
+    x = q.join(named, "_q", "left").join(found, "_q", "left")
     n = F.when(F.col("named").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long")
     return x.select(q_id, n.alias("n_matches"), F.coalesce("named", F.when(F.col("n") == 1, F.col("one"))).alias("resolved"))
