@@ -25,11 +25,8 @@ _PLAIN = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b
 
 
 def clean_bytes(text: str | None) -> np.ndarray:
-    """Each distinct word once, where it first stands, in lower case (A-Z only), parted by single spaces.
-
-    A feature is there or not: without this, text that repeats itself would count it again and again.
-    """
-    words = dict.fromkeys((text or "").encode().translate(_PLAIN).split())
+    """All words in their own order, in lower case (A-Z only), parted by single spaces."""
+    words = (text or "").encode().translate(_PLAIN).split()
     return np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
 
 
@@ -55,13 +52,22 @@ def distinct(b: np.ndarray, seen: np.ndarray) -> np.ndarray:
 
 
 def window_sums(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights of the n-grams that begin in each window, the windows STEP apart and all of x in some window."""
-    total = np.zeros(len(x) + 1)
+    """Weights of the distinct n-grams that begin in each window, the windows STEP apart and all of x in some window.
+
+    A feature is there or not: an n-gram counts in the windows that hold it but no earlier one of the same bucket.
+    """
+    n = len(range(0, max(1, len(x) - WINDOW + STEP), STEP))
+    change = np.zeros(n + 1)
     for g in buckets(x):
-        total[1 : len(g) + 1] += weight[g]
-    np.cumsum(total, out=total)
-    starts = np.arange(0, max(1, len(x) - WINDOW + STEP), STEP)
-    return total[np.minimum(starts + WINDOW, len(x))] - total[starts]
+        key = np.sort(g.astype(np.uint64) << np.uint64(32) | np.arange(len(g), dtype=np.uint64))
+        at, bucket = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), (key >> np.uint64(32)).astype(np.int64)
+        before = np.full(len(at), -1)
+        before[1:] = np.where(bucket[1:] == bucket[:-1], at[:-1], -1)
+        first, end = np.maximum(np.maximum(before, at - WINDOW) // STEP + 1, 0), np.minimum(at // STEP + 1, n)
+        some = first < end
+        w = weight[bucket[some]]
+        change += np.bincount(first[some], w, n + 1) - np.bincount(end[some], w, n + 1)
+    return np.cumsum(change)[:n]
 
 
 def top_window(text: str | None, weight: np.ndarray) -> tuple[float, np.ndarray]:
@@ -85,8 +91,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, words): each text's clean_bytes, compressed. Features hang on these alone, and they are a fraction of the text to shuffle."""
+def clean_words(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, words): each text's clean_bytes, compressed. Features hang on these alone, and they are a part of the text to shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -159,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     ship(spark)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(~held_out("doc_id"))
     # labels grow with the corpus: one plan at every size, without a broadcast
-    ratio, toxic, clean = log_count_ratios(distinct_words(docs.where(~held_out("doc_id"))).join(marks.hint("merge"), "doc_id"))
+    ratio, toxic, clean = log_count_ratios(clean_words(docs.where(~held_out("doc_id"))).join(marks.hint("merge"), "doc_id"))
     if not toxic or not clean:
         return Model(np.zeros(1 << BITS), -40.0)
     some = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))

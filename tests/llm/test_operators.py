@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from plain import components, leaks, personal, removed, secrets, targets, words
@@ -196,6 +197,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r["predicted"] for r in toxicity.toxicity(frame(spark, [(1, "a")]), none).collect()] == [0]
 
 
+def test_toxic_phrase_of_words_seen_before():
+    """At the end of a long text, a phrase of words that stood apart earlier scores as it does alone; repeats in a window count once."""
+    weight = np.zeros(1 << toxicity.BITS)
+    for g in toxicity.buckets(np.frombuffer(b"ill tak", np.uint8)):
+        weight[g] = 1.0
+    rng, phrase = random.Random(9), "you will take harm"
+    apart = " ".join(f"{w} {passage(rng, 40)}" for w in phrase.split())
+    long = f"{apart} {passage(rng, 30_000)}"
+    alone, without, with_ = (toxicity.top_window(t, weight)[0] for t in (phrase, long, f"{long} {phrase}"))
+    assert with_ == alone > without
+    assert toxicity.top_window(f"{phrase} " * 4, weight)[0] == alone
+    for t in (phrase, apart, f"{phrase} " * 30):
+        x = toxicity.clean_bytes(t)
+        plain = [sum(float(weight[list(set(g[s : s + toxicity.WINDOW].tolist()))].sum()) for g in toxicity.buckets(x)) for s in range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+        assert toxicity.window_sums(x, weight).tolist() == pytest.approx(plain)
+
+
+def test_toxicity_on_long_held_out_rows(spark):
+    d = DATA.replace("0.001", "0.01")
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    long = docs.where("length(text) > 4000").select("doc_id")
+    held = toxicity.toxicity(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id").join(long, "doc_id").select("predicted", "toxic").collect()
+    right = sum(r["predicted"] == r["toxic"] for r in held)
+    print("long held-out rows", len(held), "right", right)
+    assert held and right / len(held) > 0.9
+
+
 def test_contamination(spark, corpus):
     rng = random.Random(2)
     items = [(i, passage(rng, n)) for i, n in enumerate((5, 8, 12, 20, 20, 40, 90, 3))] + [(20, None), (21, ""), (22, corpus[0][1])]
