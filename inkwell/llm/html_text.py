@@ -20,25 +20,32 @@ BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 # Class, id and role words of notices, adverts, comments and navigation.
 _SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|login|search|widget|pagination|toolbar|skip)(?:$|[\s_-])", re.I)
+# Words that, after the name of a part of the content or a state, name no side matter: article-header, has-sidebar.
+_STATE = re.compile(r"(?:^|[_-])(?:has|no|not|with|without)[_-]", re.I)
+_PART = re.compile(r"(?:article|content|section|entry|post|story|chapter)[_-]+(?:header|footer|masthead|banner|notice|side)", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {n: re.compile(rf"</{n}\s*[^>]*(?:>|$)", re.I) for n in ("script", "style", "textarea", "template", "title")}
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, stands aside, characters of it in links) for each line that block elements delimit, blank ones too.
+def _names_side(value: str) -> bool:
+    return any(_SIDE.search(t) and not _STATE.search(t) and not _PART.fullmatch(t) for t in value.split())
+
+
+def lines_of(page: str) -> list[tuple[str, bool, int, bool]]:
+    """(text, stands aside, characters of it in links, lies in an article or main element) for each line that block elements delimit, blank ones too.
 
     Side matter is what stands in NOT_TEXT elements, or in elements that name themselves so; such an element ends with
-    its own end tag, at nesting level, or with that of what holds it.
+    its own end tag, at nesting level, or with that of what holds it. A link ends at the next block tag at the latest.
     """
     out, line, links = [], [], 0
     stack: list[tuple[str, bool]] = []
-    aside = in_link = 0
+    aside = in_link = inside = 0
     at = 0
 
     def end_line() -> None:
         nonlocal line, links
-        out.append((" ".join(html.unescape("".join(line)).split()), aside > 0, links))
+        out.append((" ".join(html.unescape("".join(line)).split()), aside > 0, links, inside > 0))
         line, links = [], 0
 
     def add(piece: str) -> None:
@@ -56,6 +63,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCK:
             end_line()
+            in_link = 0
         if name in _RAW and not closing:
             after = _RAW[name].search(page, at)
             at = after.end() if after else len(page)
@@ -69,33 +77,37 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
                 while True:
                     n, side = stack.pop()
                     aside -= side
+                    inside -= n in ("article", "main")
                     if n == name:
                         break
         elif name in BLOCK:
-            side = name in NOT_TEXT or any(_SIDE.search(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3]) if name not in ("html", "body", "article", "main"))
+            side = name in NOT_TEXT or any(_names_side(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3]) if name not in ("html", "body", "article", "main"))
             stack.append((name, side))
             aside += side
+            inside += name in ("article", "main")
     add(page[at:])
     end_line()
     return out
 
 
-def main_blocks(lines: list[tuple[str, bool, int]], window: int = 3, surge: int = 40) -> list[str]:
+def main_blocks(lines: list[tuple[str, bool, int, bool]], window: int = 3, surge: int = 40) -> list[str]:
     """The lines between surge and dive of the text lengths summed over sliding windows.
 
     Side matter and lines that are mostly links count as length 0. A run of positive window sums that reaches ``surge``
     is a text region; it begins where the sums leave 0 and ends where they fall back to it. Where no run reaches it,
-    the run of the largest sum is taken, so short articles stay.
+    the run of the largest sum is taken, so short articles stay. Every line in an article or main element that doesn't
+    stand aside is kept, whatever its run.
     """
-    keep = np.array([len(t) if t and not side and 2 * links <= len(t) else 0 for t, side, links in lines])
+    keep = np.array([len(t) if t and not side and 2 * links <= len(t) else 0 for t, side, links, _ in lines])
+    own = {i for i, (t, side, _, inside) in enumerate(lines) if t and not side and inside}
     if not keep.any():
-        return []
+        return [lines[i][0] for i in sorted(own)]
     sums = np.convolve(keep, np.ones(window, int))[: len(keep) + window - 1][window - 1 :]  # of this line and the next ones
     live = np.flatnonzero(np.convolve(keep > 0, np.ones(window, int))[: len(keep)] + (sums > 0))
     runs = np.split(live, np.flatnonzero(np.diff(live) > 1) + 1)
     peaks = [sums[r].max() for r in runs]
     least = min(surge, max(peaks))
-    return [lines[i][0] for r, p in zip(runs, peaks, strict=True) if p >= least for i in r if keep[i]]
+    return [lines[i][0] for i in sorted(own | {i for r, p in zip(runs, peaks, strict=True) if p >= least for i in r.tolist() if keep[i]})]
 
 
 def extract(page: str | None, window: int = 3, surge: int = 40) -> str:

@@ -183,6 +183,14 @@ def test_html_extract(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in html_text.html_extract(pages).collect())
 
 
+def test_html_keeps_all_of_the_article():
+    long = "A paragraph of the article that is long enough to make a region."
+    gap = "<ul><li></li><li></li><li></li></ul>" * 2
+    assert html_text.extract(f"<article><h1>Short title</h1>{gap}<p>{long}</p>{gap}<p>Short end.</p></article>") == f"Short title {long} Short end."
+    assert html_text.extract(f"<div class='content has-sidebar'><div class='article-header'><h1>Title</h1></div><p>{long}</p><div class='sidebar'>x</div></div>") == f"Title {long}"
+    assert html_text.extract(f"<div><p><a href=x>Open</p><p>{long}</p></div>") == long
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = DATA.replace("0.001", "0.01")
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
