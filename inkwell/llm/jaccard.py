@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship
@@ -15,226 +15,147 @@ from .shingles import batches_of, mix, shingle_sets
 
 SIZE = 5  # words in a shingle
 NUM, DEN = 4, 5  # the similarity, as a fraction
-COLUMNS = 256  # of the token-group matrix: tokens fall into them by hash
-LARGE = 8  # members from which on the union of a group's tokens is looked at before it is opened
-HEAVY = 1 << 16  # bound on the frequent tokens that are sent to all tasks
-LOCAL = 6  # documents of a batch that must hold a token for it to be counted as frequent
+PART = 3  # eighths of the token space that the first look counts
 
 
-def need(n: int, m: int) -> int:
-    """Least intersection of sets of n and m tokens that link."""
-    return -(-NUM * (n + m) // (NUM + DEN))
+def _first_tokens(n: Column) -> Column:
+    """How many tokens stand first in a set of n: a set that links with it holds one of them, in whatever common order."""
+    return n - F.ceil(n * NUM / DEN) + 1
 
 
-def _arrow(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-
-
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """The most frequent tokens, rarest first: counted over all documents, from those frequent within some batch of them.
-
-    They only order tokens; any order gives the same links. At most HEAVY reach the driver and the tasks.
-    """
+def signatures(docs: DataFrame) -> DataFrame:
+    """Rows (id, n, f1, f2, part) per document: the size of its set, the set's fingerprint, and its tokens in PART eighths of all tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in batches_of(b.column(0), 8 << 20):
-                token, n = np.unique(np.concatenate(list(shingle_sets(texts, SIZE))), return_counts=True)
-                keep = n >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+            ids = b.column(0)
+            for first, texts in batches_of(b.column(1)):
+                sets = list(shingle_sets(texts, SIZE))
+                n = pa.array([len(s) for s in sets], pa.int64())
+                f1 = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
+                f2 = pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
+                part = _lists([s[: np.searchsorted(s, np.uint64(PART << 61))] for s in sets])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), n, f1, f2, part], names=["id", "n", "f1", "f2", "part"])
 
-    sums = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "token").limit(HEAVY).toArrow().sort_by([("n", "ascending"), ("token", "ascending")])
-    return top["token"].to_numpy().view(np.uint64) if len(top) else np.zeros(0, np.uint64)
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, part array<long>")
 
 
-def signatures(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Rows (id, n, f1, f2, prefix, profile) per document with tokens or none.
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
-    n is the size of the set, (f1, f2) its fingerprint, prefix its first tokens in the common order (frequent ones
-    last): two sets that link share one of these. profile counts its tokens by matrix column.
-    """
-    spark = docs.sparkSession
-    order = np.argsort(heavy)
-    handle = spark.sparkContext.broadcast((heavy[order], order.astype(np.int64)))
+
+def token_sets(docs: DataFrame) -> DataFrame:
+    """Rows (id, tokens): each document's whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = handle.value
         for b in batches:
-            ids = b.column(0)
             for first, texts in batches_of(b.column(1)):
-                rows = []
-                for s in shingle_sets(texts, SIZE):
-                    n = len(s)
-                    take = n - -(-NUM * n // DEN) + 1 if n else 0
-                    if len(known) and n:
-                        place = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        hit = known[place] == s
-                        rare = s[~hit]
-                        prefix = rare[:take] if len(rare) >= take else np.concatenate([rare, s[hit][np.argsort(rank[place[hit]])]])[:take]
-                    else:
-                        prefix = s[:take]
-                    profile = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=COLUMNS), 65535).astype(np.uint16)
-                    rows.append((n, int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64)), prefix.view(np.int64), profile.tobytes()))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), *_arrow(rows, ["n", "f1", "f2", "prefix", "profile"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]).columns], names=["id", "n", "f1", "f2", "prefix", "profile"])
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>, profile binary")
-
-
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link, compared exactly; ``texts`` has (id, text) of each document in them."""
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), _lists(list(shingle_sets(texts, SIZE)))], names=["id", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for first, ta in batches_of(batch.column(2)):
-                for i, sa in enumerate(shingle_sets(ta, SIZE), first):
-                    if b[i] not in held:
-                        held.clear()
-                        held[b[i]] = next(shingle_sets([(batch.column(3)[i].as_py() or "").encode()], SIZE))
-                    sb = held[b[i]]
-                    both = len(np.intersect1d(sa, sb, assume_unique=True))
-                    if both and DEN * both >= NUM * (len(sa) + len(sb) - both):
-                        keep.append((a[i], b[i]))
-            yield _arrow(keep, ["a", "b"], [pa.int64(), pa.int64()])
-
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def promising(pairs: DataFrame, a_cols: tuple[str, str], b_cols: tuple[str, str], floor: bool) -> DataFrame:
-    """Those of ``pairs`` whose matrix rows leave room for a link.
-
-    a_cols are (size, profile) of a document, b_cols of a document or, with ``floor``, the least size and the column-wise
-    largest profile of a group: no member shares more tokens of a column with the document than either of them has.
-    """
-    schema = pairs.schema
+    return docs.select("id", "text").mapInArrow(run, "id long, tokens array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, m = (np.array(b.column(b.schema.names.index(c)).to_pylist(), np.int64) for c in (a_cols[0], b_cols[0]))
-            if not len(n):
-                continue
-            p, q = (np.frombuffer(b"".join(b.column(b.schema.names.index(c)).to_pylist()), np.uint16).reshape(-1, COLUMNS) for c in (a_cols[1], b_cols[1]))
-            room = np.minimum(p, q).sum(axis=1, dtype=np.int64)
-            if floor:
-                m = np.maximum(m, -(-NUM * n // DEN))
-            full = ((p == 65535) & (q == 65535)).any(axis=1)
-            keep = full | (room >= -(-NUM * (n + m) // (NUM + DEN)))
-            yield b.filter(pa.array(keep))
 
-    return pairs.mapInArrow(run, schema)
+def not_alone(reps: DataFrame) -> DataFrame:
+    """Rows (id, n) of ``reps`` (id, n, part) that may link with others.
+
+    A set of which so many tokens stand in no other that no first token is left links with nothing. Tokens are counted
+    in PART eighths of their space only, for all documents alike: what is alone there is alone altogether.
+    """
+    part = reps.select("id", F.explode("part").alias("token"))
+    again = part.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    met = part.join(again, "token").groupBy("id").agg(F.count(F.lit(1)).alias("met"))
+    seen = reps.select("id", "n", F.size("part").alias("seen")).join(met, "id", "left")
+    return seen.where(F.col("seen") - F.coalesce("met", F.lit(0)) < _first_tokens(F.col("n"))).select("id", "n")
 
 
-def group_rows(sets: DataFrame) -> DataFrame:
-    """The matrix: per group (root) its least and largest set and the column-wise largest counts of its members.
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """Rows (id, n, alone, tokens) of ``sets`` (id, n, tokens): the tokens that several sets hold, rarest first, and the number of others.
 
-    Each batch is summed up first, so a group reaches the second step once a batch.
+    Sets whose first tokens are all their own are left out. The order is that of the number of sets with a token,
+    counted over all of ``sets``, then of the token.
     """
+    rows = sets.select("id", "n", F.explode("tokens").alias("token"))
+    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = rows.join(df, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    held = held.select("id", "n", (F.col("n") - F.size("s")).alias("alone"), F.col("s.token").alias("tokens"))
+    return held.where(F.col("alone") < _first_tokens(F.col("n")))
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            root = np.array(b.column(0).to_pylist(), np.int64)
-            if not len(root):
-                continue
-            order = np.argsort(root, kind="stable")
-            n = np.array(b.column(1).to_pylist(), np.int64)[order]
-            p = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, COLUMNS)[order]
-            cut = np.flatnonzero(np.diff(root[order], prepend=root[order][0] - 1))
-            rows = np.maximum.reduceat(p, cut, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(root[order][cut]), pa.array(np.minimum.reduceat(n, cut)), pa.array(np.maximum.reduceat(n, cut)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["root", "least", "most", "matrix"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None  # rows come sorted by root
-        for b in batches:
-            out = []
-            for r, lo, hi, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                row = np.frombuffer(m, np.uint16)
-                if at and at[0] == r:
-                    at = (r, min(at[1], lo), max(at[2], hi), np.maximum(at[3], row))
-                else:
-                    if at:
-                        out.append((*at[:3], at[3].tobytes()))
-                    at = (r, lo, hi, row)
-            yield _arrow(out, ["root", "least", "most", "matrix"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
-        if at:
-            yield _arrow([(*at[:3], at[3].tobytes())], ["root", "least", "most", "matrix"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
-
-    schema = "root long, least long, most long, matrix binary"
-    return sets.select("root", "n", "profile").mapInArrow(part, schema).repartition("root").sortWithinPartitions("root").mapInArrow(whole, schema)
-
-
-def tokens_of(texts: DataFrame, key: str) -> DataFrame:
-    """Rows (key, token): the tokens of each text, once for a key and batch; ``texts`` has (key, text)."""
+
+def linked(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link, compared exactly by the tokens that they share with any set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            for first, part in batches_of(b.column(1)):
-                sets: dict[int, list[np.ndarray]] = {}
-                for i, s in enumerate(shingle_sets(part, SIZE), first):
-                    sets.setdefault(keys[i], []).append(s)
-                for k, found in sets.items():
-                    token = np.unique(np.concatenate(found))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), k, np.int64)), pa.array(token.view(np.int64))], names=[key, "token"])
+        for batch in batches:
+            a, b, n, m = (np.asarray(batch.column(j)) for j in range(4))
+            ta, tb = batch.column(4), batch.column(5)
+            both = np.array([len(np.intersect1d(np.asarray(x.values), np.asarray(y.values), assume_unique=True)) for x, y in zip(ta, tb, strict=True)], np.int64)
+            keep = (both > 0) & (DEN * both >= NUM * (n + m - both)) if len(both) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
-    return texts.select(key, "text").mapInArrow(run, f"{key} long, token long")
+    left = bags.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = bags.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").where(f"least(size(ta), size(tb)) * {NUM + DEN} >= {NUM} * (na + nb)")
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def reaching(pairs: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` (id, n, home) with how many of the document's tokens the union of the group's (members: home, text) holds."""
-    union = tokens_of(members, "home").distinct()
-    own = tokens_of(texts.join(pairs.select("id").distinct(), "id", "left_semi"), "id")
-    return pairs.join(own, "id").join(union, ["home", "token"]).groupBy("id", "n", "home").agg(F.count(F.lit(1)).alias("held"))
+def within_union(pairs: DataFrame, bags: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (id, n, home, held) of ``pairs`` (id, n, home, lo) where the union of the group's tokens leaves room for a link.
+
+    The matrix has a row per group (home): each token that some member holds. held is how many of the document's tokens
+    are in it, which no member can surpass; it must reach what a member of the least size that could link would need.
+    """
+    homes = pairs.select("home").distinct()
+    matrix = bags.join(roots.withColumnRenamed("root", "home").join(homes, "home"), "id").select("home", F.explode("tokens").alias("token")).distinct()
+    own = bags.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.explode("tokens").alias("token"))
+    held = pairs.join(own, "id").join(matrix, ["home", "token"]).groupBy("id", "n", "home", "lo").agg(F.count(F.lit(1)).alias("held"))
+    return held.where(f"held * {NUM + DEN} >= {NUM} * (n + greatest(lo, ceil({NUM} * n / {DEN})))").select("id", "n", "home", "held")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id) per document; sets of word shingles link from a similarity of 0.8 on.
 
-    1. Equal sets are one; the smallest id stands for them.
-    2. Documents are tied to the smallest document with which they share the most prefix tokens, where both link: the
-       similar ones form groups.
-    3. The matrix holds each group's columns. A document meets the other groups that share a prefix token with it, and
-       only where sizes, the token's places and the matrix row leave room for a link.
-    4. Those groups are compared by two of their documents, then opened where that didn't join them; large ones only if
-       the union of their tokens holds enough of the document's.
+    1. Equal sets are one; the smallest id stands for them. Sets with too many tokens of their own link with nothing.
+    2. The others' tokens stand in the order of their frequency. Documents are tied to the smallest document with which
+       they share the most first tokens, where both link: the similar ones form groups.
+    3. The matrix holds the union of each group's tokens. A document meets the other groups that share a first token
+       with it, where sizes, the token's places and then the union leave room for a link.
+    4. Those groups are compared by two of their documents, then opened where that didn't join them.
     Links within one component are not looked for, as they change nothing.
 
     Null and empty texts have no shingles and link with nothing, one another included. Rows with a null id come back
     with a null component and link with nothing. Ids are whole numbers; repeated rows give repeated rows and are one
-    document. Other columns are not read; an empty table gives an empty one.
+    document. Other columns are not read; an empty table gives an empty one. Tokens are 64-bit fingerprints of
+    shingles, and sets of equal size and equal 128-bit fingerprint are taken to be equal.
     """
     spark = docs.sparkSession
     ship(spark)
     at = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = at.put(signatures(docs, frequent_tokens(docs)), "signatures")
+    wide = at.put(signatures(docs), "wide")
+    sigs = at.put(wide.select("id", "n", "f1", "f2"), "signatures")
     shown = sigs.where("n > 0 and id is not null")
     classes = at.put(shown.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-
-    # tokens that two documents share in their prefixes; of the smaller one it stands among the first
-    reps = shown.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token")).withColumn("early", F.expr("pos <= n - ceil(8 * n / 9)"))
+    reps = at.put(wide.where("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "part"), "reps")
+    at.drop("wide")
+    alive = at.put(not_alone(reps), "alive")
+    at.drop("reps")
+    texts = docs.join(alive.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = at.put(token_sets(texts), "sets")
+    bags = at.put(shared_tokens(sets.withColumn("n", F.size("tokens").cast("long"))), "bags")
+    at.drop("sets", "alive")
+
+    # of two sets that link, the smaller one has a token that both share among even fewer first ones
+    first = bags.select("id", "n", "alone", F.posexplode(F.slice("tokens", F.lit(1), (_first_tokens(F.col("n")) - F.col("alone")).cast("int"))).alias("k", "token"))
+    tokens = first.select("id", "n", "token", (F.col("alone") + F.col("k")).alias("pos")).withColumn("early", F.expr(f"pos <= n - ceil({2 * NUM} * n / {NUM + DEN})"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("lead"), F.max("early").alias("any_early")).where("df > 1 and any_early").select("token", "lead")
     shared = at.put(tokens.join(counts, "token"), "shared")
 
     # groups
     best = Window.partitionBy("a").orderBy(F.desc("c"), "b")
     ties = shared.where("id <> lead").groupBy(F.col("id").alias("a"), F.col("lead").alias("b")).agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(best)).where("k = 1").select("a", "b")
-    meant = shared.select("id").distinct()
-    texts = at.put(docs.join(meant, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    rows = at.put(reps.join(meant, "id", "left_semi").select("id", "n", "profile"), "rows")
-
-    def with_rows(pairs: DataFrame) -> DataFrame:
-        a = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
-        b = rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
-        return promising(pairs.join(a, "a").join(b, "b"), ("na", "pa"), ("nb", "pb"), False).select("a", "b")
-
-    edges = at.put(linked(with_rows(ties), texts), "edges-0")
+    meant = at.put(shared.select("id").distinct(), "meant")
+    edges = at.put(linked(ties, bags), "edges-0")
 
     def grouped(name: str) -> DataFrame:
         roots = components(edges, at, name)
@@ -246,39 +167,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = shared.select("token", "id", "n", "pos", "early").join(roots, "id")
     mixed = met.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("token")
     met = at.put(met.join(mixed, "token"), "met")
-    homes = met.where("early").groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room")).withColumnRenamed("root", "home")
-    # what two sets share begins with a token of both prefixes: no more can follow than stands from there on in either
+    homes = met.where("early").groupBy("token", F.col("root").alias("home")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
+    # what two sets share begins with a token of both: no more can follow than stands from there on in either
     fits = f"least(n - pos, room) * {NUM + DEN} >= {NUM} * (n + greatest(lo, ceil({NUM} * n / {DEN})))"
-    reach = met.join(homes, "token").where(f"root <> home and lo <= n and hi * {DEN} >= n * {NUM} and {fits}").groupBy("id", "n", "home").agg(F.count(F.lit(1)).alias("c"))
-    matrix = group_rows(rows.join(roots, "id").join(met.select("root").distinct(), "root", "left_semi"))
-    reach = reach.join(rows.select("id", "profile"), "id").join(matrix.withColumnRenamed("root", "home"), "home")
-    reach = at.put(promising(reach, ("n", "profile"), ("least", "matrix"), True).select("id", "n", "home"), "reach")
+    reach = met.join(homes, "token").where(f"root <> home and lo <= n and hi * {DEN} >= n * {NUM} and {fits}").groupBy("id", "n", "home").agg(F.min("lo").alias("lo"))
+    reach = at.put(within_union(at.put(reach, "near"), bags, roots), "reach")
 
     # by the group's first document and that with the fewest tokens of its own, then by all of its members
     own = met.groupBy("id", "root").agg(F.min(F.col("pos") / F.col("n")).alias("own")).groupBy(F.col("root").alias("home")).agg(F.min_by("id", F.struct("own", "id")).alias("b"))
     leaders = reach.select(F.col("id").alias("a"), F.col("home").alias("b")).unionByName(reach.join(own, "home").select(F.col("id").alias("a"), "b")).distinct()
-    first = linked(with_rows(leaders), texts)
-    edges = at.put(edges.unionByName(first), "edges-1")
+    edges = at.put(edges.unionByName(linked(leaders, bags)), "edges-1")
     now = grouped("first")
-    still = reach.join(now.select("id", F.col("root").alias("ra")), "id").join(now.select(F.col("id").alias("home"), F.col("root").alias("rb")), "home").where("ra <> rb").select("id", "n", "home")
-    still = at.put(still, "still")
-    large = roots.join(still.select(F.col("home").alias("root")).distinct(), "root", "left_semi").groupBy(F.col("root").alias("home")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= LARGE).select("home")
-    large = at.put(large, "large")
-    inside = roots.withColumnRenamed("root", "home").join(large, "home").join(texts, "id")
-    still = still.join(large, "home", "left_anti").select("id", "n", "home", F.col("n").alias("held")).unionByName(reaching(still.join(large, "home", "left_semi"), inside, texts))
-    members = roots.join(rows.select("id", F.col("n").alias("m")), "id").select(F.col("id").alias("b"), F.col("root").alias("home"), "m")
+    still = reach.join(now.select("id", F.col("root").alias("ra")), "id").join(now.select(F.col("id").alias("home"), F.col("root").alias("rb")), "home").where("ra <> rb").select("id", "n", "home", "held")
+    members = roots.join(bags.select("id", F.col("n").alias("m")), "id").select(F.col("id").alias("b"), F.col("root").alias("home"), "m")
     opened = still.join(members, "home").where(f"id <> b and m <= n and m * {DEN} >= n * {NUM} and b <> home and {NUM} * (n + m) <= {NUM + DEN} * held").select(F.col("id").alias("a"), "b")
-    edges = at.put(edges.unionByName(linked(with_rows(opened), texts)), "edges-2")
+    edges = at.put(edges.unionByName(linked(opened, bags)), "edges-2")
     final = grouped("final")
 
     of_class = classes.join(final, classes.rep == final.id, "left").select("n", "f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     least = at.put(of_class, "components")
-    out = sigs.select("id", "n", "f1", "f2").join(least, ["n", "f1", "f2"], "left")
+    out = sigs.join(least, ["n", "f1", "f2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def without_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: that whose id is the component's. Of repeated ids one row stays; rows of null id stay all."""
+    """``docs`` with one document of each component: that whose id is the component's.
+
+    Null and empty texts link with nothing and stay. Of repeated ids one row stays; rows of null id stay all.
+    """
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
