@@ -9,9 +9,8 @@ from .common import Scratch
 
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MOST = 3  # times that a document may be taken
-BLOCKS = 100_000  # equal-token blocks that the whole mix is cut into
-SHARD_WORDS = 2_000_000  # words in a shard, which bounds what is ordered together
-SHARD_BLOCKS = 20  # blocks in a shard on average, at least, unless it would hold more than SHARD_WORDS
+BLOCKS = 10_000_000  # equal-token blocks that the whole mix is cut into; only quotients near the last that wins are looked at
+SHARD_WORDS, SHARD_DOCS = 2_000_000, 10_000  # words and documents in a shard on average, which bound what is ordered together
 SEED = "mix-1"
 
 
@@ -22,6 +21,8 @@ def words(text: Column) -> Column:
 def targets(sources: DataFrame) -> DataFrame:
     """Add weight and target to rows (source, source_size): shares of the total by weight, none above MOST times its size.
 
+    Its windows take all sources at once, so their number bounds it.
+
     The excess of those above is shared again by weight. All that end below their limit get one level times their
     weight; the level is that of the first source, by limit over weight, that it leaves below.
     """
@@ -77,22 +78,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Each source's target is cut into blocks of equal numbers of words; Sainte-Laguë gives whole blocks to sources and
     then to the hash shards of each. A shard's documents stand in seeded order; its blocks are whole passes over them
     and then the first blocks of one more. The last block may end within a document. A source has as many shards as its
-    own words fill; what a shard's limit cuts off its blocks goes to the source's other shards, by words. A source thus
-    gets all of its blocks, and comes to its target but for the rounding to whole blocks.
+    own words or documents fill; what a shard's limit cuts off its blocks, or a block larger than a shard leaves over,
+    goes to the source's other shards, by words. A source thus gets all of its blocks, and comes to its target but for
+    the rounding to whole blocks, a ten-millionth of the total. Rows of shards, not of documents, meet in a source's window.
 
     Null text has size 0 and takes nothing; a null source is a source of its own, the last. Repeated rows count as so
-    many documents. Of other columns those in ``keep`` are
-    carried along, the others not read; an empty table, or one without words, gives 0 for all.
+    many documents. Of other columns those in ``keep`` are carried along, whatever their names, the others not read; where
+    a kept one has the name of a result, the result counts. An empty table, or one without words, gives 0 for all.
     """
     at = Scratch(docs.sparkSession, "mixing")
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
     kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
     sized = at.put(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col).cast("string")).alias("size"), h.alias("h"), *kept), "sized")
-    sources = at.put(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).select("source", "source_size", "number", "target"), "sources")
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
+    sources = at.put(targets(by_source).select("source", "source_size", "source_docs", "number", "target"), "sources")
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
-    block, shards = max(1, -(-total // BLOCKS)), max(1, -(-total // SHARD_WORDS))
+    block = max(1, -(-total // BLOCKS))
     quota = sainte_lague(sources.withColumn("all", F.lit(1)), ["all"], F.col("number"), "target", F.lit(total // block), F.ceil(F.col("source_size") * MOST / block), "blocks")
-    own = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.least(F.lit(shards), F.floor(F.col("source_size") / (block * SHARD_BLOCKS))), F.lit(1))
+    own = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("source_docs") / SHARD_DOCS), F.lit(1))
     quota = at.put(quota.select(F.col("source").alias("q_source"), "number", "source_size", "target", "blocks", own.alias("shards")), "quota")
     rows = sized.join(quota, F.col("source").eqNullSafe(F.col("q_source"))).withColumn("shard", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.col("shards"))
     parts = rows.groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("source_size").alias("source_size"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import BLOCKS, MOST, SEED, SHARD_WORDS, WEIGHTS
+from .mixing import BLOCKS, MOST, SEED, SHARD_DOCS, SHARD_WORDS, WEIGHTS
 
 #: Only A-Z are lowered; a word is a run without space, tab and the other ASCII line and form breaks.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -34,15 +34,15 @@ _CASE = " ".join(f"when {i} then {w}" for i, w in enumerate(WEIGHTS))
 
 # All quotients of every source and shard are ranked; the operator compares only those near the last that wins.
 MIX = rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('{SEED}:' || coalesce(doc_id::varchar, '')) as h from documents),
-s as (select source, sum(size)::bigint as source_size from d group by 1),
+s as (select source, sum(size)::bigint as source_size, count(*) as docs from d group by 1),
 n as (select *, row_number() over (order by source nulls last) as number, case (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} {_CASE} end as weight, source_size * {MOST} as cap from s),
 a as (select *, cap / weight as ratio, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, number rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by cap / weight, number rows between current row and unbounded following) as level, row_number() over (order by cap / weight, number) as place from n),
 b as (select *, arg_min(level, place) filter (level <= ratio) over () as lv from a),
-t as (select source, source_size, number, case when ratio <= lv then cap::double else weight * lv end as target from b),
-k as (select sum(source_size)::bigint as total, greatest(1, ceil(sum(source_size) / {BLOCKS}))::bigint as block, greatest(1, ceil(sum(source_size) / {SHARD_WORDS}))::bigint as shards from s),
+t as (select source, source_size, greatest(1, ceil(source_size / {SHARD_WORDS}), ceil(docs / {SHARD_DOCS}))::bigint as shards, number, case when ratio <= lv then cap::double else weight * lv end as target from b),
+k as (select sum(source_size)::bigint as total, greatest(1, ceil(sum(source_size) / {BLOCKS}))::bigint as block from s),
 q as (select number, unnest(range(0, ceil(cap / block)::bigint)) as i, target from (select t.number, t.target, source_size * {MOST} as cap, block from t, k)),
 w as (select number, count(*) as blocks from (select q.*, row_number() over (order by target / (2 * i + 1) desc, number) as r from q) , k where r <= total // block group by 1),
-x as (select d.*, t.number, t.source_size, t.target, coalesce(w.blocks, 0) as blocks, ('0x' || h[1:8])::bigint % shards as shard from d join t on d.source is not distinct from t.source left join w using (number), k),
+x as (select d.*, t.number, t.source_size, t.target, coalesce(w.blocks, 0) as blocks, ('0x' || h[1:8])::bigint % t.shards as shard from d join t on d.source is not distinct from t.source left join w using (number)),
 p as (select number, shard, sum(size)::bigint as shard_size, any_value(blocks) as blocks from x group by 1, 2),
 pq as (select number, shard, shard_size, blocks, unnest(range(0, ceil(shard_size * {MOST} / block)::bigint)) as i from p, k),
 pw as (select number, shard, count(*) as n from (select *, row_number() over (partition by number order by shard_size / (2 * i + 1) desc, shard) as r from pq) where r <= blocks group by 1, 2),
