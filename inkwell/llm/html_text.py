@@ -14,104 +14,191 @@ from pyspark.sql import functions as F
 from .common import ship
 
 # Elements whose content is never main text.
-NOT_TEXT = frozenset("head script style noscript template svg iframe object form button select textarea option nav header footer aside dialog menu figcaption".split())
+NOT_TEXT = frozenset(
+    "head script style noscript template svg iframe object form button select textarea option nav header footer aside dialog menu".split()
+)
 # Elements that begin a new line; all others run on within it.
-BLOCK = frozenset("html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody caption blockquote pre br hr address details summary figure center".split()) | NOT_TEXT
+BLOCK = NOT_TEXT | frozenset(
+    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption"
+    " blockquote pre br hr address details summary figure figcaption center fieldset".split()
+)
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-# Class, id and role words of notices, adverts, comments and navigation.
-_SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|comments?|respond|disqus|login|search|widget|pagination|toolbar|skip)(?:$|[\s_-])", re.I)
-# Words that, after the name of a part of the content or a state, name no side matter: article-header, has-sidebar.
-_STATE = re.compile(r"(?:^|[_-])(?:has|no|not|with|without)[_-]", re.I)
-_PART = re.compile(r"(?:article|content|section|entry|post|story|chapter)[_-]+(?:header|footer|masthead|banner|notice|side)", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_RAW = {n: re.compile(rf"</{n}\s*[^>]*(?:>|$)", re.I) for n in ("script", "style", "textarea", "template", "title")}
-
-
-def _names_side(value: str) -> bool:
-    return any(_SIDE.search(t) and not _STATE.search(t) and not _PART.fullmatch(t) for t in value.split())
-
-
-def lines_of(page: str) -> list[tuple[str, bool, int, bool]]:
-    """(text, stands aside, characters of it in links, lies in an article or main element) for each line that block elements delimit, blank ones too.
-
-    Side matter is what stands in NOT_TEXT elements, or in elements that name themselves so; such an element ends with
-    its own end tag, at nesting level, or with that of what holds it. A link ends at the next block tag at the latest.
-    """
-    out, line, links = [], [], 0
-    stack: list[tuple[str, bool]] = []
-    aside = in_link = inside = 0
-    at = 0
-
-    def end_line() -> None:
-        nonlocal line, links
-        out.append((" ".join(html.unescape("".join(line)).split()), aside > 0, links, inside > 0))
-        line, links = [], 0
-
-    def add(piece: str) -> None:
-        nonlocal links
-        if piece:
-            line.append(piece)
-            if in_link:
-                links += len(piece.strip())
-
-    while m := _TAG.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        name, closing = m[2].lower(), bool(m[1])
-        if name in BLOCK:
-            end_line()
-            in_link = 0
-        if name in _RAW and not closing:
-            after = _RAW[name].search(page, at)
-            at = after.end() if after else len(page)
-            continue
-        if name == "a":
-            in_link = 0 if closing else 1
-        if name in VOID or m[3].endswith("/"):
-            continue
-        if closing:
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, side = stack.pop()
-                    aside -= side
-                    inside -= n in ("article", "main")
-                    if n == name:
-                        break
-        elif name in BLOCK:
-            side = name in NOT_TEXT or any(_names_side(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3]) if name not in ("html", "body", "article", "main"))
-            stack.append((name, side))
-            aside += side
-            inside += name in ("article", "main")
-    add(page[at:])
-    end_line()
-    return out
-
-
-def main_blocks(lines: list[tuple[str, bool, int, bool]], window: int = 3, surge: int = 40) -> list[str]:
+# Words by which an element names itself a notice, an advert, comments or navigation.
+SIDE = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr"
+    " notice popup modal newsletter subscribe subscription share sharing social related recommended recommendations sidebar"
+    " nav navbar navigation menu breadcrumb breadcrumbs footer header masthead login signup search widget pagination pager"
+    " toolbar skip".split()
+)
+COMMENTS = frozenset("comment comments commentlist respond replies disqus reactions".split())
+CONTENT = frozenset("article content post entry story main body text section chapter".split())
+# A name that says that such a thing is there or not, as in has-sidebar, names no side matter.
+STATES = frozenset("has have no not with without is hide show".split())
+
+_QUOTED = r"""(?:"[^"]*+"|'[^']*+')(?=\s|/?>|\Z)"""
+# An attribute's value: in quotes if the closing one ends it, else up to white space or the tag's end, quotes included.
+_VALUE = rf"(?:{_QUOTED}|[^\s>]*+)"
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"""|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"'=]++|=\s*+{_VALUE}|["'])*+)(?:>|\Z)""",
+    re.S,
+)
+_ATTR = re.compile(rf"(?:^|[\s/\"'])(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|\Z)(?:\s*+=\s*+({_VALUE}))?", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "textarea", "template", "title")}
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {k.lower(): v.strip("\"'") for k, v in reversed(_ATTR.findall(raw))} if raw.strip(" /") else {}
+
+
+def names_side(value: str) -> bool:
+    """Whether a class, id or role names side matter: by a whole word of it, or by the first or last part of one."""
+    for token in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", token) if p]
+        if parts and parts[0] not in STATES | CONTENT and {parts[0], parts[-1], "".join(parts)} & (SIDE | COMMENTS):
+            return True
+    return False
+
+
+def _hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN.search(a.get("style", "")))
+
+
+class Lines:
+    """A page as lines between block elements: each a list of (piece of text, in a link, in an article, named elements around)."""
+
+    def __init__(self, page: str):
+        self.lines: list[list[tuple[str, bool, bool, tuple[int, ...]]]] = [[]]
+        self.comments: list[bool] = []  # of each element that names itself side matter: whether as comments
+        self.wraps: set[int] = set()  # those that hold an article or main element
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        # open elements: (name, whether it is block, number if it names itself side matter, never main text)
+        stack: list[tuple[str, bool, int | None, bool]] = []
+        around: tuple[int, ...] = ()
+        never = inside = at = 0
+        in_link = False
+
+        def add(piece: str) -> None:
+            if piece and not never:
+                self.lines[-1].append((piece, in_link, inside > 0, around))
+
+        while m := _TAG.search(page, at):
+            add(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            name, closing = m[2].lower(), bool(m[1])
+            block = name in BLOCK
+            if block:
+                if self.lines[-1]:
+                    self.lines.append([])
+                if never and not inside and name in ("nav", "header", "footer", "aside") and not closing:
+                    self.lines.append([])
+                in_link = False
+            if name in _RAW and not closing:
+                after = _RAW[name].search(page, at)
+                at = after.end() if after else len(page)
+                continue
+            if name == "a":
+                in_link = not closing
+            if name in VOID or m[3].endswith("/"):
+                continue
+            if closing:
+                if any(n == name for n, *_ in stack):
+                    while True:
+                        n, _, number, out = stack.pop()
+                        never -= out
+                        inside -= n in ("article", "main")
+                        if number is not None:
+                            around = around[:-1]
+                        if n == name:
+                            break
+                continue
+            a = _attributes(m[3])
+            out = name in NOT_TEXT and not (name == "header" and inside) or (_hidden(a) and name not in ("html", "body"))
+            number = None
+            if not out and name not in ("html", "body", "main") and any(names_side(a.get(k, "")) for k in ("class", "id", "role")):
+                number = len(self.comments)
+                words = re.split(r"[\s_-]+", " ".join(a.get(k, "") for k in ("class", "id", "role")).lower())
+                self.comments.append(bool(COMMENTS & set(words)))
+            if block or out or number is not None or (stack and not stack[-1][1]):
+                if name in ("article", "main"):
+                    inside += 1
+                    self.wraps.update(around)
+                if number is not None:
+                    around = (*around, number)
+                never += out
+                stack.append((name, block, number, out))
+        add(page[at:])
+
+    def side(self) -> set[int]:
+        """Those of the elements that name themselves side matter which are: none that holds an article element or most of the articles' text; of the page's where there is no article.
+
+        Comments may hold more than the article does.
+        """
+        total, own = [0, 0], [[0, 0] for _ in self.comments]  # outside and inside articles
+        for pieces in self.lines:
+            for piece, _, inside, around in pieces:
+                n = len(piece.strip())
+                total[inside] += n
+                for i in around:
+                    own[i][inside] += n
+
+        def most_of_it(i: int) -> bool:
+            most = 0.9 if self.comments[i] else 0.5
+            if total[1]:
+                return own[i][1] > most * total[1]
+            return own[i][0] > most * total[0]
+
+        return {i for i in range(len(own)) if not most_of_it(i) and i not in self.wraps}
+
+    def blocks(self) -> list[tuple[str, float, bool]]:
+        """(text, share of it in links, lies in an article) of each line with text; side matter between lines is one empty line."""
+        side, out = self.side(), []
+        for pieces in self.lines:
+            kept = [p for p in pieces if not side.intersection(p[3])]
+            text = " ".join(html.unescape("".join(p[0] for p in kept)).split())
+            if text:
+                size = sum(len(p[0].strip()) for p in kept)
+                out.append((text, sum(len(p[0].strip()) for p in kept if p[1]) / max(1, size), any(p[2] for p in kept)))
+            elif len(kept) < len(pieces) and out and out[-1][0]:
+                out.append(("", 0.0, False))
+        return out
+
+
+def main_blocks(lines: list[tuple[str, float, bool]], window: int = 3, surge: int = 40) -> list[str]:
     """The lines between surge and dive of the text lengths summed over sliding windows.
 
-    Side matter and lines that are mostly links count as length 0. A run of positive window sums that reaches ``surge``
-    is a text region; it begins where the sums leave 0 and ends where they fall back to it. Where no run reaches it,
-    the run of the largest sum is taken, so short articles stay. Every line in an article or main element that doesn't
-    stand aside is kept, whatever its run.
+    Lines that are mostly links count as length 0, side matter is an empty line. A run of positive window sums that
+    reaches ``surge`` is a text region: it begins where the sums leave 0 and ends where they fall back to it, and all
+    lines in it are kept, linked ones too. Where no run reaches it, the run of the largest sum is taken, so short
+    articles stay. An article or main element that holds most of the text is the region itself, whole.
     """
-    keep = np.array([len(t) if t and not side and 2 * links <= len(t) else 0 for t, side, links, _ in lines])
-    own = {i for i, (t, side, _, inside) in enumerate(lines) if t and not side and inside}
-    if not keep.any():
-        return [lines[i][0] for i in sorted(own)]
-    sums = np.convolve(keep, np.ones(window, int))[: len(keep) + window - 1][window - 1 :]  # of this line and the next ones
-    live = np.flatnonzero(np.convolve(keep > 0, np.ones(window, int))[: len(keep)] + (sums > 0))
+    size = [len(t) if links <= 0.5 else 0 for t, links, _ in lines]
+    own = [t for t, _, inside in lines if t and inside]
+    if 2 * sum(map(len, own)) >= sum(size) and own:
+        return own
+    if not any(size):
+        return own
+    width = np.ones(window, int)
+    sums = np.convolve(size, width)[window - 1 :]  # of this line and the next ones
+    live = np.flatnonzero(sums > 0)
     runs = np.split(live, np.flatnonzero(np.diff(live) > 1) + 1)
     peaks = [sums[r].max() for r in runs]
     least = min(surge, max(peaks))
-    return [lines[i][0] for i in sorted(own | {i for r, p in zip(runs, peaks, strict=True) if p >= least for i in r.tolist() if keep[i]})]
+    keep = {i for i, (t, _, inside) in enumerate(lines) if t and inside}
+    for r, p in zip(runs, peaks, strict=True):
+        if p >= least:
+            text = [i for i in r.tolist() if size[i]]
+            keep.update(i for i in range(text[0], text[-1] + 1) if lines[i][0])
+    return [lines[i][0] for i in sorted(keep)]
 
 
 def extract(page: str | None, window: int = 3, surge: int = 40) -> str:
-    return " ".join(main_blocks(lines_of(page), window, surge)) if page else ""
+    return " ".join(main_blocks(Lines(page).blocks(), window, surge)) if page else ""
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = 3, surge: int = 40) -> DataFrame:
