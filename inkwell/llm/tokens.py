@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -57,6 +58,7 @@ def _merger(path: str):
     tok = load(path)
     added = {t.content for t in tok.get_added_tokens_decoder().values()}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in tok.get_vocab().items() if t not in added}
+    # fixed value: how the library's byte-level pre-tokenizer cuts
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     return tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), added
 
@@ -71,9 +73,15 @@ def count_whole(tok, path: str, texts: list[str]) -> list[int]:
     return [next(rest) if x else len(enc.encode_ordinary(t)) for t, x in zip(texts, slow, strict=True)]
 
 
+@lru_cache(maxsize=2)
 def splices(path: str) -> bool:
-    """Whether the tokenizer is byte-level with a pre-tokenizer that always cuts at seams."""
-    return path.endswith(".json") and os.path.basename(path).startswith("byte")
+    """Whether the file's tokenizer is byte-level with the pre-tokenizer that always cuts at seams, without a normalizer."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    return cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
 
 
 def _seams(text: str, lo: int, hi: int) -> Iterator[int]:
@@ -86,42 +94,53 @@ def _seams(text: str, lo: int, hi: int) -> Iterator[int]:
         at = text.find(" ", at + 1, hi)
 
 
-def _ends(enc, base: int) -> list[tuple[int, int]]:
-    return [(base + s, base + e) for s, e in enc.offsets]
+def _encoded(tok, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of the tokens of text[start:end]."""
+    return [(start + s, start + e) for s, e in tok.encode(text[start:end], add_special_tokens=False).offsets]
 
 
 def _clean(spans: list[tuple[int, int]], at: int) -> bool:
     return not any(s < at < e for s, e in spans)
 
 
+def _common(here: list[tuple[int, int]], ahead: list[tuple[int, int]], seams: list[int]) -> int | None:
+    """The first seam past a third of the overlap where neither side has a token across and from where both agree up to the next seam."""
+    for a, b in zip(seams[len(seams) // 3 :], seams[len(seams) // 3 + 1 :], strict=False):
+        if [x for x in here if a <= x[0] and x[1] <= b] == [x for x in ahead if a <= x[0] and x[1] <= b] and all(_clean(s, p) for s in (here, ahead) for p in (a, b)):
+            return a
+    return None
+
+
 def count_spliced(tok, path: str, text: str, chunk: int, overlap: int) -> int:
     """Tokens of a long text from chunks that overlap.
 
-    The overlap of two chunks is encoded with offsets once as the end of the first and once as the start of the second,
-    each with context of its own side only. They are spliced at a seam where neither has a token across and from where
-    both give the same tokens up to the next seam. Without one the overlap is doubled; where it reaches the start of
-    the chunk, the chunk itself is.
+    Each chunk is encoded once, with offsets. Two chunks are spliced at a seam of their overlap from where both have the
+    same tokens: the first one's count up to there, the second one's from there on. Without such a seam the overlap is
+    doubled; where it reaches what is counted already, the chunk itself is.
     """
-    total, left, size = 0, 0, chunk
-    while left + size < len(text):
-        end, wide, found = left + size, overlap, None
-        while found is None and end - wide > left:
+    total = counted = left = 0
+    size = chunk
+    end = min(size, len(text))
+    here = _encoded(tok, text, left, end)
+    while end < len(text):
+        wide, found, start = overlap, None, 0
+        while end - wide > counted:
             start = end - wide
-            before = max(left, start - wide)
-            here = _ends(tok.encode(text[before:end], add_special_tokens=False), before)
-            ahead = _ends(tok.encode(text[start : end + overlap], add_special_tokens=False), start)
+            ahead = _encoded(tok, text, start, min(start + max(size, 2 * wide), len(text)))
             seams = list(_seams(text, start, end))
-            for a, b in zip(seams[len(seams) // 3 :], seams[len(seams) // 3 + 1 :], strict=False):
-                if [x for x in here if a < x[1] <= b] == [x for x in ahead if a < x[1] <= b] and all(_clean(s, p) for s in (here, ahead) for p in (a, b)):
-                    found = a
-                    break
+            near = [x for x in here if x[1] > start]
+            if (found := _common(near, [x for x in ahead if x[0] < end], seams)) is not None:
+                break
             wide *= 2
         if found is None:
             size *= 2  # no seam in the whole chunk: take more at once
+            end = min(left + size, len(text))
+            here = _encoded(tok, text, left, end)
             continue
-        total += count_whole(tok, path, [text[left:found]])[0]
-        left, size = found, chunk
-    return total + count_whole(tok, path, [text[left:]])[0]
+        total += sum(counted <= s and e <= found for s, e in here)
+        here, end = ahead, min(start + max(size, 2 * wide), len(text))
+        left, counted, size = start, found, chunk
+    return total + sum(s >= counted for s, _ in here)
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk: int = 32_768, overlap: int = 1_024) -> DataFrame:
