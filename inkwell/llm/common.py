@@ -33,22 +33,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a fresh one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share; a fresh one only where it is unset in local mode."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="inkwell-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/inkwell/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application's operators have written to the shared folder; frames that read them end."""
+    _delete(spark, _own_dir(spark))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a recomputation.
 
-    ``drop`` removes those that later tables no longer need; the last one stays, as the returned frame reads it.
+    ``drop`` removes those that later tables no longer need; the last ones stay, as the returned frame reads them, until
+    ``clear`` is called once the application has used its results.
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/inkwell/{what}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -67,10 +84,8 @@ class Scratch:
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, self.path(name))
 
 
 def partitions(spark: SparkSession) -> int:

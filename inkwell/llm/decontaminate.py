@@ -17,7 +17,7 @@ SIZE = 5  # words in a shingle
 SIMILARITY = 0.8
 BITS, BLOCKS = 128, 16  # of a fingerprint; each block is a byte
 RADIUS = 2 * BLOCKS - 1  # the largest at which some block differs in one bit at most
-ITEMS, ITEM_BYTES = 4_096, 16 << 20  # bounds on the benchmark items that a pass sends to all tasks
+ITEMS, ITEM_BYTES = 16_384, 8 << 20  # bounds on the benchmark items that a pass sends to all tasks
 
 _NEAR = np.array([[b ^ m for m in (0, *(1 << i for i in range(8)))] for b in range(256)])
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     spark = docs.sparkSession
     ship(spark)
-    schema = f"{id_col} long, {item_col} long, similarity double, first_word long, n_words long"
+    schema = f"`{id_col}` long, `{item_col}` long, similarity double, first_word long, n_words long"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], schema)
     for block in _blocks_of_items(items, item_col, item_text_col):
@@ -166,6 +166,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
-def without_contaminated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold an item."""
-    return docs.join(found.select(F.col(id_col).alias("_held")).distinct(), F.col(id_col) == F.col("_held"), "left_anti")
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds an item; all columns stay as they are.
+
+    A row goes by its text alone, so ids may be null or recur. Null and empty texts hold nothing and stay; of repeated
+    rows all go or all stay; an empty table on either side leaves ``docs`` as it is.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    texts = docs.select(key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    held = contamination(texts, items, "_key", "_text", item_col, item_text_col).select("_key").distinct()
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    kept = docs.toDF(*names).join(held, F.xxhash64(F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit(""))) == F.col("_key"), "left_anti")
+    return kept.toDF(*docs.columns)

@@ -61,11 +61,20 @@ def decode_image(data: bytes) -> bytes:
     return b"".join(rows[i + 1 : i + 1 + WIDTH] for i in range(0, len(rows), WIDTH + 1))
 
 
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder and its path there; Spark's names of stores count as well as Arrow's."""
+    scheme, _, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}" if rest else folder)
+
+
 class ShardWriter:
     """Appends files to tar shards in a folder of any store; a shard gets its final name only when it is whole."""
 
     def __init__(self, folder: str):
-        self.fs, self.base = fs.FileSystem.from_uri(folder)
+        self.fs, self.base = _store(folder)
         self.tar = None
 
     def _open(self) -> None:
@@ -130,7 +139,7 @@ def write_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
 
 def _reader(folder: str):
-    store, base = fs.FileSystem.from_uri(folder)
+    store, base = _store(folder)
     files: dict[str, object] = {}
 
     def read(shard: str, begin: int, length: int) -> bytes:

@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from the labelled rows of ``docs`` whose crc32(doc_id) mod 5 is not 0.
 
     The log-count ratios come from all of those rows, the linear weights from ``fit_rows`` of them, those of the lowest
-    hash. Null labels are left out; of several labels of a document the highest counts. Without rows of both classes
+    hash among the ids that ``docs`` has; labels of other ids count for nothing. Null labels are left out; of several labels of a document the highest counts. Without rows of both classes
     the model gives 0 throughout.
     """
     spark = docs.sparkSession
@@ -168,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     ratio, toxic, clean = log_count_ratios(clean_words(docs.where(~held_out("doc_id"))).join(marks.hint("merge"), "doc_id"))
     if not toxic or not clean:
         return Model(np.zeros(1 << BITS), -40.0)
-    some = F.broadcast(marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    here = marks.join(docs.select("doc_id"), "doc_id", "left_semi")
+    some = F.broadcast(here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     handle = spark.sparkContext.broadcast(ratio.astype(np.float32))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,10 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay as they are."""
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay as they are.
+
+    Null text is scored as empty text; ids are not read; of repeated rows all go or all stay; an empty table stays empty.
+    """
     spark = docs.sparkSession
     ship(spark)
     handle = spark.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))

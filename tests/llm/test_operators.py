@@ -272,12 +272,12 @@ def test_mix(spark):
     assert {i: r["taken"] for i, r in mixed(spark, rows[::-1]).items()} == {i: r["taken"] for i, r in got.items()}
 
 
-@pytest.mark.parametrize("least", [mixing.SHARD_BLOCKS, 0.001])
+@pytest.mark.parametrize("least", [100, 10_000])
 def test_mix_of_small_sources(spark, monkeypatch, least):
     """Blocks of more words than MOST times what a small source has in a shard; with few blocks to a shard its limit bites."""
     monkeypatch.setattr(mixing, "BLOCKS", 1_000)
     monkeypatch.setattr(mixing, "SHARD_WORDS", 400)
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", least)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", least)
     rng = random.Random(6)
     rows = [(i, passage(rng, 40), "big") for i in range(2_400)] + [(i, passage(rng, 10), "a") for i in range(3_000, 3_010)] + [(i, passage(rng, 10), "c") for i in range(4_000, 4_100)]
     got, size = mixed(spark, rows), {"a": 100, "big": 96_000, "c": 1_000}
