@@ -189,7 +189,7 @@ def examples(text: Column) -> Column:
     return F.concat(*out)
 
 
-def fit_trees(rows: list[tuple[int, float, float]], rounds: int = 60, rate: float = 0.3) -> list[tuple]:
+def fit_trees(rows: list[tuple[int, float, float]], rounds: int = 30, rate: float = 0.3) -> list[tuple]:
     """Gradient-boosted trees of depth two on (features, rows, of them positive) for the logistic loss.
 
     The features are bits and the kind's number, so the table has a bounded number of rows, whatever the corpus.

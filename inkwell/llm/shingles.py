@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 2 << 20  # bytes hashed at once, which bounds the work arrays
+PIECE = 1 << 19  # bytes hashed at once, which bounds the work arrays
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _BACK = pow(_BASE, -1, 1 << 64)
 

@@ -18,7 +18,7 @@ SIZES = (3, 4, 5, 6)  # bytes in an n-gram
 WINDOW, STEP = 192, 32  # bytes that are scored together; the highest window is the text's score
 SMOOTHING = 10.0
 FIT_ROWS = 6_000  # bound on the labelled rows on which the linear weights are fitted; the ratios come from all of them
-BUFFER = 1 << 20
+BUFFER = 1 << 18  # bytes of a long text that are read at once
 
 # ASCII letters in lower case, digits and all bytes beyond ASCII; anything else parts words.
 _PLAIN = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
