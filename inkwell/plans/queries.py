@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evidence, grading, retrieval, session
 from ..sources.tables import table
-from . import question_queries, ranking_queries, rendering_queries, review_queries
+from . import question_queries, ranking_queries, rendering_queries, review_queries, structure_queries
 
 NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 SENTENCES = rf"string_split(regexp_replace({NORM}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
@@ -163,5 +163,5 @@ select user_id, merged_no::bigint as merged_no, min(start) as start, max("end")
     "doc_registry": "select 'd' || row_number() over (order by source) as reg_id, source as label, n_pages from (select source, count(*) as n_pages from documents group by source)",
     "batch_clean": "select row_number() over (order by first_id) as pos, question from (select question, min(doc_id) as first_id from (select trim(split_part(text, chr(10), 1)) as question, doc_id from documents) where question <> '' group by question)",
 }
-QUERIES = {name: globals()[name] for name in ORACLES} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES
-ORACLES |= review_queries.ORACLES | question_queries.ORACLES | ranking_queries.ORACLES | rendering_queries.ORACLES
+QUERIES = {name: globals()[name] for name in ORACLES} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES | structure_queries.QUERIES
+ORACLES |= review_queries.ORACLES | question_queries.ORACLES | ranking_queries.ORACLES | rendering_queries.ORACLES | structure_queries.ORACLES
