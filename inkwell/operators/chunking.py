@@ -16,4 +16,4 @@ def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     w = s.select(id_col, F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(STEP))).alias("i"), "s")
     w = w.select(id_col, "i", F.slice("s", F.col("i") + 1, F.lit(SIZE)).alias("part")).withColumn("chunk", F.array_join("part", " "))
     w = w.withColumn("token_count", F.length("chunk") / 4).where(F.col("token_count") > LEAST_TOKENS)
-    return w.select((F.col(id_col) * 10000 + F.expr(f"i div {STEP}")).alias("chunk_id"), id_col, F.size("part").cast("long").alias("n_sent"), "token_count", "chunk")
+    return w.select((F.shiftleft(F.col(id_col), 24) + F.expr(f"i div {STEP}")).alias("chunk_id"), id_col, F.size("part").cast("long").alias("n_sent"), "token_count", "chunk")

@@ -43,3 +43,85 @@ def merge_intervals(spans: DataFrame, key: str, slack: int = 2) -> DataFrame:
     x = spans.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.withColumn("merged_no", F.sum(F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + slack), 1).otherwise(0)).over(w).cast("long"))
     return x.groupBy(key, "merged_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def flattened(text: str) -> tuple[str, list[int]]:
+    """White space runs as one space, and each character's place in the text; one place more for its end."""
+    places = [i for i, c in enumerate(text) if not (c.isspace() and i and text[i - 1].isspace())]
+    return "".join(" " if text[i].isspace() else text[i] for i in places), [*places, len(text)]
+
+
+def _common(masks: dict[str, int], m: int, window: str) -> int:
+    """Length of the longest common subsequence with a text of m characters, given as a bit mask for each character."""
+    full = (1 << m) - 1
+    row = full
+    for c in window:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return m - row.bit_count()
+
+
+def best_window(quote: str, text: str, starts: list[int]) -> tuple[int, float]:
+    """(start, score 0 to 100) of the window of the quote's length most like it among ``starts``, the first of equals."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(quote):
+        masks[c] = masks.get(c, 0) | 1 << i
+    m, best = len(quote), (0, -1.0)
+    for s in starts:
+        window = text[s : s + m]
+        score = 200 * _common(masks, m, window) / (m + len(window))
+        if score > best[1]:
+            best = (s, score)
+    return best
+
+
+def align_fuzzy(docs: DataFrame, quotes: DataFrame, d_id: str = "doc_id", q_id: str = "item_id", least: int = 12, cutoff: float = 78.0, run: int = 3) -> DataFrame:
+    """Rows (d_id, q_id, start, end, score, label): the most similar place of each quote in each document, from ``cutoff`` on.
+
+    Places are those of the document's own text, white space and all. Pairs meet by ``run`` words in a row, an equi-join
+    on their fingerprints that carries where they stand; windows of the quote's length around there are compared by
+    their longest common subsequence. A quote with an edit in every run is not found. Null texts hold nothing.
+    """
+    words = lambda c: F.split(F.lower(normalize(F.col(c))), " ")
+
+    def runs(df: DataFrame, key: str, at: str) -> DataFrame:
+        x = df.where(F.col("text").isNotNull()).select(key, words("text").alias("w"))
+        starts = F.aggregate("w", F.struct(F.lit(0).alias("n")), lambda acc, w: F.struct((acc["n"] + F.length(w) + 1).alias("n")))["n"]
+        x = x.where(starts >= least).select(key, F.posexplode("w").alias("i", "x"))
+        w = Window.partitionBy(key).orderBy("i")
+        place = F.coalesce(F.sum(F.length("x") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        seed = F.xxhash64(*[F.lead("x", k).over(w) for k in range(run)])
+        return x.select(key, place.alias(at), seed.alias("seed"), F.lead("x", run - 1).over(w).alias("full")).where("full is not null").drop("full")
+
+    met = runs(docs, d_id, "p").join(runs(quotes, q_id, "r"), "seed").groupBy(d_id, q_id).agg(F.collect_set(F.col("p") - F.col("r")).alias("lines"))
+    pairs = met.join(docs.select(d_id, "text"), d_id).join(quotes.select(q_id, F.col("text").alias("quote")), q_id).select(F.col(d_id).alias("d"), F.col(q_id).alias("q"), "text", "quote", "lines")
+
+    def compare(parts):
+        import pandas as pd
+
+        for part in parts:
+            out = []
+            for d, q, text, quote, lines in part.itertuples(index=False):
+                flat, places = flattened(text)
+                lead = len(flat) - len(flat.lstrip())
+                quote = " ".join(quote.split())
+                if len(quote) < least:
+                    continue
+                slack = max(1, len(quote) // 8)
+                starts = sorted({s for x in lines for s in range(max(0, x + lead - slack), min(len(flat), x + lead + slack + 1))})
+                s, score = best_window(quote, flat, starts)
+                if score >= cutoff:
+                    out.append((d, q, places[s], places[min(s + len(quote), len(flat))], round(score, 1)))
+            yield pd.DataFrame(out, columns=["d", "q", "start", "end", "score"])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, d_id), (quotes, q_id))]
+    found = pairs.mapInPandas(compare, f"d {kinds[0]}, q {kinds[1]}, start long, end long, score double")
+    return found.select(F.col("d").alias(d_id), F.col("q").alias(q_id), "start", "end", "score", grounding_label(F.col("score"), 90.0, cutoff).alias("label"))
+
+
+def in_original(pairs: DataFrame, text: str, quote: str) -> DataFrame:
+    """Add ``start`` and ``end`` of the quote's first place in the text itself, where any white space stands for a space; null if it isn't there."""
+    pattern = F.concat(F.lit(r"\Q"), F.regexp_replace(F.regexp_replace(F.trim(quote), r"\\E", ""), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))
+    at = F.regexp_instr(F.col(text), pattern)
+    size = F.length(F.call_function("regexp_extract", F.col(text), pattern, F.lit(0)))
+    return pairs.withColumn("start", F.when(at > 0, at - 1).cast("long")).withColumn("end", F.when(at > 0, at - 1 + size).cast("long"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,24 @@ def judge_consensus(scores: DataFrame, key: str) -> DataFrame:
     return scores.where(s.isNotNull()).groupBy(key).agg(F.round(F.avg(s), 4).alias("mean"), F.round(F.median(s), 4).alias("median"), F.min(s).alias("lower"), F.max(s).alias("upper"), F.round(F.stddev_pop(s), 4).alias("std"))
 
 
-def retrieval_quality(hits: DataFrame, key: str, weak: float = 0.40) -> DataFrame:
-    """Spread of each query's scores and the share below ``weak`` once they are scaled to their range; 0 where all are equal."""
-    r = hits.groupBy(key).agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
+def retrieval_quality(hits: DataFrame, key: str, weak: float = 0.40, weak_scaled: float = 0.5) -> DataFrame:
+    """Spread of each query's scores, the share of them below ``weak``, and the share below ``weak_scaled`` once they are scaled to their range.
+
+    Where all scores are equal none is weak by the scaled form.
+    """
+    w = Window.partitionBy(key)
+    x = hits.withColumn("hi", F.max("score").over(w)).withColumn("lo", F.min("score").over(w))
     scaled = (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    x = hits.join(r, key).withColumn("weak", F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((scaled < weak).cast("double")))
-    return x.groupBy(key).agg(F.round(F.max("score"), 4).alias("s_max"), F.round(F.min("score"), 4).alias("s_min"), F.round(F.avg("score"), 4).alias("s_mean"), F.round(F.max("score") - F.min("score"), 4).alias("spread"), F.round(F.avg("weak"), 4).alias("weak_ratio"))
+    x = x.withColumn("low", F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((scaled < weak_scaled).cast("double")))
+    share = lambda c: F.round(F.avg(c), 4)
+    return x.groupBy(key).agg(
+        F.round(F.max("score"), 4).alias("s_max"),
+        F.round(F.min("score"), 4).alias("s_min"),
+        share("score").alias("s_mean"),
+        F.round(F.max("score") - F.min("score"), 4).alias("spread"),
+        share((F.col("score") < weak).cast("double")).alias("weak_raw"),
+        share("low").alias("weak_rescaled"),
+    )
 
 
 def error_tags(signals: DataFrame) -> DataFrame:
@@ -35,3 +47,20 @@ def error_tags(signals: DataFrame) -> DataFrame:
         F.when(c("uncovered") > 0, "coverage_gap"),
     )
     return signals.withColumn("tags", F.array_join(F.array_compact(tags), ", "))
+
+
+def error_reasons(tagged: DataFrame) -> DataFrame:
+    """Add ``reasons`` to rows of ``error_tags``: one for each tag, in the tags' order, with the figure that it rests on."""
+    c = F.col
+    pct = lambda x: F.format_number(c(x) * 100, 0)
+    said = {
+        "retrieval_failure": F.when(~c("has_context"), "no context").otherwise(F.concat(F.lit("grounding "), pct("grounding"), F.lit("%"))),
+        "partial_retrieval": F.concat(F.lit("grounding "), pct("grounding"), F.lit("%, weak "), pct("weak"), F.lit("%")),
+        "missing_context": F.lit("the answer says that the context lacks it"),
+        "contradiction": F.concat(c("contradicted").cast("string"), F.lit(" contradicted claims")),
+        "hallucination": F.concat(c("unsupported").cast("string"), F.lit(" unsupported claims")),
+        "misinterpretation": F.concat(F.lit("judges "), pct("judge"), F.lit("%")),
+        "coverage_gap": F.concat(c("uncovered").cast("string"), F.lit(" requirements uncovered")),
+    }
+    tags = F.split("tags", ", ")
+    return tagged.withColumn("reasons", F.array_join(F.array_compact(F.array(*[F.when(F.array_contains(tags, t), r) for t, r in said.items()])), "; "))

@@ -93,3 +93,31 @@ def map_reduced(parts: DataFrame, model: Model | None, key: str, no: str, text:
     joined = notes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(no, F.coalesce("note", text).alias("n")))).alias("ns"))
     x = replies(joined.select(key, F.array_join(F.col("ns.n"), "\n\n").alias("notes")), F.col("notes"), model, "narrative")
     return x.select(key, F.coalesce("narrative", "notes").alias("narrative"))
+
+
+def routed(questions: DataFrame, model: Model | None, prompt: Column) -> DataFrame:
+    """Add ``scope`` and ``sections`` from the model's JSON reply; null where it has none, so that signals decide."""
+    x = replies(questions, prompt, model)
+    r = F.from_json("reply", "scope string, sections array<string>")
+    ok = r["scope"].isin("section", "hybrid")
+    return x.withColumn("scope", F.when(ok, r["scope"])).withColumn("sections", F.when(ok & (r["scope"] == "section"), r["sections"])).drop("reply")
+
+
+def relevancy(answers: DataFrame, model: Model | None, question: str, answer: str, threshold: float = 0.5) -> DataFrame:
+    """Add ``relevancy``, the number in the model's reply, and whether it reaches ``threshold``; null without one."""
+    x = replies(answers, F.concat_ws("\n", question, answer), model, "_rel")
+    score = F.regexp_extract("_rel", r"([01](?:\.[0-9]+)?)", 1).try_cast("double")
+    return x.withColumn("relevancy", score).withColumn("relevant", F.col("relevancy") >= threshold).drop("_rel")
+
+
+def answered(questions: DataFrame, model: Model | None, question: str, context: str) -> DataFrame:
+    """Add ``reply`` to each question with its context; a question without context is not sent."""
+    return replies(questions, F.when(F.trim(context) != "", F.concat_ws("\n\n", context, question)), model)
+
+
+def fallback_sentences(answers: DataFrame, embed: Embed | None, key: str, answer: str, chunk: str) -> DataFrame:
+    """Rows (key, sentence, match): the top chunk's sentence most like the answer, the first of equals."""
+    parts = F.split(F.regexp_replace(F.trim(chunk), r"([.!?])\s+", "$1\n"), "\n")
+    x = semantic_match(answers.select(key, answer, F.posexplode(parts).alias("no", "sentence")), embed, answer, "sentence")
+    best = F.max_by(F.struct("sentence", "match"), F.struct(F.coalesce("match", F.lit(-1.0)).alias("m"), -F.col("no")))
+    return x.groupBy(key).agg(best.alias("b")).select(key, "b.sentence", "b.match")

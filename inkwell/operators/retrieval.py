@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import plain_tokens, stem, tokens
 
 K1, B = 1.5, 0.75
 
@@ -16,19 +16,29 @@ def top_k(hits: DataFrame, query: str, item: str, score: str, k: int) -> DataFra
     return hits.withColumn("rnk", F.row_number().over(w).cast("long")).where(F.col("rnk") <= k)
 
 
-def bm25(questions: DataFrame, corpus: DataFrame, q_id: str, d_id: str, text: str = "text") -> DataFrame:
-    """Rows (q_id, d_id, score) of all pairs that share a token; a token in more than half of the corpus weighs 0.
+def term_counts(corpus: DataFrame, d_id: str, text: str = "text") -> DataFrame:
+    """Rows (d_id, dl, t, tf): stemmed tokens of each document and its number of tokens; t is null, tf 0 for one without any.
 
-    Only tokens that a question has are counted past the first aggregation.
+    Words are counted first and each distinct word is stemmed once.
     """
+    d = corpus.select(d_id, plain_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws")).withColumn("dl", F.size("ws"))
+    words = d.select(d_id, "dl", F.explode_outer("ws").alias("w")).groupBy(d_id, "dl", "w").agg(F.count("w").alias("n"))
+    stems = words.where("w is not null").select("w").distinct().select("w", stem(F.col("w")).alias("t"))
+    return words.join(stems, "w", "left").groupBy(d_id, "dl", "t").agg(F.sum("n").alias("tf"))
+
+
+def bm25(questions: DataFrame, corpus: DataFrame, q_id: str, d_id: str, text: str = "text") -> DataFrame:
+    """Rows (q_id, d_id, score) of all pairs that share a token; one in more than half of the corpus weighs a quarter of the mean idf."""
     q = questions.select(q_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    d = corpus.select(d_id, tokens(F.col(text)).alias("ts")).withColumn("dl", F.size("ts"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = d.select(d_id, "dl", F.explode("ts").alias("t")).join(q.select("t").distinct(), "t", "left_semi").groupBy(d_id, "dl", "t").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    joined = q.join(tf, "t").join(df, "t").crossJoin(F.broadcast(stats))  # one row
+    counts = term_counts(corpus, d_id, text)
+    docs = counts.select(d_id, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = counts.where("t is not null")
+    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs))  # one row
+    df = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    floor = F.broadcast(df.agg((F.avg("raw") * 0.25).alias("floor")))  # one row
+    idf = df.join(q.select("t").distinct(), "t", "left_semi").crossJoin(floor).select("t", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    joined = q.join(tf.join(idf, "t"), "t")
     return joined.groupBy(q_id, d_id).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
 

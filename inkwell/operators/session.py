@@ -25,7 +25,25 @@ def registry(docs: DataFrame) -> DataFrame:
     return g.select(F.concat(F.lit("d"), F.row_number().over(Window.orderBy("label")).cast("string")).alias("reg_id"), "label", "n_pages")
 
 
+BUCKET = 10_000  # places that are numbered together
+
+
 def ordered_distinct(rows: DataFrame, key: str, pos: str) -> DataFrame:
-    """Rows (pos, key): non-blank values trimmed, each at its first place, numbered anew from 1."""
-    x = rows.select(F.trim(key).alias(key), pos).where(F.col(key) != "").groupBy(key).agg(F.min(pos).alias("at"))
-    return x.select(F.row_number().over(Window.orderBy("at")).cast("long").alias("pos"), key)
+    """Rows (pos, key): non-blank values trimmed, each at its first place, numbered anew from 1. Places are whole numbers.
+
+    Values are numbered in buckets of BUCKET places; only the buckets' sizes are summed up in one task.
+    """
+    x = rows.select(F.trim(key).alias(key), pos).where(F.col(key) != "").groupBy(key).agg(F.min(pos).alias("at")).withColumn("bucket", F.expr(f"at div {BUCKET}"))
+    sizes = x.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("at", key))
+    return x.withColumn("rn", inside).join(sizes, "bucket").select((F.col("before") + F.col("rn")).cast("long").alias("pos"), key)
+
+
+def checked_batch(rows: DataFrame, key: str, pos: str, most: int = 50) -> DataFrame:
+    """A web request's questions: distinct ones in order, at most ``most``; none at all is an error."""
+    out = ordered_distinct(rows, key, pos).where(F.col("pos") <= most)
+    if out.isEmpty():
+        raise ValueError("the batch holds no question")
+    return out

@@ -77,3 +77,14 @@ def alignment_rates(quotes: DataFrame, chunks: DataFrame, alignments: DataFrame,
     n = quotes.groupBy(question).agg(F.countDistinct(quote).alias("nq")).join(chunks.groupBy(question).agg(F.countDistinct(chunk).alias("nc")), question, "left")
     share = lambda a, b: F.round(F.coalesce(F.col(a), F.lit(0)) / F.col(b), 4)
     return n.join(found, question, "left").select(question, share("q", "nq").alias("rate"), share("c", "nc").alias("utilisation"))
+
+
+def document_spans(views: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """Rows (key, start, end) in the document of spans (key, start, end) in a view of it, cut at the segments' ends.
+
+    ``segments`` has (key, doc_start, doc_end, view_start): stretches of the document that the view shows.
+    """
+    s = segments.withColumn("view_end", F.col("view_start") + F.col("doc_end") - F.col("doc_start"))
+    x = views.withColumnsRenamed({"start": "v0", "end": "v1"}).join(s, key).where("v0 < view_end and view_start < v1")
+    shift = F.col("doc_start") - F.col("view_start")
+    return x.select(key, (F.greatest("v0", "view_start") + shift).alias("start"), (F.least("v1", "view_end") + shift).alias("end"))

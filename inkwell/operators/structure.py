@@ -189,3 +189,61 @@ def item_groups(items: DataFrame, doc: str, pos: str = "pos", depth: str = "dept
     heads = F.coalesce("heads", F.lit(False))
     g = x.groupBy(doc, "group_no").agg(F.max(F.when(heads, F.col(pos))).alias("heading"), F.count_if(~heads).alias("n_items"))
     return g.where("n_items > 0")
+
+
+def validated_markers(items: DataFrame, doc: str, pos: str = "pos") -> DataFrame:
+    """Rows (doc, pos, accepted) of list items (doc, pos, depth, ordinal; ordinal null for bullets), in order.
+
+    A number is taken if its depth has none yet, if it follows the last one there by three at most, or if it begins a
+    deeper list at 1; what is taken closes the lists below it. Bullets are always taken. A section's items meet in one row.
+    """
+    of = items.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), F.col("ordinal").cast("long").alias("v")))).alias("xs"))
+    begin = F.struct(F.array().cast("array<struct<depth:bigint,v:bigint>>").alias("open"), F.array().cast("array<struct<pos:bigint,accepted:boolean>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.array_max(F.transform(F.filter(acc["open"], lambda o: o["depth"] == x["depth"]), lambda o: o["v"]))
+        ok = x["v"].isNull() | last.isNull() | ((x["v"] > last) & (x["v"] <= last + 3)) | ((x["depth"] > 0) & (x["v"] == 1))
+        kept = F.filter(acc["open"], lambda o: o["depth"] < x["depth"])
+        open_ = F.when(ok & x["v"].isNotNull(), F.array_append(kept, F.struct(x["depth"].alias("depth"), x["v"].alias("v")))).otherwise(acc["open"])
+        return F.struct(open_.alias("open"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), ok.alias("accepted"))).alias("out"))
+
+    found = F.aggregate("xs", begin, step, lambda acc: acc["out"])
+    return of.select(doc, F.explode(found).alias("r")).select(doc, F.col("r.pos").alias(pos), F.col("r.accepted").alias("accepted"))
+
+
+def item_tree(items: DataFrame, doc: str, pos: str = "pos", text: str = "body", least: int = 5, max_depth: int | None = None) -> DataFrame:
+    """Rows (doc, pos, depth, parent, body): depths without gaps, each item with the last one above it; bodies under ``least`` characters go."""
+    x = items.where(F.length(F.trim(text)) >= least)
+    ranks = x.select(doc, "depth").distinct().withColumn("dense", (F.row_number().over(Window.partitionBy(doc).orderBy("depth")) - 1).cast("long"))
+    x = x.join(ranks, [doc, "depth"]).select(doc, pos, F.col("dense").alias("depth"), F.col(text).alias("body"))
+    if max_depth is not None:
+        x = x.where(F.col("depth") <= max_depth)
+    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.aggregate(
+        F.collect_list(F.struct(F.col(pos).alias("p"), F.col("depth").alias("d"))).over(w),
+        F.lit(None).cast("long"),
+        lambda acc, o: F.when(o["d"] < F.col("depth"), o["p"].cast("long")).otherwise(acc),
+    )
+    return x.withColumn("parent", above)
+
+
+def chosen_items(picked: DataFrame, groups: DataFrame, doc: str) -> DataFrame:
+    """Rows (doc, n_groups, n_items) of the picked sections that hold groups of items."""
+    return groups.join(picked.select(doc).distinct(), doc, "left_semi").groupBy(doc).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_items").alias("n_items"))
+
+
+def located(headings: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Add ``start`` to headings (doc, seq, title): the title's first line in the text past the heading before it, else that one's place: places never fall.
+
+    ``docs`` has (doc, text). A document's headings meet in one row.
+    """
+    all_ = headings.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("seq", "title"))).alias("hs")).join(docs.select(doc, "text"), doc)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<seq:bigint,start:bigint>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        hit = F.call_function("locate", F.concat(F.lit("\n"), x["title"]), F.concat(F.lit("\n"), F.col("text")), acc["at"] + 1)
+        at = F.when(hit > 0, hit - 1).otherwise(acc["at"])
+        return F.struct(at.cast("int").alias("at"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), at.cast("long").alias("start"))).alias("out"))
+
+    places = all_.select(doc, F.explode(F.aggregate("hs", begin, step, lambda acc: acc["out"])).alias("p"))
+    return headings.join(places.select(doc, F.col("p.seq").alias("seq"), F.col("p.start").alias("start")), [doc, "seq"])

@@ -32,9 +32,8 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stem_tokens(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    per = t.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("token").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("n").alias("term_freq"))
+    t = retrieval.term_counts(table(spark, d, "documents"), "doc_id").where("t is not null")
+    return t.groupBy(F.col("t").alias("token")).agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("term_freq"))
 
 
 def key_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -77,6 +76,29 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(fused, "question", "vec_id", "rrf", 60)
 
 
+def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical and dense rankings of the same questions in one: vector ids count as document ids, every fiftieth as a question."""
+    lexical = retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    near = _dense(spark, d).select(F.expr("q_id div 50").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
+    both = retrieval.top_k(lexical, "item_id", "doc_id", "score", 40).unionByName(retrieval.top_k(near, "item_id", "doc_id", "score", 40))
+    return retrieval.top_k(retrieval.reciprocal_rank_fusion(both, "item_id", "doc_id"), "item_id", "doc_id", "rrf", 60)
+
+
+def align_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.align_fuzzy(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def align_original(spark: SparkSession, d: str) -> DataFrame:
+    """Exact places of quotes in the documents' own texts."""
+    docs, quotes = table(spark, d, "documents"), table(spark, d, "benchmark")
+    pairs = evidence.align_exact(docs, quotes).select("doc_id", "item_id").join(docs.select("doc_id", "text"), "doc_id").join(quotes.select("item_id", F.col("text").alias("quote")), "item_id")
+    return evidence.in_original(pairs, "text", "quote").select("doc_id", "item_id", "start", "end")
+
+
+def error_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return grading.error_reasons(error_tags(spark, d)).select(*_GRID, "tags", "reasons")
+
+
 def multiquery_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).groupBy("vec_id").agg(F.round(F.max("score"), 4).alias("score"))
 
@@ -125,9 +147,9 @@ def batch_clean(spark: SparkSession, d: str) -> DataFrame:
 _SCORED = "select q.vec_id as q_id, e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 50 = 0"
 _BM25 = f"""q as (select distinct item_id, unnest({TOKENS}) as t from benchmark),
 d as (select doc_id, {TOKENS} as ts from documents), st as (select count(*) as n, avg(len(ts)) as avgdl from d),
-tf as (select doc_id, dl, t, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as t from d) where t in (select t from q) group by all),
-df as (select t, count(*) as df from tf group by t),
-s as (select item_id, doc_id, round(sum(greatest(0.0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (t) join df using (t), st group by all),
+tf as (select doc_id, dl, t, count(*) as tf from (select doc_id, len(ts) as dl, unnest(ts) as t from d) group by all),
+df as (select t, ln((n - df + 0.5) / (df + 0.5)) as raw from (select t, count(*) as df from tf group by t), st), fl as (select avg(raw) * 0.25 as floor from df),
+s as (select item_id, doc_id, round(sum(case when raw < 0 then floor else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (t) join df using (t), st, fl group by all),
 top as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rnk from s where score > 0 qualify rnk <= 10)"""
 _TAGS = """concat_ws(', ', case when not has_context or grounding <= 0.34 then 'retrieval_failure' when grounding < 0.8 or weak >= 0.5 or unsupported > 0 then 'partial_retrieval' when admits then 'missing_context' end,
 case when contradicted > 0 then 'contradiction' end,
@@ -138,12 +160,19 @@ _values = lambda v: "(values " + ", ".join(f"({str(x).lower()}{'::double' if isi
 ORACLES = {
     "text_normalize": f"select doc_id, length({NORM}) as norm_chars, sha256({NORM}) as norm_sha from documents",
     "sentence_split": f"select doc_id, len(s) as n_sentences, list_max(list_transform(s, lambda x: length(x))) as max_sentence_chars from (select doc_id, {SENTENCES} as s from documents)",
-    "sentence_chunks": f"select doc_id * 10000 + i // 3 as chunk_id, doc_id, len(p) as n_sent, length(c) / 4 as token_count, sha256(c) as chunk_sha from (select *, array_to_string(p, ' ') as c from (select doc_id, i, s[i + 1 : i + 6] as p from (select doc_id, s, unnest(range(0, len(s), 3)) as i from (select doc_id, {SENTENCES} as s from documents)))) where length(c) / 4 > 15",
+    "sentence_chunks": f"select doc_id * 16777216 + i // 3 as chunk_id, doc_id, len(p) as n_sent, length(c) / 4 as token_count, sha256(c) as chunk_sha from (select *, array_to_string(p, ' ') as c from (select doc_id, i, s[i + 1 : i + 6] as p from (select doc_id, s, unnest(range(0, len(s), 3)) as i from (select doc_id, {SENTENCES} as s from documents)))) where length(c) / 4 > 15",
     "stem_tokens": f"select token, count(distinct doc_id) as doc_freq, count(*) as term_freq from (select doc_id, unnest({TOKENS}) as token from documents) group by token",
     "key_tokens": "select item_id, len(k) as n_tokens, array_to_string(k, ',') as tokens_csv from (select item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{4,}'), lambda w: w not in (%s)))) as k from benchmark)" % ", ".join(f"'{w}'" for w in T.KEY_STOP_WORDS),
     "doc_fingerprint": "select doc_id, f as fp64, f[1:16] as fp16 from (select doc_id, sha256(concat_ws('|', doc_id, source, n_chars, 'chunk_size=6', 'min_tokens=15')) as f from documents)",
     "bm25_topk": f"with {_BM25} select item_id, doc_id, score, rnk from top",
-    "retrieval_quality": f"with {_BM25}, r as (select item_id, max(score) as hi, min(score) as lo from top group by 1) select item_id, round(max(score), 4) as s_max, round(min(score), 4) as s_min, round(avg(score), 4) as s_mean, round(max(score) - min(score), 4) as spread, round(avg(case when hi = lo then 0.0 else ((score - lo) / (hi - lo) < 0.4)::int::double end), 4) as weak_ratio from top join r using (item_id) group by item_id",
+    "retrieval_quality": f"""with {_BM25}, r as (select item_id, max(score) as hi, min(score) as lo from top group by 1)
+select item_id, round(max(score), 4) as s_max, round(min(score), 4) as s_min, round(avg(score), 4) as s_mean, round(max(score) - min(score), 4) as spread, round(avg((score < 0.4)::int::double), 4) as weak_raw,
+round(avg(case when hi = lo then 0.0 else ((score - lo) / (hi - lo) < 0.5)::int::double end), 4) as weak_rescaled from top join r using (item_id) group by item_id""",
+    "hybrid_fusion": f"""with {_BM25}, a as (select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as rnk from s where score > 0 qualify rnk <= 40),
+b as (select q_id // 50 as item_id, vec_id as doc_id, row_number() over (partition by q_id order by score desc, vec_id) as rnk from ({_SCORED}) qualify rnk <= 40),
+f as (select item_id, doc_id, round(sum(1.0::double / (59 + rnk)), 6) as rrf from (select * from a union all select * from b) group by 1, 2) select *, row_number() over (partition by item_id order by rrf desc, doc_id) as rnk from f qualify rnk <= 60""",
+    "align_original": rf"""with p as (select doc_id, item_id, d.text, regexp_extract(d.text, replace(regexp_escape(trim(regexp_replace(b.text, '\s+', ' ', 'g'))), '\ ', '\s+')) as hit from documents d, benchmark b where length({NORM.replace('text', 'b.text')}) >= 12 and instr({NORM.replace('text', 'd.text')}, {NORM.replace('text', 'b.text')}) > 0)
+select doc_id, item_id, instr(text, hit) - 1 as start, instr(text, hit) - 1 + length(hit) as "end" from p""",
     "dense_topk": f"select q_id, vec_id, score, row_number() over (partition by q_id order by score desc, vec_id) as rnk from ({_SCORED}) qualify rnk <= 10",
     "dense_precision": f"""with t as (select *, row_number() over (partition by q_id order by score desc, vec_id) as rn, max(score) over (partition by q_id) as best from ({_SCORED}) qualify rn <= 10),
 k as (select * from t where (score >= 0.42 or (best < 0.42 and rn = 1)) and score >= 0.72 * best),
@@ -163,5 +192,7 @@ select user_id, merged_no::bigint as merged_no, min(start) as start, max("end")
     "doc_registry": "select 'd' || row_number() over (order by source) as reg_id, source as label, n_pages from (select source, count(*) as n_pages from documents group by source)",
     "batch_clean": "select row_number() over (order by first_id) as pos, question from (select question, min(doc_id) as first_id from (select trim(split_part(text, chr(10), 1)) as question, doc_id from documents) where question <> '' group by question)",
 }
-QUERIES = {name: globals()[name] for name in ORACLES} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES | structure_queries.QUERIES
+#: What compares by subsequences, or formats numbers, has no SQL; tests hold it against a plain version.
+PLAIN = ("align_fuzzy", "error_reasons")
+QUERIES = {name: globals()[name] for name in (*ORACLES, *PLAIN)} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES | structure_queries.QUERIES
 ORACLES |= review_queries.ORACLES | question_queries.ORACLES | ranking_queries.ORACLES | rendering_queries.ORACLES | structure_queries.ORACLES

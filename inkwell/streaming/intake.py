@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 
-def _there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _there(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -23,13 +26,13 @@ def appended(batch: DataFrame, batch_id: int, path: str, number: str) -> None:
 
 def register_documents(stream: DataFrame, path: str, checkpoint: str, dims: int, key: str = "doc_id") -> StreamingQuery:
     """Append new documents (key, label, embedding) to the registry; known ids and labels are left out, a vector of another length is an error."""
-    schema = stream.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.where(F.size("embedding") != dims).limit(1).count():
             raise ValueError(f"vectors of the registry have {dims} numbers")
-        known = _there(spark, path, f"{schema}, batch long").where(F.col("batch") != batch_id)
+        known = _there(spark, path, schema).where(F.col("batch") != batch_id)
         new = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
         taken = known.select("label").distinct()
         new = new.join(taken.withColumn("taken", F.lit(True)), "label", "left")
