@@ -58,15 +58,20 @@ def numeric_consistency(pairs: DataFrame, answer: str = "answer", context: str =
     return x.withColumn("total", total).withColumn("grounded", grounded).withColumn("consistency", F.when(total > 0, F.round(grounded / total, 4))).withColumn("ungrounded", F.array_join(missing, ",")).drop("_a", "_c")
 
 
+# Fixed patterns: list marks and headings at the beginning of a line, bold headings, sentence ends.
+BULLET, HEAD, BOLD = r"(?m)^\s*([-•*]|\d+[.)]|[a-z][.)])\s+", r"(?m)^\s*[A-Z][^\n]{0,60}:\s*$", r"\*\*[^*]+\*\*"
+SENTENCE_END = r"[.;:]\s+[A-Z0-9(]"
+
+
 def _sentence_count(text: Column) -> Column:
-    return F.regexp_count(F.trim(text), F.lit(r"[.;:]\s+[A-Z0-9(]")) + 1
+    return F.regexp_count(F.trim(text), F.lit(SENTENCE_END)) + 1
 
 
 def structure_score(answers: DataFrame, text: str = "text", wants_set: str = "wants_set", items: str = "n_items") -> DataFrame:
     """Add n_sentences, n_paragraphs, score and flags; a blank answer has no score. Walls of text and ungrouped sets lose most."""
     t = F.col(text)
     paragraphs = F.filter(F.split(t, r"\n\s*\n"), lambda p: p.rlike(r"\S"))
-    bullets, heads = t.rlike(r"(?m)^\s*([-•*]|\d+[.)]|[a-z][.)])\s+"), t.rlike(r"(?m)^\s*[A-Z][^\n]{0,60}:\s*$") | t.rlike(r"\*\*[^*]+\*\*")
+    bullets, heads = t.rlike(BULLET), t.rlike(HEAD) | t.rlike(BOLD)
     x = answers.withColumn("n_sentences", _sentence_count(t).cast("long")).withColumn("n_paragraphs", F.size(paragraphs).cast("long")).withColumn("_longest", F.array_max(F.transform(paragraphs, _sentence_count))).withColumn("_b", bullets).withColumn("_h", heads)
     c = F.col
     tests = {

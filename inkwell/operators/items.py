@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences
 from .chunking import LEAST_TOKENS, SIZE, STEP
 
-# Marker styles, the first that matches counts, and roman numbers from 1 on.
+# Marker styles, the first that matches counts; roman numbers from 1 on; leaders to page numbers.
 MARKERS = {
     "paren_num": r"^\s*(\d{1,3})\)(?:\s+|\s*$)",
     "paren_alpha": r"^\s*([a-z])\)(?:\s+|\s*$)",

@@ -16,25 +16,127 @@ CUES = {
 }
 FACT = "what is the|when is|when does|when must|how much|who|where"
 
-# Substrings that trigger a rule, and the sub-queries that it adds.
+# Of each rule, the substrings that trigger it and the sub-queries that it adds.
 RULES = [
-    ("eligib", "criteria requirements inclusion exclusion patient population|who qualifies conditions that must be met to participate"),
-    ("require|must|mandatory|obligat", "mandatory obligations regulatory requirement shall must|what is required by regulation or guidance document"),
-    ("when |timing|deadline|how soon|within", "timing sequence order of events timeline milestones|conditions that trigger this action deadline"),
-    ("difference between|differ|vs |versus|compared to|contrast", "comparison contrast distinction how does X differ from Y|similarities and differences between two approaches or programmes"),
-    ("defin|what is|what are|meaning of", "definition meaning how is this concept defined in the guidance|scope and purpose of this term or programme"),
-    ("process|procedure|how to|steps|workflow", "step-by-step procedure workflow how to submit or implement|timeline sequence submission process regulatory pathway"),
-    ("exception|special case|unless|except|not required|waive", "exception to the general rule special circumstance edge case|circumstances where standard rules or requirements do not apply"),
-    ("inform|consent|disclosure|patient information", "informed consent disclosure requirements regulatory obligations|patient information risks benefits alternative treatments"),
-    ("safety|adverse|toxicity|risk|harm", "safety monitoring adverse event reporting toxicity risk management|sponsor obligations for subject safety in clinical trials"),
-    ("submit|submission|application|filing|dossier", "submission requirements application content format regulatory filing|what must be included in the submission or application"),
-    ("approv|approval|marketing authorisation|nda|bla", "marketing application approval regulatory pathway NDA BLA|conditions for approval review process decision"),
-    ("monitor|committee|oversight|review board|irb", "independent oversight committee monitoring responsibilities|IRB review board safety monitoring committee obligations"),
-    ("dose|dosing|dosage|exposure|pharmacokinetic|pk", "dose selection dosage optimisation pharmacokinetics exposure|recommended phase 2 dose dose-limiting toxicity dose adjustment"),
-    ("biomarker|diagnostic|ivd|companion|assay", "biomarker IVD companion diagnostic analytical validation|patient selection biomarker-defined population assay performance"),
-    ("pediatric|paediatric|adolescent|child|minor", "paediatric adolescent patient inclusion criteria dose adjustment|age-appropriate dosing safety monitoring younger patients"),
-    ("protocol|amendment|ind|investigational new drug", "protocol amendment IND submission content format requirements|changes to protocol sponsor notification FDA communication"),
-    ("cohort|expansion|phase 1|first-in-human|fih", "expansion cohort FIH trial design objectives safety monitoring|multiple cohort trial dose escalation subject population"),
+    (
+        ["eligib"],
+        [
+            "criteria requirements inclusion exclusion patient population",
+            "who qualifies conditions that must be met to participate",
+        ],
+    ),
+    (
+        ["require", "must", "mandatory", "obligat"],
+        [
+            "mandatory obligations regulatory requirement shall must",
+            "what is required by regulation or guidance document",
+        ],
+    ),
+    (
+        ["when ", "timing", "deadline", "how soon", "within"],
+        [
+            "timing sequence order of events timeline milestones",
+            "conditions that trigger this action deadline",
+        ],
+    ),
+    (
+        ["difference between", "differ", "vs ", "versus", "compared to", "contrast"],
+        [
+            "comparison contrast distinction how does X differ from Y",
+            "similarities and differences between two approaches or programmes",
+        ],
+    ),
+    (
+        ["defin", "what is", "what are", "meaning of"],
+        [
+            "definition meaning how is this concept defined in the guidance",
+            "scope and purpose of this term or programme",
+        ],
+    ),
+    (
+        ["process", "procedure", "how to", "steps", "workflow"],
+        [
+            "step-by-step procedure workflow how to submit or implement",
+            "timeline sequence submission process regulatory pathway",
+        ],
+    ),
+    (
+        ["exception", "special case", "unless", "except", "not required", "waive"],
+        [
+            "exception to the general rule special circumstance edge case",
+            "circumstances where standard rules or requirements do not apply",
+        ],
+    ),
+    (
+        ["inform", "consent", "disclosure", "patient information"],
+        [
+            "informed consent disclosure requirements regulatory obligations",
+            "patient information risks benefits alternative treatments",
+        ],
+    ),
+    (
+        ["safety", "adverse", "toxicity", "risk", "harm"],
+        [
+            "safety monitoring adverse event reporting toxicity risk management",
+            "sponsor obligations for subject safety in clinical trials",
+        ],
+    ),
+    (
+        ["submit", "submission", "application", "filing", "dossier"],
+        [
+            "submission requirements application content format regulatory filing",
+            "what must be included in the submission or application",
+        ],
+    ),
+    (
+        ["approv", "approval", "marketing authorisation", "nda", "bla"],
+        [
+            "marketing application approval regulatory pathway NDA BLA",
+            "conditions for approval review process decision",
+        ],
+    ),
+    (
+        ["monitor", "committee", "oversight", "review board", "irb"],
+        [
+            "independent oversight committee monitoring responsibilities",
+            "IRB review board safety monitoring committee obligations",
+        ],
+    ),
+    (
+        ["dose", "dosing", "dosage", "exposure", "pharmacokinetic", "pk"],
+        [
+            "dose selection dosage optimisation pharmacokinetics exposure",
+            "recommended phase 2 dose dose-limiting toxicity dose adjustment",
+        ],
+    ),
+    (
+        ["biomarker", "diagnostic", "ivd", "companion", "assay"],
+        [
+            "biomarker IVD companion diagnostic analytical validation",
+            "patient selection biomarker-defined population assay performance",
+        ],
+    ),
+    (
+        ["pediatric", "paediatric", "adolescent", "child", "minor"],
+        [
+            "paediatric adolescent patient inclusion criteria dose adjustment",
+            "age-appropriate dosing safety monitoring younger patients",
+        ],
+    ),
+    (
+        ["protocol", "amendment", "ind", "investigational new drug"],
+        [
+            "protocol amendment IND submission content format requirements",
+            "changes to protocol sponsor notification FDA communication",
+        ],
+    ),
+    (
+        ["cohort", "expansion", "phase 1", "first-in-human", "fih"],
+        [
+            "expansion cohort FIH trial design objectives safety monitoring",
+            "multiple cohort trial dose escalation subject population",
+        ],
+    ),
 ]
 
 
@@ -60,7 +162,7 @@ def ordered_expansion(questions: DataFrame, variants: DataFrame, q_id: str, text
 
 def rule_expansion(questions: DataFrame, q_id: str, text: str = "text") -> DataFrame:
     """Rows (q_id, rule_no, sub_query) of the rules that have a trigger anywhere in the lower-case question."""
-    rules = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("no"), F.array(*map(F.lit, t.split("|"))).alias("on"), F.array(*map(F.lit, s.split("|"))).alias("add")) for i, (t, s) in enumerate(RULES)])
+    rules = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("no"), F.array(*map(F.lit, t)).alias("on"), F.array(*map(F.lit, s)).alias("add")) for i, (t, s) in enumerate(RULES)])
     x = questions.select(q_id, F.lower(text).alias("_q"), F.explode(rules).alias("r")).where(F.exists("r.on", lambda t: F.contains(F.col("_q"), t)))
     return x.select(q_id, F.col("r.no").alias("rule_no"), F.explode("r.add").alias("sub_query"))
 

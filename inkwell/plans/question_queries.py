@@ -126,7 +126,7 @@ _UNIT = lambda x: f"greatest(0.0::double, least(1.0::double, case when try_cast(
 ORACLES = {
     "lexical_variants": f"with {_VARIANTS} select item_id, variant_no, variant from v",
     "question_expansion": f"with {_VARIANTS}, a as (select item_id, 0::bigint as n, trim(text) as sub_query from benchmark union all select item_id, variant_no, variant from v) select item_id, row_number() over (partition by item_id order by n) as pos, sub_query from (select item_id, sub_query, min(n) as n from a where sub_query <> '' group by 1, 2)",
-    "rule_expansion": "with r(no, t, s) as (values " + ", ".join(f"({i + 1}, {_list(t.split('|'))}, {_list(s.split('|'))})" for i, (t, s) in enumerate(understanding.RULES)) + ") select conv_id || ':' || turn as question, no::bigint as rule_no, unnest(s) as sub_query from conversations, r where role = 'user' and len(list_filter(t, lambda w: contains(lower(text), w))) > 0",
+    "rule_expansion": "with r(no, t, s) as (values " + ", ".join(f"({i + 1}, {_list(t)}, {_list(s)})" for i, (t, s) in enumerate(understanding.RULES)) + ") select conv_id || ':' || turn as question, no::bigint as rule_no, unnest(s) as sub_query from conversations, r where role = 'user' and len(list_filter(t, lambda w: contains(lower(text), w))) > 0",
     "enumeration_cues": f"""with c as (select conv_id, turn, text, {TOKENS} as t from conversations),
 h as (select conv_id, turn, list_filter([{', '.join(f"case when {_asks(p)} then '{n}' end" for n, p in understanding.CUES.items())}, case when list_contains(t, 'criteria') or len(list_filter(t[greatest(len(t) - 2, 1) : len(t)], lambda w: length(w) > 3 and w[-1] = 's')) > 0 then 'plural head noun' end], lambda x: x is not null) as h, {_asks(understanding.FACT)} as f from c),
 g as (select conv_id, turn, h, f and not list_contains(h, 'quantifier') as f from h)
