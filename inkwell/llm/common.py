@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -94,3 +95,18 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``: one row for each value of ``on``, with ``n``, the number of ``rows`` that have it.
+
+    A value with more than a quarter of a partition's even share of the rows is hot. At most four times as many values
+    as partitions are, so they are broadcast; the rows of each are dealt by ``spread`` over as many parts as it fills,
+    and its key stands in each part. ``keys`` is read twice: a written table. Values in ``on`` aren't null.
+    """
+    slots = 4 * partitions(rows.sparkSession)
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = F.broadcast(keys.where(F.col("n") * slots > total).select(*on, F.ceil(F.col("n") * slots / max(total, 1)).cast("long").alias("_parts")))
+    dealt = rows.join(hot, on, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)))
+    stood = keys.join(hot, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)))
+    return dealt.drop("_parts").join(stood.drop("_parts", "n"), [*on, "_part"], how).drop("_part")

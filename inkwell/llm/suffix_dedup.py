@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, meet, ship
 from .shingles import mix
 
 LENGTH = 200  # bytes of a string that must not repeat
@@ -169,9 +169,9 @@ def repeated_stretches(docs: DataFrame, at: Scratch, length: int = LENGTH) -> Da
                 yield pa.RecordBatch.from_arrays([*_take(b, "id k", i), *_longs(lo), pa.array(more.astype(np.int16)), pa.array(off.astype(np.int16)), *_longs(v, c)], names=["id", "k", "lo", "more", "off", "v", "c"])
 
     sampled = at.put(docs.mapInArrow(sample, f"{place}, more smallint, off smallint, v long, c long"), "sampled")
-    again = sampled.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
-    alive = at.put(sampled.join(again, "v"), "alive")
-    at.drop("sampled")
+    again = at.put(sampled.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    alive = at.put(meet(sampled, again, ["v"], ["id", "k", "lo"]), "alive")
+    at.drop("sampled", "again")
     whole, open_ = _equals(alive, ["v"], "c", at, "stretches")
     whole = at.put(whole.select("id", "k", "lo", (F.col("lo") + F.col("more")).alias("hi")), "done-2")
     open_ = open_.groupBy("id", "k").agg(F.collect_list(F.struct("lo", "more", "off", "v")).alias("spans"))
@@ -189,7 +189,7 @@ def repeated_stretches(docs: DataFrame, at: Scratch, length: int = LENGTH) -> Da
 
     joined = docs.alias("d").join(open_.alias("o"), _same("d", "o")).select("d.id", "d.k", "d.body", "o.spans")
     slices = at.put(joined.mapInArrow(cut, f"{place}, at long, far long, near long, v long, bytes binary"), "slices")
-    at.drop("alive", "stretches")
+    at.drop("alive", "stretches", "stretches-differ")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,8 +224,8 @@ def repeated_stretches(docs: DataFrame, at: Scratch, length: int = LENGTH) -> Da
 
     single = open_.join(anchor, here).select("id", "k", "lo", "off", "at", "far", "near", "v", "bytes").mapInArrow(windows, "id long, k long, p long, v long, w long")
     single = at.put(single, "windows")
-    twice = single.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "w")
-    done4 = single.join(twice, ["v", "w"]).select("id", "k", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    twice = at.put(single.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    done4 = meet(single, twice, ["v", "w"], ["id", "k", "p"]).select("id", "k", F.col("p").alias("lo"), F.col("p").alias("hi"))
     return whole.unionByName(done3).unionByName(done4)
 
 
@@ -235,10 +235,14 @@ def _equals(rows: DataFrame, group: list[str], rank: str, at: Scratch, name: str
     The latter are in groups of more than one rank: each row that equals no other, and the first of those that do.
     """
     kinds = at.put(rows.groupBy(*group, rank).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k", "lo")).alias("first")), name)
-    differ = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(*group)
-    equal = rows.join(kinds.where("n > 1").select(*group, rank), [*group, rank], "left_semi")
-    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.k") == F.col("k")) & (F.col("first.lo") == F.col("lo"))
-    return equal, rows.join(kinds.join(differ, group, "left_semi"), [*group, rank]).where((F.col("n") == 1) | first)
+    differ = at.put(kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-differ")
+    equal = meet(rows, kinds.where("n > 1").select(*group, rank, "n"), [*group, rank], ["id", "k", "lo"], "left_semi")
+    # of a kind of one row, that row is the first
+    first = meet(kinds.select(*group, rank, "first"), differ, group, [rank], "left_semi").select(*[F.col(c).alias(f"_{c}") for c in (*group, rank)], F.col("first.id").alias("_id"), F.col("first.k").alias("_k"), F.col("first.lo").alias("_lo"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    for c in (*group, rank, "k", "lo"):
+        same &= F.col(c) == F.col(f"_{c}")
+    return equal, rows.join(first, same, "left_semi")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -255,7 +259,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = Scratch(spark, "suffix")
     docs = _key(docs, id_col, text_col)
     spans = at.put(repeated_stretches(docs, at, length).groupBy("id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    at.drop("slices", "blocks", "cores", "windows", "done-2")
+    at.drop("slices", "blocks", "cores", "cores-differ", "windows", "twice", "done-2")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
