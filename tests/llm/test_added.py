@@ -193,3 +193,17 @@ def test_leaks_go_whatever_their_ids(spark):
     rows = [(None, f"{passage(rng, 9)} {item}"), (7, item), (7, passage(rng, 30)), (None, passage(rng, 30)), (None, None)]
     kept = [(r["doc_id"], r["text"]) for r in decontaminate.without_contaminated(frame(spark, rows), items).collect()]
     assert sorted(kept, key=str) == sorted([r for r in rows if not leaks(r[1], [(1, item)])], key=str) and len(kept) == 3
+
+
+def test_meet_splits_hot_values(spark):
+    """A value that holds most rows is dealt over parts; every row meets its key once, and rows without one go."""
+    from pyspark.sql import functions as F
+
+    from inkwell.llm.common import meet
+
+    rows = spark.range(3_000).select(F.col("id"), F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 50).alias("v"))
+    keys = rows.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("v < 40").withColumn("name", F.col("v") * 2)
+    want = sorted((r["id"], r["v"], r["v"] * 2) for r in rows.where("v < 40").collect())
+    assert sorted((r["id"], r["v"], r["name"]) for r in meet(rows, keys, ["v"], ["id"]).collect()) == want
+    assert sorted(r["id"] for r in meet(rows, keys, ["v"], ["id"], "left_semi").collect()) == [w[0] for w in want]
+    assert meet(rows, keys.where("false"), ["v"], ["id"]).count() == 0
