@@ -38,12 +38,17 @@ def snap_to_sentences(spans: DataFrame, docs: DataFrame, doc: str, key: str, tex
 def highlights(spans: DataFrame, doc: str, key: str) -> DataFrame:
     """Rows (doc, key, start, end) of the spans that are shown: by start, each that begins before the last shown one ends is left out.
 
-    A document's spans are folded as one array: they are those of one answer.
+    A document's spans are cut into islands where one begins at or after the end of all before it; only an island's
+    spans, which overlap in a chain, are folded as one array.
     """
+    by = Window.partitionBy(doc).orderBy("x")
+    reach = F.max("x.end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     s = spans.select(doc, F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(key).cast("long").alias("k")).alias("x"))
     begin = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<struct<start:bigint,end:bigint,k:bigint>>").alias("out"))
     step = lambda acc, x: F.when(x["start"] < acc["last"], acc).otherwise(F.struct(x["end"].alias("last"), F.array_append(acc["out"], x).alias("out")))
-    g = s.groupBy(doc).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    s = s.withColumn("_cut", F.when(F.col("x.start") < reach, 0).otherwise(1))
+    s = s.withColumn("_island", F.sum("_cut").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    g = s.groupBy(doc, "_island").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     out = g.select(doc, F.explode(F.aggregate("xs", begin, step, lambda acc: acc["out"])).alias("x"))
     return out.select(doc, F.col("x.k").alias(key), "x.start", "x.end")
 
