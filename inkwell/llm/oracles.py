@@ -50,4 +50,18 @@ f as (select number, shard, shard_size, least(coalesce(n, 0) * block, shard_size
 o as (select x.*, shard_size, quota, coalesce(sum(size) over (partition by number, shard order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as earlier from x join f using (number, shard))
 select doc_id, size, source_size, coalesce(target, 0) as target, case when shard_size > 0 then (quota // shard_size * size + greatest(0, least(size, quota % shard_size - earlier)))::bigint else 0 end as taken from o"""
 
-ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_jaccard_join": JACCARD_JOIN, "op10_mix": MIX}
+_BITS = {c: 1 << i for i, c in enumerate("ABCDE")}
+_BIT = lambda of: "case " + of + " " + " ".join(f"when '{c}' then {b}" for c, b in _BITS.items()) + " end"
+
+FILTER_AUDIT = rf"""with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
++ 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from d left join l using (doc_id)),
+s as (select part, mask, count(*) as n, sum(good) as n_good, sum(toxic) as n_toxic from m group by 1, 2),
+o as (select '' as o union all select o || c from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) as v(c) where not contains(o, c)),
+k as (select o as filter_order, step, {_BIT("o[step]")} as own, (select coalesce(sum({_BIT("o[j]")}), 0) from range(1, step) as r(j))::bigint as earlier from (select o, unnest(range(1, 6)) as step from o where length(o) = 5)),
+x as (select part, filter_order, step, n, n_good, n_toxic, mask, own, mask & own > 0 as fails, mask & earlier > 0 as taken from s, k)
+select part, filter_order, step::int as step, coalesce(sum(n) filter (not fails and not taken), 0)::bigint as kept, coalesce(sum(n) filter (fails and not taken), 0)::bigint as removed, coalesce(sum(n) filter (fails and taken), 0)::bigint as redundant, coalesce(sum(n) filter (mask = own), 0)::bigint as unique_fails,
+coalesce(sum(n_good) filter (fails and not taken), 0)::bigint as good_lost, coalesce(sum(n_toxic) filter (fails and not taken), 0)::bigint as toxic_lost, coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) filter (fails), 0)::bigint as shapley from x group by 1, 2, 3"""
+
+ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_jaccard_join": JACCARD_JOIN, "op10_mix": MIX, "op11_filter_audit": FILTER_AUDIT}
