@@ -64,4 +64,15 @@ x as (select part, filter_order, step, n, n_good, n_toxic, mask, own, mask & own
 select part, filter_order, step::int as step, coalesce(sum(n) filter (not fails and not taken), 0)::bigint as kept, coalesce(sum(n) filter (fails and not taken), 0)::bigint as removed, coalesce(sum(n) filter (fails and taken), 0)::bigint as redundant, coalesce(sum(n) filter (mask = own), 0)::bigint as unique_fails,
 coalesce(sum(n_good) filter (fails and not taken), 0)::bigint as good_lost, coalesce(sum(n_toxic) filter (fails and not taken), 0)::bigint as toxic_lost, coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) filter (fails), 0)::bigint as shapley from x group by 1, 2, 3"""
 
-ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_jaccard_join": JACCARD_JOIN, "op10_mix": MIX, "op11_filter_audit": FILTER_AUDIT}
+COLLOCATIONS = r"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p), t as (select lang, sum(len(w))::bigint as n from w group by 1),
+g as (select lang, w[i : i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) as v(k))),
+f as (select lang, g, count(*) as f from g group by 1, 2 having count(*) >= 10),
+c as (select a.lang, a.g, a.f as a, k, l.f as l, r.f as r, (1000000::hugeint * a.f * a.f // (l.f::hugeint * r.f))::bigint as score from (select *, unnest(range(1, len(g))) as k from f where len(g) > 1) a
+join f l on l.lang = a.lang and l.g = a.g[1 : k] join f r on r.lang = a.lang and r.g = a.g[k + 1 :]),
+b as (select * from c qualify row_number() over (partition by lang, g order by score, k) = 1),
+h as (select lang, g, max(f) as f from (select lang, g[1 : 2] as g, f from f where len(g) = 3 union all select lang, g[2 : 3], f from f where len(g) = 3) group by 1, 2),
+s as (select b.*, array_to_string(b.g, ' ') as phrase from b left join h on h.lang = b.lang and h.g = b.g where len(b.g) = 3 or h.f is null or 100 * h.f < 50 * b.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from s join t using (lang) qualify rank <= 2000"""
+
+ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op4_jaccard_join": JACCARD_JOIN, "op10_mix": MIX, "op11_filter_audit": FILTER_AUDIT, "op13_collocations": COLLOCATIONS}
