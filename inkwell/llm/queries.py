@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, filter_audit, html_text, jaccard, media, mixing, pii, secrets, suffix_dedup, tokens, toxicity
+from . import collocations, decontaminate, filter_audit, html_text, jaccard, language_model, media, mixing, pii, secrets, suffix_dedup, tokens, toxicity
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -64,8 +64,15 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
+    scores = language_model.lm_scores(docs, ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_token_counts, op4_jaccard_join, op5_personal_data, op6_media_columns, op7_html_extraction, op8_toxicity, op9_decontamination, op10_mix, op11_filter_audit, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_token_counts, op4_jaccard_join, op5_personal_data, op6_media_columns, op7_html_extraction, op8_toxicity, op9_decontamination, op10_mix, op11_filter_audit, op12_lm_scoring, op13_collocations)}

@@ -47,7 +47,7 @@ def dealt(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(shard, kind="stable")
     s = shard[order]
     begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
-    for b, e in zip(begins, [*begins[1:], len(s)], strict=True):
+    for b, e in zip(begins, np.append(begins[1:], len(s)) if len(s) else begins, strict=True):
         yield int(s[b]), order[b:e]
 
 
