@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +20,24 @@ _KINDS = ("u1", "u2", "u4", "u8", "f8", "f4", "?")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one block of bytes."""
+    """Arrays as one compressed block; the first bytes of all numbers of an array stand together, then the second ones, and so on."""
     out = [bytes([len(arrays)])]
     for a in arrays:
-        out += [bytes([_KINDS.index(a.dtype.str[1:] if a.dtype != bool else "?")]), len(a).to_bytes(8, "little"), a.tobytes()]
-    return b"".join(out)
+        out += [bytes([_KINDS.index(a.dtype.str[1:] if a.dtype != bool else "?")]), len(a).to_bytes(8, "little")]
+    for a in arrays:
+        wide = a.dtype.itemsize
+        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, wide).T).tobytes() if wide > 1 else a.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
-    out, at = [], 1
-    for _ in range(block[0]):
-        kind, n = np.dtype(_KINDS[block[at]]), int.from_bytes(block[at + 1 : at + 9], "little")
-        out.append(np.frombuffer(block, kind, n, at + 9))
-        at += 9 + n * kind.itemsize
+    block, out = zstandard.ZstdDecompressor().decompress(block), []
+    at = 1 + 9 * block[0]
+    for i in range(block[0]):
+        kind, n = np.dtype(_KINDS[block[1 + 9 * i]]), int.from_bytes(block[2 + 9 * i : 10 + 9 * i], "little")
+        bytes_ = np.frombuffer(block, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(bytes_.T).reshape(-1).view(kind) if kind.itemsize > 1 else bytes_[0].view(kind))
+        at += n * kind.itemsize
     return out
 
 

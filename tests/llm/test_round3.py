@@ -174,11 +174,11 @@ def plain_lm(docs: list[tuple]) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize(("docs", "step", "hot"), [(lines(8, 60), 1 << 20, 65_535), (lines(9, 40), 101, 12), (ODD, 1 << 20, 2), ([], 1 << 20, 9), ([(1, None, None, None)], 1 << 20, 9)])
+@pytest.mark.parametrize(("docs", "step", "hot"), [(lines(8, 60), 1 << 20, 262_143), (lines(9, 40), 101, 12), (ODD, 1 << 20, 2), ([], 1 << 20, 9), ([(1, None, None, None)], 1 << 20, 9)])
 def test_lm_scoring(spark, monkeypatch, tmp_path, docs, step, hot):
     monkeypatch.setattr(language_model, "STEP", step)
     monkeypatch.setattr(language_model, "SHARD", 2_000)
-    monkeypatch.setattr(language_model, "frequent", lambda v: vocabulary.frequent(v, hot))
+    monkeypatch.setattr(language_model, "frequent", lambda v, most: vocabulary.frequent(v, hot))
     spark.createDataFrame(docs, DOCS).withColumnRenamed("source", "digest").write.parquet(f"{tmp_path}/documents.parquet")
     key = lambda r: (str(r[0]), r[2], r[5])
     got, want = sorted((tuple(r) for r in QUERIES["op12_lm_scoring"](spark, str(tmp_path)).collect()), key=key), sorted(plain_lm(docs), key=key)
@@ -196,7 +196,7 @@ def test_classes_of_history_still_sum_to_one():
     seq = rng.choice(ids, 5_000, p=(x := 1 / np.arange(1, 31)) / x.sum())
     ctx = w.context(seq[1:-1], w.codes(seq[1:-1]), seq[:-2])
     assert len(np.unique(ctx)) > 30
-    trie = language_model.Trie(ctx, seq[:-2], seq[2:], np.ones(len(ctx), np.int64))
+    trie = language_model.Trie(language_model.Keys(ctx, seq[:-2], seq[2:]), np.ones(len(ctx), np.int64))
     for i in range(0, 200, 7):
-        p = trie.probability(np.repeat(ctx[i], 30), np.repeat(seq[i], 30), ids, np.full(30, 1 / 30))
+        p = trie.probability(language_model.Keys(np.repeat(ctx[i], 30), np.repeat(seq[i], 30), ids), np.full(30, 1 / 30))
         assert p.sum() == pytest.approx(1, abs=2e-3)
