@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from .common import ship
 
 # Elements whose content is never main text.
-NOT_TEXT = frozenset(
-    "head script style noscript template svg iframe object form button select textarea option nav header footer aside dialog menu".split()
-)
+NOT_TEXT = frozenset("head script style noscript template svg iframe object button select textarea option".split())
+# Elements of side matter, unless they hold most of the text or an article: whole pages stand in a form, a nav may never be closed.
+ASIDE = frozenset("form nav header footer aside dialog menu".split())
 # Elements that begin a new line; all others run on within it.
-BLOCK = NOT_TEXT | frozenset(
-    "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption"
-    " blockquote pre br hr address details summary figure figcaption center fieldset".split()
+BLOCK = (
+    NOT_TEXT
+    | ASIDE
+    | frozenset(
+        "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption"
+        " blockquote pre br hr address details summary figure figcaption center fieldset".split()
+    )
 )
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 # Words by which an element names itself a notice, an advert, comments or navigation.
@@ -31,7 +35,9 @@ SIDE = frozenset(
     " toolbar skip".split()
 )
 COMMENTS = frozenset("comment comments commentlist respond replies disqus reactions".split())
-CONTENT = frozenset("article content post entry story main body text section chapter".split())
+CONTENT = frozenset("article content post entry story main body text section chapter title heading headline editor paragraph".split())
+# Words that an article's own parts are named by as well.
+EITHER = frozenset("header masthead widget search notice".split())
 # A name that says that such a thing is there or not, as in has-sidebar, names no side matter.
 STATES = frozenset("has have no not with without is hide show".split())
 
@@ -52,11 +58,24 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in reversed(_ATTR.findall(raw))} if raw.strip(" /") else {}
 
 
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+
+
+def named_parts(value: str) -> list[list[str]]:
+    """The words of each name in a class, id or role: parted by hyphens, underscores, digits and capitals within a name."""
+    return [[p.lower() for p in _PARTS.findall(name)] for name in value.split()]
+
+
 def names_side(value: str) -> bool:
-    """Whether a class, id or role names side matter: by a whole word of it, or by the first or last part of one."""
-    for token in value.lower().split():
-        parts = [p for p in re.split(r"[_-]+", token) if p]
-        if parts and parts[0] not in STATES | CONTENT and {parts[0], parts[-1], "".join(parts)} & (SIDE | COMMENTS):
+    """Whether a class, id or role names side matter: by any word of a name, or by all of them as one word.
+
+    An article's header or a text widget is none, nor is a name that says whether side matter is there.
+    """
+    for parts in named_parts(value):
+        if not parts or parts[0] in STATES:
+            continue
+        found = {*parts, "".join(parts)} & (SIDE | COMMENTS)
+        if found - EITHER or (found and not CONTENT.intersection(parts)):
             return True
     return False
 
@@ -66,18 +85,20 @@ def _hidden(a: dict[str, str]) -> bool:
 
 
 class Lines:
-    """A page as lines between block elements: each a list of (piece of text, in a link, in an article, named elements around)."""
+    """A page as lines between block elements: each a list of (piece of text, in a link, in an article, innermost side element or -1)."""
 
     def __init__(self, page: str):
-        self.lines: list[list[tuple[str, bool, bool, tuple[int, ...]]]] = [[]]
-        self.comments: list[bool] = []  # of each element that names itself side matter: whether as comments
-        self.wraps: set[int] = set()  # those that hold an article or main element
+        self.lines: list[list[tuple[str, bool, bool, int]]] = [[]]
+        # of each element that may be side matter: the one around it, whether it names itself comments, whether it holds an article
+        self.parent: list[int] = []
+        self.comments: list[bool] = []
+        self.wraps: list[bool] = []
         self._read(page)
 
     def _read(self, page: str) -> None:
-        # open elements: (name, whether it is block, number if it names itself side matter, never main text)
+        # open elements: (name, whether it is block, the side element around it if it is one, never main text)
         stack: list[tuple[str, bool, int | None, bool]] = []
-        around: tuple[int, ...] = ()
+        around = -1
         never = inside = at = 0
         in_link = False
 
@@ -95,8 +116,6 @@ class Lines:
             if block:
                 if self.lines[-1]:
                     self.lines.append([])
-                if never and not inside and name in ("nav", "header", "footer", "aside") and not closing:
-                    self.lines.append([])
                 in_link = False
             if name in _RAW and not closing:
                 after = _RAW[name].search(page, at)
@@ -109,57 +128,64 @@ class Lines:
             if closing:
                 if any(n == name for n, *_ in stack):
                     while True:
-                        n, _, number, out = stack.pop()
+                        n, _, outer, out = stack.pop()
                         never -= out
                         inside -= n in ("article", "main")
-                        if number is not None:
-                            around = around[:-1]
+                        if outer is not None:
+                            around = outer
                         if n == name:
                             break
                 continue
             a = _attributes(m[3])
-            out = name in NOT_TEXT and not (name == "header" and inside) or (_hidden(a) and name not in ("html", "body"))
-            number = None
-            if not out and name not in ("html", "body", "main") and any(names_side(a.get(k, "")) for k in ("class", "id", "role")):
-                number = len(self.comments)
-                words = re.split(r"[\s_-]+", " ".join(a.get(k, "") for k in ("class", "id", "role")).lower())
-                self.comments.append(bool(COMMENTS & set(words)))
-            if block or out or number is not None or (stack and not stack[-1][1]):
+            out = name in NOT_TEXT or (_hidden(a) and name not in ("html", "body"))
+            names = [a.get(k, "") for k in ("class", "id", "role")]
+            side = not out and name not in ("html", "body", "main") and ((name in ASIDE and not (name == "header" and inside)) or any(map(names_side, names)))
+            outer = around if side else None
+            if side:
+                self.parent.append(around)
+                self.comments.append(any(COMMENTS.intersection(parts) for v in names for parts in named_parts(v)))
+                self.wraps.append(False)
+                around = len(self.parent) - 1
+            if block or out or side or (stack and not stack[-1][1]):
                 if name in ("article", "main"):
                     inside += 1
-                    self.wraps.update(around)
-                if number is not None:
-                    around = (*around, number)
+                    if around >= 0:
+                        self.wraps[around] = True
                 never += out
-                stack.append((name, block, number, out))
+                stack.append((name, block, outer, out))
         add(page[at:])
 
-    def side(self) -> set[int]:
-        """Those of the elements that name themselves side matter which are: none that holds an article element or most of the articles' text; of the page's where there is no article.
+    def side(self) -> list[bool]:
+        """Which of the elements that may be side matter are, or lie in one that is.
 
-        Comments may hold more than the article does.
+        None is that holds an article element, or most of the articles' text, or of the page's where there is no article. Text
+        in links doesn't count, unless there is no other: a menu may be longer than the article. Comments may hold more than the article does.
         """
-        total, own = [0, 0], [[0, 0] for _ in self.comments]  # outside and inside articles
+        n = len(self.parent)
+        total, own = [[0, 0], [0, 0]], [[[0, 0], [0, 0]] for _ in range(n)]  # without and with links: outside and inside articles
         for pieces in self.lines:
-            for piece, _, inside, around in pieces:
-                n = len(piece.strip())
-                total[inside] += n
-                for i in around:
-                    own[i][inside] += n
-
-        def most_of_it(i: int) -> bool:
-            most = 0.9 if self.comments[i] else 0.5
-            if total[1]:
-                return own[i][1] > most * total[1]
-            return own[i][0] > most * total[0]
-
-        return {i for i in range(len(own)) if not most_of_it(i) and i not in self.wraps}
+            for piece, link, inside, i in pieces:
+                size = len(piece.strip())
+                for sums in (total, *([own[i]] if i >= 0 else [])):
+                    sums[1][inside] += size
+                    sums[0][inside] += size * (not link)
+        for i in range(n - 1, -1, -1):  # what lies within comes after what is around it
+            if (p := self.parent[i]) >= 0:
+                self.wraps[p] |= self.wraps[i]
+                own[p] = [[x + y for x, y in zip(a, b, strict=True)] for a, b in zip(own[p], own[i], strict=True)]
+        k = int(not any(total[0]))
+        place = int(bool(total[k][1]))
+        out: list[bool] = []
+        for i in range(n):
+            most = own[i][k][place] > (0.9 if self.comments[i] else 0.5) * total[k][place]
+            out.append((self.parent[i] >= 0 and out[self.parent[i]]) or not (most or self.wraps[i]))
+        return out
 
     def blocks(self) -> list[tuple[str, float, bool]]:
         """(text, share of it in links, lies in an article) of each line with text; side matter between lines is one empty line."""
         side, out = self.side(), []
         for pieces in self.lines:
-            kept = [p for p in pieces if not side.intersection(p[3])]
+            kept = [p for p in pieces if p[3] < 0 or not side[p[3]]]
             text = " ".join(html.unescape("".join(p[0] for p in kept)).split())
             if text:
                 size = sum(len(p[0].strip()) for p in kept)
@@ -169,12 +195,15 @@ class Lines:
         return out
 
 
+_SENTENCE = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*$")
+
+
 def main_blocks(lines: list[tuple[str, float, bool]], window: int = 3, surge: int = 40) -> list[str]:
     """The lines between surge and dive of the text lengths summed over sliding windows.
 
     Lines that are mostly links count as length 0, side matter is an empty line. A run of positive window sums that
-    reaches ``surge`` is a text region: it begins where the sums leave 0 and ends where they fall back to it, and all
-    lines in it are kept, linked ones too. Where no run reaches it, the run of the largest sum is taken, so short
+    reaches ``surge``, or holds a line that ends as a sentence does, is a text region: it begins where the sums leave 0 and ends where they fall back to it, and all
+    lines in it are kept, linked ones too. Where there is none, the run of the largest sum is taken, so short
     articles stay. An article or main element that holds most of the text is the region itself, whole.
     """
     size = [len(t) if links <= 0.5 else 0 for t, links, _ in lines]
@@ -191,8 +220,8 @@ def main_blocks(lines: list[tuple[str, float, bool]], window: int = 3, surge: in
     least = min(surge, max(peaks))
     keep = {i for i, (t, _, inside) in enumerate(lines) if t and inside}
     for r, p in zip(runs, peaks, strict=True):
-        if p >= least:
-            text = [i for i in r.tolist() if size[i]]
+        text = [i for i in r.tolist() if size[i]]
+        if p >= least or any(_SENTENCE.search(lines[i][0]) for i in text):
             keep.update(i for i in range(text[0], text[-1] + 1) if lines[i][0])
     return [lines[i][0] for i in sorted(keep)]
 
