@@ -20,3 +20,15 @@ def cache_status(current: DataFrame, manifest: DataFrame, key: str = "path", mar
     c, m = current.select(key, F.col(mark).alias("_now")), manifest.select(key, F.col(mark).alias("_was"))
     status = F.when(F.col("_now").isNull(), "stale").when(F.col("_now") == F.col("_was"), "hit").otherwise("miss")
     return c.join(m, key, "full").select(key, status.alias("status"))
+
+
+def listing(registry: DataFrame, chunks: DataFrame, doc: str, page: str, section: str, text: str) -> DataFrame:
+    """The documents of ``registry`` with pages (the last page's number, from 0 on, and one), chunks, sections and characters; zeros where a document has no chunks."""
+    g = chunks.groupBy(doc).agg((F.max(page) + 1).alias("pages"), F.count(F.lit(1)).alias("chunks"), F.countDistinct(section).alias("sections"), F.sum(F.length(text)).alias("chars"))
+    return registry.join(g, doc, "left").fillna(0, ["pages", "chunks", "sections", "chars"])
+
+
+def labels_of(rows: DataFrame, registry: DataFrame, reg_id: str, label: str, order: str) -> DataFrame:
+    """Add ``label`` to rows with a document's id: that of the first entry of that id, null where there is none."""
+    first = registry.groupBy(reg_id).agg(F.min_by(label, order).alias(label))
+    return rows.join(first, reg_id, "left")

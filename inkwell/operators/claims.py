@@ -35,12 +35,15 @@ def is_meta(claim: Column) -> Column:
     return F.coalesce(F.lower(normalize(claim)).rlike("|".join(META)), F.lit(False))
 
 
-def claim_rollup(claims: DataFrame, key: str, claim: str = "claim", verdict: str = "verdict") -> DataFrame:
-    """Counts of claims by verdict; the ratio is of the supported over all that are not about the context itself, null if there are none."""
+def claim_rollup(claims: DataFrame, key: str, claim: str = "claim", verdict: str = "verdict", meta_counts: bool = False) -> DataFrame:
+    """Counts of claims by verdict; the ratio is of the supported over all that are not about the context itself, null if there are none.
+
+    With ``meta_counts`` it is over all claims: protocols leave none out. Claims whose check failed count in either.
+    """
     kind = F.when(is_meta(F.col(claim)), "meta").otherwise(F.col(verdict))
     names = ["supported", "unsupported", "contradicted", "error", "meta"]
     x = claims.select(key, kind.alias("_k")).groupBy(key).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("_k") == n).alias(n) for n in names])
-    rest = F.col("total") - F.col("meta")
+    rest = F.col("total") - (0 if meta_counts else F.col("meta"))
     return x.withColumn("ratio", F.when(rest > 0, F.round(F.col("supported") / rest, 4)))
 
 
@@ -63,6 +66,12 @@ BULLET, HEAD, BOLD = r"(?m)^\s*([-•*]|\d+[.)]|[a-z][.)])\s+", r"(?m)^\s*[A-Z][
 SENTENCE_END = r"[.;:]\s+[A-Z0-9(]"
 
 
+def answer_sentences(text: Column) -> Column:
+    """An answer's sentences: cut after a stop, semicolon or colon before a capital, a digit or a bracket; blank ones go."""
+    parts = F.split(F.trim(text), r"(?<=[.;:])\s+(?=[A-Z0-9(])")
+    return F.filter(parts, lambda s: s.rlike(r"\S"))
+
+
 def _sentence_count(text: Column) -> Column:
     return F.regexp_count(F.trim(text), F.lit(SENTENCE_END)) + 1
 

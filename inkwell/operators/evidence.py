@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..sources.package import ship
 
 SEED_WORDS = 6
 
@@ -82,6 +85,7 @@ def align_fuzzy(docs: DataFrame, quotes: DataFrame, d_id: str = "doc_id", q_id:
     on their fingerprints that carries where they stand; windows of the quote's length around there are compared by
     their longest common subsequence. A quote with an edit in every run is not found. Null texts hold nothing.
     """
+    ship(docs.sparkSession)
     words = lambda c: F.split(F.lower(normalize(F.col(c))), " ")
 
     def runs(df: DataFrame, key: str, at: str) -> DataFrame:
@@ -119,6 +123,74 @@ def align_fuzzy(docs: DataFrame, quotes: DataFrame, d_id: str = "doc_id", q_id:
     return found.select(F.col("d").alias(d_id), F.col("q").alias(q_id), "start", "end", "score", grounding_label(F.col("score"), 90.0, cutoff).alias("label"))
 
 
+def best_place(quote: str, text: str, cutoff: float) -> tuple[int, int, float] | None:
+    """(start, end, score) of the window of ``text`` most like ``quote``, the first of equals; None where all are below ``cutoff``.
+
+    Windows have the quote's length; before the text's start and past its end they are cut. No window is left out: from one
+    to the next the common subsequence grows by one at most, so where it lacks k, the next k - 1 windows can't reach
+    what is needed. A text shorter than the quote is looked for in the quote, and counts as a whole.
+    """
+    if not quote or not text:
+        return None
+    if (at := text.find(quote)) >= 0:
+        return at, at + len(quote), 100.0
+    if len(text) < len(quote):
+        turned = best_place(text, quote, cutoff)
+        return turned and (0, len(text), turned[2])
+    m, best = len(quote), (cutoff, 1, 0, 0)  # score, minus start (first of equals), start, end
+    masks: dict[str, int] = {}
+    for i, c in enumerate(quote):
+        masks[c] = masks.get(c, 0) | 1 << i
+    found = False
+
+    def lacks(start: int, end: int) -> int:
+        """What the window lacks of the subsequence that it needs to be the best; keeps it where it lacks nothing."""
+        nonlocal best, found
+        size, c = m + end - start, _common(masks, m, text[start:end])
+        score = 200 * c / size
+        if score >= best[0] and (not found or score > best[0] or start < best[2]):
+            best, found = (score, 0, start, end), True
+        return max(1, math.ceil(best[0] * size / 200 - 1e-9) - c)
+
+    s = 0
+    while s <= len(text) - m:
+        s += lacks(s, s + m)
+    least = int(cutoff * m / (200 - cutoff))  # a shorter window can't reach the cutoff
+    for n in range(m - 1, max(least, 1) - 1, -1):
+        lacks(0, n)
+        lacks(len(text) - n, len(text))
+    return (best[2], best[3], best[0]) if found else None
+
+
+def align_pairs(pairs: DataFrame, key: list[str], cutoff: float = 78.0, least: int = 12) -> DataFrame:
+    """Rows (key, quote, start, end, score, label) for stated pairs (key, quote, text): the most similar place, if any reaches ``cutoff``.
+
+    Places are those of the text itself, white space and all; a score is 200 times the longest common subsequence over both
+    lengths. Every window is taken into account, whatever the edits: nothing that reaches the cutoff is missed. Equal
+    pairs are aligned once, pairs apart from each other. Quotes under ``least`` characters and null or empty texts give no rows.
+    """
+    ship(pairs.sparkSession)
+    x = pairs.where("quote is not null and text is not null").select(*key, "quote", "text").dropDuplicates([*key, "quote"])
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in key)
+
+    def run(parts):
+        import pandas as pd
+
+        for part in parts:
+            out = []
+            for *k, quote, text in part.itertuples(index=False):
+                bare = " ".join(quote.split())
+                if len(bare) < least:
+                    continue
+                flat, places = flattened(text)
+                if hit := best_place(bare, flat, cutoff):
+                    out.append((*k, quote, places[hit[0]], places[min(hit[1], len(flat))], round(hit[2], 1)))
+            yield pd.DataFrame(out, columns=[*key, "quote", "start", "end", "score"])
+
+    found = x.mapInPandas(run, f"{kinds}, quote string, start long, end long, score double")
+    return found.withColumn("label", grounding_label(F.col("score"), 90.0, cutoff))
+
+
 def in_original(pairs: DataFrame, text: str, quote: str) -> DataFrame:
     """Add ``start`` and ``end`` of the quote's first place in the text itself, where any white space stands for a space; null if it isn't there."""
     pattern = F.concat(F.lit(r"\Q"), F.regexp_replace(F.regexp_replace(F.trim(quote), r"\\E", ""), r"\s+", r"\\E\\s+\\Q"), F.lit(r"\E"))

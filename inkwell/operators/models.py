@@ -2,43 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Model = Callable[[list[str]], list[str]]
+from ..sources.package import ship
+from ..sources.shared import shared_folder
+from .evidence import align_pairs, grounding_label
+from .replies import Gate, Model, called
+from .retrieval import inner_product
+
 Embed = Callable[[list[str]], list[list[float]]]
 
 
-def replies(rows: DataFrame, prompt: Column, model: Model | None, out: str = "reply") -> DataFrame:
+def replies(rows: DataFrame, prompt: Column, model: Model | None, out: str = "reply", gate: Gate = Gate()) -> DataFrame:
     """Add ``out``: the model's reply to each row's prompt; null without a model or a prompt, and where a call fails.
 
-    Equal prompts are sent once, a batch at a time; a failing batch doesn't end the job.
+    Equal prompts are sent once, a batch at a time; a failing batch is sent again prompt by prompt. Nothing is kept:
+    ``replies.with_replies`` does the same by a store.
     """
     key = f"_{out}_key"
     x = rows.withColumn(key, F.sha2(prompt, 256))
     if model is None:
         return x.withColumn(out, F.lit(None).cast("string")).drop(key)
 
+    ship(rows.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            try:
-                part[out] = model(part["_prompt"].tolist())
-            except Exception:  # an outside service may fail in any way; its replies are then missing
-                part[out] = None
+            part[out] = [reply for reply, _, _ in called(model, part["_prompt"].tolist(), gate)]
             yield part[[key, out]]
 
     asked = x.select(key, prompt.alias("_prompt")).where(F.col(key).isNotNull()).dropDuplicates([key])
     return x.join(asked.mapInPandas(run, f"{key} string, {out} string"), key, "left").drop(key)
 
 
-def expanded(questions: DataFrame, model: Model | None, q_id: str, text: str = "text", most: int = 3) -> DataFrame:
-    """Rows (q_id, pos, sub_query): each question and up to ``most`` lines of the model's reply, trimmed, each once; without a reply the question alone."""
+def expanded(questions: DataFrame, model: Model | None, q_id: str, text: str = "text") -> DataFrame:
+    """Rows (q_id, pos, sub_query): each question and the strings of the model's JSON array, trimmed, each once.
+
+    Code fences around the array go. A reply that is no array of that kind, and any element that is no string, adds
+    nothing; without a reply the question stands alone. Every string counts, however many there are.
+    """
     x = replies(questions.select(q_id, F.trim(text).alias("q")), F.lower("q"), model)
-    lines = F.filter(F.transform(F.split(F.coalesce("reply", F.lit("")), "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    all_ = F.array_distinct(F.concat(F.array("q"), F.slice(lines, 1, most)))
+    bare = F.trim(F.regexp_replace("reply", r"```(?:json)?", ""))
+    # elements as raw JSON: a string stands in quotes, anything else doesn't
+    raw = F.from_json(F.concat(F.lit('{"a":'), bare, F.lit("}")), "a array<variant>", {"mode": "PERMISSIVE"})["a"]
+    strings = F.filter(F.transform(F.coalesce(raw, F.array()), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.trim(F.try_variant_get(v, "$", "string")))), lambda s: s != "")
+    all_ = F.array_distinct(F.concat(F.array("q"), strings))
     return x.select(q_id, F.posexplode(all_).alias("pos", "sub_query"))
 
 
@@ -87,12 +100,59 @@ def semantic_match(rows: DataFrame, embed: Embed | None, a: str, b: str) -> Data
     return x.withColumn("match", match).drop("_va", "_vb")
 
 
-def map_reduced(parts: DataFrame, model: Model | None, key: str, no: str, text: str) -> DataFrame:
-    """Rows (key, narrative): the model's notes on each part, joined in order, once more through the model; the joined notes where it gives none."""
-    notes = replies(parts, F.col(text), model, "note")
-    joined = notes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(no, F.coalesce("note", text).alias("n")))).alias("ns"))
-    x = replies(joined.select(key, F.array_join(F.col("ns.n"), "\n\n").alias("notes")), F.col("notes"), model, "narrative")
-    return x.select(key, F.coalesce("narrative", "notes").alias("narrative"))
+PART = 14_000  # characters of a context that a model reads at once
+
+
+def context_parts(contexts: DataFrame, key: list[str], text: str = "text", most: int = PART) -> DataFrame:
+    """Rows (key, part, text): a context cut at newlines, each part as many whole lines as come to ``most`` characters.
+
+    A line over ``most`` is a part by itself; nothing is cut off. A context's lines meet in one row, as its text does.
+    """
+    begin = F.struct(F.lit(0).alias("size"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fresh = (acc["no"] < 0) | ((acc["size"] + n > most) & (acc["size"] > 0))
+        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
+        return F.struct(F.when(fresh, n + 1).otherwise(acc["size"] + n + 1).alias("size"), no.alias("no"), F.array_append(acc["out"], no).alias("out"))
+
+    x = contexts.where(F.col(text).isNotNull()).select(*key, F.split(text, "\n", -1).alias("ls"), F.length(text).alias("n"))
+    nos = F.when(F.col("n") <= most, F.transform("ls", lambda _: F.lit(0))).otherwise(F.aggregate(F.transform("ls", lambda s: F.length(s)), begin, step, lambda acc: acc["out"]))
+    x = x.withColumn("z", F.arrays_zip(nos.alias("p"), F.col("ls").alias("l")))
+    parts = F.transform(F.array_distinct("z.p"), lambda p: F.struct(p.alias("part"), F.array_join(F.transform(F.filter("z", lambda s: s["p"] == p), lambda s: s["l"]), "\n").alias("text")))
+    return x.select(*key, F.inline(parts))
+
+
+def map_reduced(parts: DataFrame, model: Model | None, key: str, no: str, text: str, most: int = PART) -> DataFrame:
+    """Rows (key, narrative, passes, rounds): the model's notes on a question's parts, merged until one is left.
+
+    Each part, in the order of ``no`` and cut at newlines to ``most`` characters, is sent by itself; notes are joined in order,
+    cut again and sent again, in a tree whose every call reads ``most`` characters or one line, so that no call holds all notes. ``passes`` counts
+    the first cut's parts, ``rounds`` the merges. A part without a reply stands for its own note. It ends when a
+    question has one part, or a round doesn't bring its parts down: then those notes are joined as they are.
+    """
+    spark = parts.sparkSession
+    folder = f"{shared_folder(spark)}/narratives-{uuid.uuid4().hex}"
+    joined = parts.where(F.col(text).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(no, F.col(text).alias("t")))).alias("ts"))
+    cut = context_parts(joined.select(key, F.array_join("ts.t", "\n").alias("text")), [key], "text", most)
+    done: list[DataFrame] = []
+    passes, k = cut.groupBy(key).agg(F.count(F.lit(1)).alias("passes")), 0
+    while True:
+        notes = replies(cut, F.col("text"), model, "note").withColumn("note", F.coalesce("note", "text"))
+        notes.write.parquet(f"{folder}/{k}")
+        notes = spark.read.parquet(f"{folder}/{k}")
+        whole = notes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "note"))), lambda s: s["note"]), "\n\n").alias("text"))
+        done.append(whole.where("n = 1").select(key, F.col("text").alias("narrative"), F.lit(k).cast("long").alias("rounds")))
+        cut = context_parts(whole.where("n > 1"), [key], "text", most)
+        stuck = cut.groupBy(key).agg(F.count(F.lit(1)).alias("m")).join(whole, key).where("m >= n")
+        done.append(stuck.select(key, F.col("text").alias("narrative"), F.lit(k).cast("long").alias("rounds")))
+        cut = cut.join(stuck.select(key), key, "left_anti")
+        if not len(cut.take(1)):
+            break
+        k += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.join(passes, key).select(key, "narrative", "passes", "rounds")
 
 
 def routed(questions: DataFrame, model: Model | None, prompt: Column) -> DataFrame:
@@ -110,9 +170,62 @@ def relevancy(answers: DataFrame, model: Model | None, question: str, answer: st
     return x.withColumn("relevancy", score).withColumn("relevant", F.col("relevancy") >= threshold).drop("_rel")
 
 
+ANSWER = "document_title string, document_date string, answer string, key_requirements array<string>, source_evidence array<string>, source_passages_used string, confidence_score double"
+
+
 def answered(questions: DataFrame, model: Model | None, question: str, context: str) -> DataFrame:
-    """Add ``reply`` to each question with its context; a question without context is not sent."""
-    return replies(questions, F.when(F.trim(context) != "", F.concat_ws("\n\n", context, question)), model)
+    """Add ``reply`` and ``parsed``, the reply's fields, to each question with its context; a question without context is not sent.
+
+    A reply that is no JSON object with an answer and a confidence from 0 to 1 is on record under the title PARSE_ERROR, with
+    confidence 0 and the raw reply in its answer. No reply gives no record.
+    """
+    x = replies(questions, F.when(F.trim(context) != "", F.concat_ws("\n\n", context, question)), model)
+    r = F.from_json(F.trim(F.regexp_replace("reply", r"```(?:json)?", "")), ANSWER)
+    ok = r["answer"].isNotNull() & r["confidence_score"].between(0.0, 1.0)
+    none = F.array().cast("array<string>")
+    lost = F.struct(F.lit("PARSE_ERROR").alias("document_title"), F.lit("unknown").alias("document_date"), F.concat(F.lit("The reply is not of the expected form.\n\nRaw output:\n"), F.col("reply")).alias("answer"), none.alias("key_requirements"), none.alias("source_evidence"), F.lit("").alias("source_passages_used"), F.lit(0.0).alias("confidence_score"))
+    return x.withColumn("parsed", F.when(F.col("reply").isNull(), None).when(F.coalesce(ok, F.lit(False)), r).otherwise(lost))
+
+
+EXTRACTION = "title string, answer string, confidence double, groups array<struct<heading:string,items:array<struct<text:string,evidence:string>>>>"
+
+
+def generative_extraction(questions: DataFrame, model: Model | None, key: str, prompt: Column, view: str, segments: DataFrame | None = None) -> DataFrame:
+    """Rows (key, item_id, heading, text, evidence, start, end, doc_start, doc_end, score, grounding) of the items in the model's reply.
+
+    Each quote, or the item's text where it has none, is aligned with its question's ``view``; equal quotes of a question once.
+    ``segments`` (key, doc_start, doc_end, view_start) lead a place in the view back to the document. Groups without items go;
+    without a usable reply there are no rows. Items are numbered in the reply's order; texts are cut to 600 characters, as they are shown.
+    """
+    x = replies(questions.select(key, prompt.alias("_p"), F.col(view).alias("_view")), F.col("_p"), model)
+    g = x.select(key, "_view", F.posexplode(F.from_json(F.trim(F.regexp_replace("reply", r"```(?:json)?", "")), EXTRACTION)["groups"]).alias("g", "group"))
+    i = g.select(key, "_view", "g", F.coalesce("group.heading", F.lit("Findings")).alias("heading"), F.posexplode("group.items").alias("i", "item"))
+    quote = F.coalesce(F.nullif("item.evidence", F.lit("")), "item.text", F.lit(""))
+    i = i.withColumn("evidence", quote).withColumn("text", F.substring(F.coalesce("item.text", quote), 1, 600))
+    found = align_pairs(i.select(key, F.col("evidence").alias("quote"), F.col("_view").alias("text")), [key], least=1)
+    order = Window.partitionBy(key).orderBy("g", "i")
+    out = i.join(found.withColumnRenamed("quote", "evidence"), [key, "evidence"], "left").withColumn("item_id", F.concat(F.lit("i"), F.lpad((F.row_number().over(order) - 1).cast("string"), 4, "0")))
+    out = out.select(key, "item_id", "heading", "text", "evidence", "start", "end", F.coalesce("score", F.lit(0.0)).alias("score"))
+    if segments is not None:
+        s = segments.select(key, "doc_start", "view_start", (F.col("view_start") + F.col("doc_end") - F.col("doc_start")).alias("_to"))
+        at = out.select(key, "item_id", "start", "end").join(s, key).where("view_start <= start and start < _to").groupBy(key, "item_id").agg(F.min(F.struct("view_start", "doc_start")).alias("_s"), F.first("start").alias("_a"), F.first("end").alias("_z"))
+        shift = F.col("_s.doc_start") - F.col("_s.view_start")
+        out = out.join(at.select(key, "item_id", (F.col("_a") + shift).alias("doc_start"), (F.col("_z") + shift).alias("doc_end")), [key, "item_id"], "left")
+    else:
+        out = out.withColumn("doc_start", F.lit(None).cast("long")).withColumn("doc_end", F.lit(None).cast("long"))
+    return out.select(key, "item_id", "heading", "text", "evidence", "start", "end", "doc_start", "doc_end", "score", grounding_label(F.col("score")).alias("grounding"))
+
+
+def semantic_utilisation(answers: DataFrame, chunks: DataFrame, key: str, vector: str = "embedding", rank: str = "rnk", most: int = 60, least: float = 0.30) -> DataFrame:
+    """Rows (key, utilisation): of the first ``most`` chunks of each question, the share whose vector's product with the answer's is ``least`` or more.
+
+    ``answers`` has (key, vector), ``chunks`` (key, rank, vector), from a cached table of vectors. Chunks meet their own answer
+    alone, by the key. Questions without a vector or without chunks have none.
+    """
+    first = chunks.where(F.col(vector).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(rank))).where(F.col("_n") <= most)
+    x = first.select(key, F.col(vector).alias("_c")).join(answers.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_a")), key)
+    near = inner_product(F.col("_a"), F.col("_c")) >= least
+    return x.groupBy(key).agg(F.round(F.avg(near.cast("double")), 4).alias("utilisation"))
 
 
 def fallback_sentences(answers: DataFrame, embed: Embed | None, key: str, answer: str, chunk: str) -> DataFrame:

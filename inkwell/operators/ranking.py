@@ -25,6 +25,16 @@ def merged_documents(hits: DataFrame, query: str, doc: str, item: str, score: st
     return top_k(one, query, item, score, k)
 
 
+def section_title_scores(questions: DataFrame, sections: DataFrame, q_id: str, s_id: str, fields: tuple[str, ...] = ("title", "full_title", "path")) -> DataFrame:
+    """Rows (q_id, s_id, score): the best score of a section's title fields, .85 containment + .15 F1 each; pairs without a shared token aren't formed."""
+    q = questions.select(q_id, F.array_distinct(tokens(F.col("text"))).alias("t")).select(q_id, F.size("t").alias("nq"), F.explode("t").alias("t"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.array_distinct(tokens(F.coalesce(f, F.lit("")))).alias("t")) for i, f in enumerate(fields)])).alias("f")
+    s = sections.select(s_id, each).select(s_id, "f.field", F.size("f.t").alias("nt"), F.explode("f.t").alias("t"))
+    both = q.join(s, "t").groupBy(q_id, s_id, "field", "nq", "nt").agg(F.count(F.lit(1)).alias("b"))
+    score = 0.85 * (F.col("b") / F.col("nq")) + 0.15 * (2 * F.col("b") / (F.col("nq") + F.col("nt")))
+    return both.groupBy(q_id, s_id).agg(F.round(F.max(score), 6).alias("score"))
+
+
 def title_scores(questions: DataFrame, titles: DataFrame, q_id: str, t_id: str, k: int = 10) -> DataFrame:
     """The k titles that hold most of each question's tokens: .85 containment + .15 F1. Pairs without a shared token aren't formed."""
     q = questions.select(q_id, F.array_distinct(tokens(F.col("text"))).alias("t")).select(q_id, F.size("t").alias("nq"), F.explode("t").alias("t"))
@@ -42,6 +52,12 @@ def concentration(hits: DataFrame, query: str, section: str, item: str, score: s
     return x.select(query, F.col(f"b.{section}").alias("dominant"), F.round(F.col("b.m") / F.col("all"), 4).alias("concentration"), F.col("b.n").alias("hits"))
 
 
+def section_concentration(hits: DataFrame, sections: DataFrame, query: str, section: str, item: str, score: str, k: int = TOP_HITS) -> DataFrame:
+    """``concentration`` over the k best hits less those in navigational sections; ``sections`` has (section, navigational). A question whose best hits all lie there has no row."""
+    best = top_k(hits, query, item, score, k).drop("rnk")
+    return concentration(best.join(sections.where("navigational").select(section), section, "left_anti"), query, section, item, score, k)
+
+
 def subquery_agreement(hits: DataFrame, final: DataFrame, question: str, sub: str, item: str) -> DataFrame:
     """Rows (question, agreement_ratio, mean_hits): over final items, the share that more than one sub-query found, and sub-queries an item."""
     n = final.join(hits, [question, item], "left").groupBy(question, item).agg(F.countDistinct(sub).alias("n"))

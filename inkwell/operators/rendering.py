@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,45 @@ def score_band(score: Column, high: float = 0.8, middle: float = 0.5) -> Column:
     return F.when(score >= high, "high").when(score >= middle, "medium").when(score.isNotNull(), "low")
 
 
+def percent(share: Column) -> Column:
+    """A share as whole percents, halves away from zero; a dash where there is none."""
+    return F.coalesce(F.concat(F.round(share * 100, 0).cast("long").cast("string"), F.lit("%")), F.lit("–"))
+
+
+#: Schemes by which a figure is shown: (lowest value, word) from the top; what is below all has the last word.
+BANDS = {"confidence": ((0.8, "high"), (0.5, "medium"), (None, "low")), "match": ((80.0, "strong"), (55.0, "fair"), (None, "weak")), "majority": ((50.000001, "yes"), (None, "no"))}
+
+
+def band(value: Column, scheme: str) -> Column:
+    """The word of a figure's band; null where there is no figure."""
+    out = None
+    for least, word in BANDS[scheme]:
+        if least is None:
+            out = F.when(value.isNotNull(), word) if out is None else out.when(value.isNotNull(), word)
+        else:
+            out = F.when(value >= least, word) if out is None else out.when(value >= least, word)
+    return out
+
+
+def prompts(questions: DataFrame, hits: DataFrame, history: DataFrame, key: str, template: str, most_turns: int = 6) -> DataFrame:
+    """Add ``prompt`` to (key, question): the template's {context}, {history} and {question} filled in.
+
+    Passages (key, rnk, source, page, score, text) are numbered in the order of their rank; the last ``most_turns`` turns (key, turn, role,
+    text) stand in order under a heading, which goes where there are none. What the texts hold is not looked at as a template.
+    """
+    number = F.row_number().over(Window.partitionBy(key).orderBy("rnk"))
+    line = F.format_string("\n[Context %d] Source: %s | Page: %s | Confidence: %.4f\n%s\n", number, F.col("source"), F.col("page").cast("string"), F.col("score"), F.col("text"))
+    joined = lambda df, n, c: df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(n).alias("n"), F.col(c).alias("t")))), lambda s: s["t"]), "").alias(c))
+    context = joined(hits.withColumn("context", line), "rnk", "context")
+    last = history.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("turn")))).where(F.col("_n") <= most_turns)
+    said = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), "text", F.lit("\n"))
+    turns = joined(last.withColumn("history", said), "turn", "history").withColumn("history", F.concat(F.lit("\n## CONVERSATION HISTORY\n"), "history", F.lit("\n")))
+    x = questions.join(context, key, "left").join(turns, key, "left")
+    values = {"context": F.coalesce("context", F.lit("")), "history": F.coalesce("history", F.lit("")), "question": F.col("question")}
+    parts = [values[p] if i % 2 else F.lit(p) for i, p in enumerate(re.split(r"\{(context|history|question)\}", template))]
+    return x.withColumn("prompt", F.concat(*parts)).drop("context", "history")
+
+
 def html_escape(text: Column) -> Column:
     for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(code))

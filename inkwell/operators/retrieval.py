@@ -23,17 +23,18 @@ def term_counts(corpus: DataFrame, d_id: str, text: str = "text") -> DataFrame:
     """
     d = corpus.select(d_id, plain_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ws")).withColumn("dl", F.size("ws"))
     words = d.select(d_id, "dl", F.explode_outer("ws").alias("w")).groupBy(d_id, "dl", "w").agg(F.count("w").alias("n"))
-    stems = words.where("w is not null").select("w").distinct().select("w", stem(F.col("w")).alias("t"))
+    stems = words.where("w is not null").groupBy("w").agg(F.max(F.col("n") > 0)).select("w", stem(F.col("w")).alias("t"))
     return words.join(stems, "w", "left").groupBy(d_id, "dl", "t").agg(F.sum("n").alias("tf"))
 
 
 def bm25(questions: DataFrame, corpus: DataFrame, q_id: str, d_id: str, text: str = "text") -> DataFrame:
     """Rows (q_id, d_id, score) of all pairs that share a token; one in more than half of the corpus weighs a quarter of the mean idf."""
     q = questions.select(q_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    counts = term_counts(corpus, d_id, text)
-    docs = counts.select(d_id, "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = counts.where("t is not null")
-    df = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(docs))  # one row
+    lengths = corpus.select(d_id, F.size(plain_tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl")).distinct()
+    docs = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    tf = term_counts(corpus, d_id, text).where("t is not null")
+    # counted by tf, so that both uses of the term counts are one and the same shuffle
+    df = tf.groupBy("t").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(docs))  # one row
     df = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = F.broadcast(df.agg((F.avg("raw") * 0.25).alias("floor")))  # one row
     idf = df.join(q.select("t").distinct(), "t", "left_semi").crossJoin(floor).select("t", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))

@@ -46,6 +46,11 @@ def review_priority(mean_score: Column, judge: Column, spread: Column) -> Column
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base)), F.lit(0.0))
 
 
+def guidance_priority(mean_score: Column, judge: Column, spread: Column) -> tuple[Column, Column]:
+    """``review_priority``, and whether an answer calls for review whatever it is: where it has no context at all."""
+    return review_priority(mean_score, judge, spread), mean_score.isNull()
+
+
 def requirement_coverage(pairs: DataFrame, key: str, requirement: str, answer: str) -> DataFrame:
     """Rows (key, covered, uncovered) over (key, requirement, answer): covered from two shared key tokens on, one where the requirement has two or fewer."""
     r, a = key_tokens(F.col(requirement)), key_tokens(F.col(answer))

@@ -42,8 +42,9 @@ def ordered_distinct(rows: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def checked_batch(rows: DataFrame, key: str, pos: str, most: int = 50) -> DataFrame:
-    """A web request's questions: distinct ones in order, at most ``most``; none at all is an error."""
-    out = ordered_distinct(rows, key, pos).where(F.col("pos") <= most)
-    if out.isEmpty():
-        raise ValueError("the batch holds no question")
+    """A web request's questions: distinct ones in order; none at all, or more than ``most``, is an error: none is left out silently."""
+    out = ordered_distinct(rows, key, pos)
+    n = out.limit(most + 1).count()
+    if not 0 < n <= most:
+        raise ValueError(f"the batch holds no question or more than {most}" if n else "the batch holds no question")
     return out

@@ -26,6 +26,20 @@ def sentence_spans(docs: DataFrame, doc: str, text: str = "text") -> DataFrame:
     return x.select(doc, "s", (F.col("s") + F.length("t")).alias("e"))
 
 
+def sentence_index(spans: DataFrame, doc: str) -> DataFrame:
+    """Rows (doc, start, end): the places of a document's sentences, each once. In the order of start and end one can only lie in the one before it, start for start, if they are equal."""
+    return spans.select(doc, "start", "end").distinct()
+
+
+def line_edges(offsets: DataFrame, lines: DataFrame, doc: str, key: str) -> DataFrame:
+    """Rows (doc, key, x): the left edge of the line that each offset ``at`` is on, from lines (doc, start, x); -1 before the first one. One ordered pass a document."""
+    none = F.lit(None)
+    a = offsets.select(doc, F.col("at").alias("_p"), F.lit(1).alias("_k"), F.col(key), none.cast("double").alias("_x"))
+    b = lines.select(doc, F.col("start").alias("_p"), F.lit(0).alias("_k"), none.cast(offsets.schema[key].dataType).alias(key), F.coalesce("x", F.lit(-1.0)).alias("_x"))
+    w = Window.partitionBy(doc).orderBy("_p", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    return a.unionByName(b).withColumn("x", F.coalesce(F.last("_x", True).over(w), F.lit(-1.0))).where("_k = 1").select(doc, key, "x")
+
+
 def snap_to_sentences(spans: DataFrame, docs: DataFrame, doc: str, key: str, text: str = "text") -> DataFrame:
     """Rows (doc, key, start, end): spans grown to the sentences that they overlap; only documents with spans are split."""
     found = sentence_spans(docs.join(spans.select(doc).distinct(), doc, "left_semi"), doc, text)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
 from .items import MARKERS
 
 # Fixed patterns: a numbered heading on a line of its own, a bare page number.
@@ -18,11 +19,17 @@ FRONT = 200  # characters before the first section from which on they are one of
 CHUNK, OVERLAP, LEAST = 1_100, 220, 120  # characters of a chunk, carried over to the next one, and least to be kept
 
 
+def numbered_lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Rows (keep, _row, no, line, at) of each line of each row's text, with its place; ``_row`` tells rows apart, repeated ones too."""
+    x = df.where(F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    x = x.select("_row", *keep, F.posexplode(F.split(text, "\n", -1)).alias("no", "line"))
+    before = Window.partitionBy("_row").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    return x.withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+
+
 def text_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, no, line, start) of each line, with its place in the text."""
-    x = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("no", "line"))
-    before = Window.partitionBy(id_col).orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long"))
+    """Rows (id, no, line, start) of each line, with its place in its own row's text. Null texts give none."""
+    return numbered_lines(docs, text_col, [id_col]).select(id_col, "no", "line", F.col("at").alias("start"))
 
 
 def clean_lines(lines: DataFrame, running: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -50,34 +57,35 @@ def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _paths(of: Column) -> Column:
-    """From (start, level, title) in order: each with the titles above it. The open titles are kept as a stack."""
+    """From (level, title, ...) in order: for each the titles of the open sections above it and its own, joined."""
     open_ = F.array().cast("array<struct<level:bigint,title:string>>")
-    begin = F.struct(open_.alias("stack"), F.array().cast("array<struct<start:bigint,path:string>>").alias("out"))
+    begin = F.struct(open_.alias("stack"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         above = F.filter(acc["stack"], lambda s: s["level"] < x["level"])
         stack = F.array_append(above, F.struct(x["level"].alias("level"), x["title"].alias("title")))
-        path = F.array_join(F.transform(stack, lambda s: s["title"]), " > ")
-        return F.struct(stack.alias("stack"), F.array_append(acc["out"], F.struct(x["start"].alias("start"), path.alias("path"))).alias("out"))
+        return F.struct(stack.alias("stack"), F.array_append(acc["out"], F.array_join(F.transform(stack, lambda s: s["title"]), " > ")).alias("out"))
 
     return F.aggregate(of, begin, step, lambda acc: acc["out"])
 
 
-def section_tree(heads: DataFrame, doc: str = "doc_id", total: str = "n_chars") -> DataFrame:
-    """Rows (doc, sec_no, path, level, char_start, char_end) from headings (doc, start, level, full_title, total).
+def section_tree(heads: DataFrame, doc: str = "doc_id", total: str = "n_chars", order: str = "start") -> DataFrame:
+    """Rows (doc, sec_no, path, level, char_start, char_end) from headings (doc, start, level, full_title, total), in ``order``.
 
-    A section ends where the next one starts; its path names the open sections above it. What stands before the first
-    one is "Front matter", number -1, if it is over FRONT characters long. A document's headings meet in one row.
+    A section ends where the next one starts, or one character on where that is the same place; the last one at the
+    text's end. Headings at one place stay apart, in ``order``, then by level and title. A path names the open sections above.
+    What stands before the first one is "Front matter", number -1, if it is over FRONT characters long. A document's
+    headings meet in one row.
     """
-    all_ = heads.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("start", "level", F.col("full_title").alias("title")))).alias("h"))
-    paths = all_.select(doc, F.explode(_paths(F.col("h"))).alias("p")).select(doc, F.col("p.start").alias("start"), F.col("p.path").alias("path"))
-    w = Window.partitionBy(doc).orderBy("start")
-    s = heads.join(paths, [doc, "start"]).withColumn("sec_no", (F.row_number().over(w) - 1).cast("long"))
-    s = s.withColumn("char_end", F.greatest(F.coalesce(F.lead("start").over(w), F.col(total)), F.col("start") + 1).cast("long"))
-    s = s.select(doc, "sec_no", "path", "level", F.col("start").alias("char_start"), "char_end")
-    front = s.where(f"sec_no = 0 and char_start > {FRONT}")
-    one = F.lit(1).cast("long")
-    return s.unionByName(front.select(doc, (-one).alias("sec_no"), F.lit("Front matter").alias("path"), one.alias("level"), (one - 1).alias("char_start"), F.col("char_start").alias("char_end")))
+    own = F.struct(F.col(order).cast("long").alias("at"), F.col("start").cast("long").alias("start"), F.col("level").cast("long").alias("level"), F.col("full_title").alias("title"))
+    all_ = heads.groupBy(doc).agg(F.sort_array(F.collect_list(own)).alias("h"), F.max(total).cast("long").alias("n"))
+    at = lambda i: F.col("h")[i]
+    end = lambda i: F.when(i + 1 < F.size("h"), F.col("h")[i + 1]["start"]).otherwise(F.col("n"))
+    over = lambda s, e: F.when(e > s, e).otherwise(F.least(F.col("n"), s + 1))
+    section = lambda p, i: F.struct(i.cast("long").alias("sec_no"), p.alias("path"), at(i)["level"].alias("level"), at(i)["start"].alias("char_start"), over(at(i)["start"], end(i)).alias("char_end"))
+    one, first = F.lit(1).cast("long"), F.col("h")[0]["start"]
+    front = F.struct((-one).alias("sec_no"), F.lit("Front matter").alias("path"), one.alias("level"), (one - 1).alias("char_start"), first.alias("char_end"))
+    return all_.select(doc, F.inline(F.concat(F.when(first > FRONT, F.array(front)).otherwise(F.array().cast("array<struct<sec_no:bigint,path:string,level:bigint,char_start:bigint,char_end:bigint>>")), F.transform(_paths(F.col("h")), section))))
 
 
 def section_text(sections: DataFrame, docs: DataFrame, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,6 +150,7 @@ def section_chunks(sections: DataFrame, doc: str = "doc_id") -> DataFrame:
     Blocks are packed up to CHUNK characters; a chunk takes over the last blocks of the one before it until they come to
     OVERLAP. Chunks under LEAST characters are dropped but for a section's first. embed_text is the path and the chunk.
     """
+    ship(sections.sparkSession)
     marker = re.compile("|".join(f"(?:{p})" for p in MARKERS.values()))
     kind = sections.schema[doc].dataType.simpleString()
 
@@ -179,71 +188,6 @@ def indent_levels(items: DataFrame, group: str, x: str = "x", tolerance: float =
     return items.join(g, group).withColumn("depth", depth.cast("long")).drop("levels")
 
 
-def item_groups(items: DataFrame, doc: str, pos: str = "pos", depth: str = "depth") -> DataFrame:
-    """Rows (doc, group_no, heading, n_items): an item of depth 0 that a deeper one follows heads a group, the others are its entries.
-
-    Entries before any heading are a group without one; groups without entries go.
-    """
-    w = Window.partitionBy(doc).orderBy(pos)
-    x = items.withColumn("heads", (F.col(depth) == 0) & (F.lead(depth).over(w) > 0)).withColumn("group_no", F.sum(F.coalesce(F.col("heads"), F.lit(False)).cast("long")).over(w))
-    heads = F.coalesce("heads", F.lit(False))
-    g = x.groupBy(doc, "group_no").agg(F.max(F.when(heads, F.col(pos))).alias("heading"), F.count_if(~heads).alias("n_items"))
-    return g.where("n_items > 0")
-
-
-def validated_markers(items: DataFrame, doc: str, pos: str = "pos") -> DataFrame:
-    """Rows (doc, pos, accepted) of list items (doc, pos, depth, ordinal; ordinal null for bullets), in order.
-
-    A number is taken if its depth has none yet, if it follows the last one there by three at most, or if it begins a
-    deeper list at 1; what is taken closes the lists below it. Bullets are always taken. A section's items meet in one row.
-    """
-    of = items.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), F.col("depth").cast("long").alias("depth"), F.col("ordinal").cast("long").alias("v")))).alias("xs"))
-    begin = F.struct(F.array().cast("array<struct<depth:bigint,v:bigint>>").alias("open"), F.array().cast("array<struct<pos:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.array_max(F.transform(F.filter(acc["open"], lambda o: o["depth"] == x["depth"]), lambda o: o["v"]))
-        ok = x["v"].isNull() | last.isNull() | ((x["v"] > last) & (x["v"] <= last + 3)) | ((x["depth"] > 0) & (x["v"] == 1))
-        kept = F.filter(acc["open"], lambda o: o["depth"] < x["depth"])
-        open_ = F.when(ok & x["v"].isNotNull(), F.array_append(kept, F.struct(x["depth"].alias("depth"), x["v"].alias("v")))).otherwise(acc["open"])
-        return F.struct(open_.alias("open"), F.array_append(acc["out"], F.struct(x["pos"].alias("pos"), ok.alias("accepted"))).alias("out"))
-
-    found = F.aggregate("xs", begin, step, lambda acc: acc["out"])
-    return of.select(doc, F.explode(found).alias("r")).select(doc, F.col("r.pos").alias(pos), F.col("r.accepted").alias("accepted"))
-
-
-def item_tree(items: DataFrame, doc: str, pos: str = "pos", text: str = "body", least: int = 5, max_depth: int | None = None) -> DataFrame:
-    """Rows (doc, pos, depth, parent, body): depths without gaps, each item with the last one above it; bodies under ``least`` characters go."""
-    x = items.where(F.length(F.trim(text)) >= least)
-    ranks = x.select(doc, "depth").distinct().withColumn("dense", (F.row_number().over(Window.partitionBy(doc).orderBy("depth")) - 1).cast("long"))
-    x = x.join(ranks, [doc, "depth"]).select(doc, pos, F.col("dense").alias("depth"), F.col(text).alias("body"))
-    if max_depth is not None:
-        x = x.where(F.col("depth") <= max_depth)
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.aggregate(
-        F.collect_list(F.struct(F.col(pos).alias("p"), F.col("depth").alias("d"))).over(w),
-        F.lit(None).cast("long"),
-        lambda acc, o: F.when(o["d"] < F.col("depth"), o["p"].cast("long")).otherwise(acc),
-    )
-    return x.withColumn("parent", above)
-
-
 def chosen_items(picked: DataFrame, groups: DataFrame, doc: str) -> DataFrame:
     """Rows (doc, n_groups, n_items) of the picked sections that hold groups of items."""
     return groups.join(picked.select(doc).distinct(), doc, "left_semi").groupBy(doc).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_items").alias("n_items"))
-
-
-def located(headings: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Add ``start`` to headings (doc, seq, title): the title's first line in the text past the heading before it, else that one's place: places never fall.
-
-    ``docs`` has (doc, text). A document's headings meet in one row.
-    """
-    all_ = headings.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("seq", "title"))).alias("hs")).join(docs.select(doc, "text"), doc)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<seq:bigint,start:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        hit = F.call_function("locate", F.concat(F.lit("\n"), x["title"]), F.concat(F.lit("\n"), F.col("text")), acc["at"] + 1)
-        at = F.when(hit > 0, hit - 1).otherwise(acc["at"])
-        return F.struct(at.cast("int").alias("at"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), at.cast("long").alias("start"))).alias("out"))
-
-    places = all_.select(doc, F.explode(F.aggregate("hs", begin, step, lambda acc: acc["out"])).alias("p"))
-    return headings.join(places.select(doc, F.col("p.seq").alias("seq"), F.col("p.start").alias("start")), [doc, "seq"])

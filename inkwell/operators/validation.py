@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evidence import grounding_label
+
 STATUSES = ("approved", "accepted", "rejected", "skipped")  # fixed values
 
 
@@ -63,13 +65,21 @@ def evidence_spans(aligned: DataFrame, answer: str, least: int = 12) -> DataFram
     return x.select(answer, F.concat(F.lit("ev"), F.row_number().over(w).cast("string")).alias("span_id"), "doc", "start", "end", "score", label.alias("label"))
 
 
-def grounding_label(score, grounded: float = 90.0, partly: float = 78.0):
-    """grounded, partial or ungrounded; protocols take 92 and 75."""
-    return F.when(score >= grounded, "grounded").when(score >= partly, "partial").otherwise("ungrounded")
-
-
 def flat_suite(base: DataFrame, graders: list[DataFrame], key: str) -> DataFrame:
-    """One row for each answer with all graders' columns; a grader that has nothing on an answer leaves nulls."""
-    for g in graders:
-        base = base.join(g, key, "left")
-    return base
+    """One row for each answer with all graders' columns; a grader that has nothing on an answer leaves nulls.
+
+    Answers meet in one aggregate over all graders' rows. A grader with two rows on an answer ends the job; two of the same
+    column are an error at once.
+    """
+    names = [c for g in graders for c in g.columns if c != key]
+    if len({*names, *base.columns}) < len(names) + len(base.columns):
+        raise ValueError(f"graders share columns: {sorted(c for c in {*names} if (names + base.columns).count(c) > 1)}")
+    rows = None
+    for i, g in enumerate(graders):
+        x = g.select(key, F.lit(i).alias("_i"), F.struct(*[c for c in g.columns if c != key]).alias(f"_g{i}"))
+        rows = x if rows is None else rows.unionByName(x, allowMissingColumns=True)
+    if rows is None:
+        return base
+    one = [F.when(F.count_if(F.col("_i") == i) > 1, F.raise_error(F.lit(f"grader {i} has two rows on an answer"))).otherwise(F.first(f"_g{i}", True)).alias(f"_g{i}") for i in range(len(graders))]
+    flat = rows.groupBy(key).agg(*one).select(key, *[F.col(f"_g{i}")[c].alias(c) for i, g in enumerate(graders) for c in g.columns if c != key])
+    return base.join(flat, key, "left")

@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, evidence, grading, retrieval, session
 from ..sources.tables import table
-from . import question_queries, ranking_queries, rendering_queries, review_queries, structure_queries
+from . import detail_queries, model_queries, question_queries, ranking_queries, rendering_queries, review_queries, segment_queries, structure_queries
+from .queries_sql import NORM, SENTENCES, TOKENS
 
-NORM = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-SENTENCES = rf"string_split(regexp_replace({NORM}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
-TOKENS = rf"list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 and w not in ({_STOP})), lambda w: regexp_replace(w, '^(.{{4,}}?)({'|'.join(T.SUFFIXES)})$', '\1'))"
 
 
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
@@ -95,10 +92,6 @@ def align_original(spark: SparkSession, d: str) -> DataFrame:
     return evidence.in_original(pairs, "text", "quote").select("doc_id", "item_id", "start", "end")
 
 
-def error_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return grading.error_reasons(error_tags(spark, d)).select(*_GRID, "tags", "reasons")
-
-
 def multiquery_fusion(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).groupBy("vec_id").agg(F.round(F.max("score"), 4).alias("score"))
 
@@ -117,16 +110,6 @@ def judge_consensus(spark: SparkSession, d: str) -> DataFrame:
     return grading.judge_consensus(s, "doc_id")
 
 
-def error_tags(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.range(1)
-    for name, values in _GRID.items():
-        g = g.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return grading.error_tags(g.drop("id"))
-
-
-_GRID = {"has_context": (True, False), "grounding": (0.2, 0.34, 0.7, 0.8, 0.9), "weak": (0.0, 0.5), "unsupported": (0, 1), "contradicted": (0, 1), "judge": (0.4, 0.6, 0.9), "uncovered": (0, 2), "admits": (True, False)}
-
-
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     return session.history_window(table(spark, d, "conversations"))
 
@@ -151,12 +134,6 @@ tf as (select doc_id, dl, t, count(*) as tf from (select doc_id, len(ts) as dl,
 df as (select t, ln((n - df + 0.5) / (df + 0.5)) as raw from (select t, count(*) as df from tf group by t), st), fl as (select avg(raw) * 0.25 as floor from df),
 s as (select item_id, doc_id, round(sum(case when raw < 0 then floor else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join tf using (t) join df using (t), st, fl group by all),
 top as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rnk from s where score > 0 qualify rnk <= 10)"""
-_TAGS = """concat_ws(', ', case when not has_context or grounding <= 0.34 then 'retrieval_failure' when grounding < 0.8 or weak >= 0.5 or unsupported > 0 then 'partial_retrieval' when admits then 'missing_context' end,
-case when contradicted > 0 then 'contradiction' end,
-case when has_context and grounding >= 0.8 and weak < 0.5 and unsupported = 0 and not admits and judge < 0.7 then 'misinterpretation' end,
-case when uncovered > 0 then 'coverage_gap' end)"""
-_values = lambda v: "(values " + ", ".join(f"({str(x).lower()}{'::double' if isinstance(x, float) else ''})" for x in v) + ")"
-
 ORACLES = {
     "text_normalize": f"select doc_id, length({NORM}) as norm_chars, sha256({NORM}) as norm_sha from documents",
     "sentence_split": f"select doc_id, len(s) as n_sentences, list_max(list_transform(s, lambda x: length(x))) as max_sentence_chars from (select doc_id, {SENTENCES} as s from documents)",
@@ -186,13 +163,12 @@ r as (select *, max("end") over (partition by user_id order by start, "end" rows
 g as (select *, sum(case when reach is null or start > reach + 2 then 1 else 0 end) over (partition by user_id order by start, "end" rows unbounded preceding) as merged_no from r)
 select user_id, merged_no::bigint as merged_no, min(start) as start, max("end") as "end" from g group by 1, 2""",
     "judge_consensus": "select doc_id, round(avg(score), 4) as mean, round(median(score), 4) as median, min(score) as lower, max(score) as upper, round(stddev_pop(score), 4) as std from (select doc_id, unnest([quality::double, toxic::double]) as score from labels) where score is not null group by doc_id",
-    "error_tags": f"select *, {_TAGS} as tags from " + ", ".join(f"{_values(v)} as _{n}({n})" for n, v in _GRID.items()),
     "history_window": "select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc, role desc) as pos from conversations qualify pos <= 6",
     "transcript_turns": "select conv_id, p as pos, role, p // 2 + (case when role = 'user' then 1 else 0 end) as turn_no from (select conv_id, role, row_number() over (partition by conv_id order by turn, role) - 1 as p from conversations where role in ('user', 'assistant'))",
     "doc_registry": "select 'd' || row_number() over (order by source) as reg_id, source as label, n_pages from (select source, count(*) as n_pages from documents group by source)",
     "batch_clean": "select row_number() over (order by first_id) as pos, question from (select question, min(doc_id) as first_id from (select trim(split_part(text, chr(10), 1)) as question, doc_id from documents) where question <> '' group by question)",
 }
-#: What compares by subsequences, or formats numbers, has no SQL; tests hold it against a plain version.
-PLAIN = ("align_fuzzy", "error_reasons")
-QUERIES = {name: globals()[name] for name in (*ORACLES, *PLAIN)} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES | structure_queries.QUERIES
-ORACLES |= review_queries.ORACLES | question_queries.ORACLES | ranking_queries.ORACLES | rendering_queries.ORACLES | structure_queries.ORACLES
+#: What compares by subsequences has no SQL; a test holds it against a plain version.
+PLAIN = ("align_fuzzy",)
+QUERIES = {name: globals()[name] for name in (*ORACLES, *PLAIN)} | review_queries.QUERIES | question_queries.QUERIES | ranking_queries.QUERIES | rendering_queries.QUERIES | structure_queries.QUERIES | segment_queries.QUERIES | model_queries.QUERIES | detail_queries.QUERIES
+ORACLES |= review_queries.ORACLES | question_queries.ORACLES | ranking_queries.ORACLES | rendering_queries.ORACLES | structure_queries.ORACLES | segment_queries.ORACLES | model_queries.ORACLES | detail_queries.ORACLES

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, claims, items, session, understanding
 from ..sources.tables import table
+from .queries_sql import SENTENCES, TOKENS
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
-TOKENS = rf"list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 1 and w not in ({_STOP})), lambda w: regexp_replace(w, '^(.{{4,}}?)({'|'.join(T.SUFFIXES)})$', '\1'))"
-SENTENCES = r"string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 _asks = lambda p: f"regexp_matches(lower(text), '(^|[^a-z0-9_])({p})([^a-z0-9_]|$)')"
 

@@ -72,17 +72,6 @@ def requirement_coverage(spark: SparkSession, d: str) -> DataFrame:
     return review.requirement_coverage(pairs, "item_id", "text", "answer")
 
 
-_SIGNALS = {"judge": (None, 0.9), "claims": (0.5, None), "items": (None, 1.0), "semantic": (0.4, 0.8), "coverage": (0.5, None), "structure": (0.55,), "sections": (None, 0.25), "contradicted": (0, 1), "partial_sections": (0, 2), "structure_flags": (1,), "sufficient": (True, False, None)}
-
-
-def review_grades(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.range(1)
-    for name, values in _SIGNALS.items():
-        kind = "boolean" if name == "sufficient" else "int" if isinstance(values[0], int) else "double"
-        g = g.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
-    return review.review_grades(g.drop("id"))
-
-
 def review_priority(spark: SparkSession, d: str) -> DataFrame:
     p = review.review_priority(F.col("n_chars") / 5_000, F.col("quality").cast("double"), F.col("toxic") / 4)
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.round(p, 4).alias("priority"))
@@ -103,13 +92,6 @@ def status_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 _TOP = "(select * from (select q.vec_id as q_id, e.vec_id, e.label, round(list_inner_product(q.embedding::double[], e.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 50 = 0) qualify row_number() over (partition by q_id order by score desc, vec_id) <= 10)"
 _SENTENCES = rf"string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))"
-_value = lambda v: "null" if v is None else str(v).lower()
-_kind = lambda n, v: "boolean" if n == "sufficient" else "int" if isinstance(v[0], int) else "double"
-_GRID = ", ".join(f"(select unnest([{', '.join(map(_value, v))}]::{_kind(n, v)}[]) as {n})" for n, v in _SIGNALS.items())
-_SUM = " + ".join(f"coalesce({n} * {w}::double, 0)" for n, w in review.WEIGHTS.items())
-_WEIGHT = " + ".join(f"(case when {n} is null then 0 else {w}::double end)" for n, w in review.WEIGHTS.items())
-_FLAGS = "list_filter([case when semantic < 0.45 then 'low_semantic_match' end, case when contradicted > 0 then 'contradicted_claims' end, case when claims < 0.7 then 'weak_claim_grounding' end, case when coverage < 0.6 then 'items_missing_from_answer' end, case when partial_sections > 0 then 'incomplete_list_section' end, case when structure_flags > 0 then 'weak_structure' end, case when not sufficient then 'context_insufficient' end], lambda f: f is not null)"
-
 ORACLES = {
     "running_lines": f"with l as (select page_id % 5 as doc, page_id as page, unnest(string_split(html, '>')) as text from pages), k as (select doc, page, {KEY} as key from l), p as (select doc, count(distinct page) as pages from l group by 1) select doc, key, count(distinct page) as n_pages from k join p using (doc) where length(key) between 1 and 90 group by doc, key, pages having count(distinct page) >= greatest(3, floor(pages * 0.25))",
     "line_offsets": f"select page as doc, line_no, e - length(text) as start, e as \"end\" from (select page, line_no, text, (sum(length(text) + 1) over (partition by page order by line_no) - 1)::bigint as e from {LINES})",
@@ -120,7 +102,6 @@ ORACLES = {
     "agreement": f"with t as {_TOP}, s as (select q_id, list(vec_id) as v from t group by 1) select 1::int as question, round(avg(len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v)))), 4) as agreement from s a join s b on a.q_id < b.q_id",
     "budget_pack": f"with recursive t as (select q_id, vec_id, 5000 + vec_id % 7 * 4000 as size, row_number() over (partition by q_id order by score desc, vec_id) as rnk from {_TOP}), f as (select q_id, vec_id, rnk, size <= 60000 as kept, (case when size <= 60000 then size else 0 end)::bigint as used from t where rnk = 1 union all select t.q_id, t.vec_id, t.rnk, f.used + t.size <= 60000, (case when f.used + t.size <= 60000 then f.used + t.size else f.used end)::bigint from f join t on t.q_id = f.q_id and t.rnk = f.rnk + 1) select q_id, vec_id, rnk, used from f where kept",
     "requirement_coverage": f"select item_id, count(*) filter (hit) as covered, count(*) filter (not hit) as uncovered from (select item_id, len(list_intersect(r, a)) >= (case when len(r) <= 2 then 1 else 2 end) as hit from (select item_id, {_key_tokens('b.text')} as r, {_key_tokens('d.text')} as a from (select item_id, text, unnest([item_id * 3, item_id * 3 + 1, item_id * 3 + 2, item_id * 3 + 3]) as doc_id from benchmark) b join documents d using (doc_id))) group by item_id",
-    "review_grades": f"select * exclude (f), array_to_string(f, ',') as flags, case when overall is not null then round(greatest(0.0::double, overall - 0.1::double * len(f)), 4) end as priority from (select *, case when {_WEIGHT} > 0 then round(({_SUM}) / ({_WEIGHT}), 4) end as overall, {_FLAGS} as f from {_GRID})",
     "review_priority": "select doc_id, round(coalesce(greatest(0.0::double, least(1.0::double, (case when quality is null then n_chars / 5000 else 0.5::double * (n_chars / 5000) + 0.5::double * quality end) - coalesce(toxic / 4, 0.0::double))), 0.0::double), 4) as priority from documents left join labels using (doc_id)",
     "latest_decision": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "pending_queue": "select event_id, 'pending' as status, round(value, 2) as priority, row_number() over (order by round(value, 2), event_id) as pos from events where event_id % 3 = 0 qualify pos <= 50",

@@ -62,11 +62,6 @@ def indent_levels(spark: SparkSession, d: str) -> DataFrame:
     return structure.indent_levels(e, "l_orderkey").select("l_orderkey", "l_linenumber", "depth")
 
 
-def item_groups(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("pos")).agg((F.min("l_partkey") % 3).cast("long").alias("depth"))
-    return structure.item_groups(items, "l_orderkey")
-
-
 def doc_inference(spark: SparkSession, d: str) -> DataFrame:
     registry = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("base_name"), F.concat((F.col("doc_id") % 9000 + 1000).cast("string"), F.lit("-01")).alias("version_label"))
     return routing.infer_documents(table(spark, d, "benchmark"), registry, "item_id", "doc_id")
@@ -83,16 +78,6 @@ def router_shortlist(spark: SparkSession, d: str) -> DataFrame:
     return routing.shortlist(titles, mass, "q", "sec")
 
 
-_SIGNALS = {"title": (0.3, 0.62, 0.8), "concentration": (0.1, 0.3), "hits": (2, 6), "wants_set": (True, False), "title_items": (0, 4), "dominant_items": (3, 9)}
-
-
-def signal_router(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.range(1)
-    for name, values in _SIGNALS.items():
-        g = g.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return routing.route(g.drop("id"))
-
-
 def forced_mode(spark: SparkSession, d: str) -> DataFrame:
     _, mass = _titles(spark, d)
     o = F.col("o_orderkey")
@@ -139,13 +124,6 @@ def doc_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(dates.document_title(meta, page), 256).alias("title_sha"))
 
 
-def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """A stub stands for the model: two paraphrases by rule."""
-    stub = lambda ps: [f"what is {p}\n\n explain: {p} \nwhat is {p}" for p in ps]
-    q = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    return models.expanded(q, stub, "item_id").select("item_id", F.col("pos").cast("long").alias("pos"), F.sha2("sub_query", 256).alias("sub_sha"))
-
-
 def cross_rerank(spark: SparkSession, d: str) -> DataFrame:
     """A stub stands for the model: the passage's length; without the model the fused score ranks."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.col("conv_id").cast("string").alias("q"), F.concat(F.col("turn").cast("string"), F.lit(" "), "text").alias("t"), (-F.col("turn")).cast("double").alias("rrf"))
@@ -177,12 +155,6 @@ def semantic_match(spark: SparkSession, d: str) -> DataFrame:
     return models.semantic_match(pair, stub, "a", "b").select("conv_id", "match")
 
 
-def narratives(spark: SparkSession, d: str) -> DataFrame:
-    stub = lambda ps: [p[:20].strip() for p in ps]
-    c = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
-    return models.map_reduced(c, stub, "conv_id", "turn", "text").select("conv_id", F.length("narrative").cast("long").alias("n_chars"))
-
-
 def _decisions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = F.col("event_id")
     log = table(spark, d, "orders").select(F.col("o_orderkey").alias("entry_id"), F.concat(F.lit("answer "), F.col("o_orderkey").cast("string")).alias("answer"))
@@ -242,15 +214,13 @@ h0 as (select doc_id, start, regexp_extract(line, '^([0-9]{{1,2}}(\.[0-9]{{1,2}}
 h as (select doc_id, start, length(number) - length(replace(number, '.', '')) + 1 as level, number, title, number || ' ' || title as full_title from h0 union all select doc_id, 0, 1, '', 'Document', 'Document' from n where doc_id not in (select doc_id from h0)),
 hn as (select *, row_number() over (partition by doc_id order by start) - 1 as i from h),
 anc as (select b.doc_id, b.i, a.i as j, a.full_title as t from hn b join hn a on a.doc_id = b.doc_id and a.i <= b.i and (a.i = b.i or (a.level < b.level and not exists (select 1 from hn k where k.doc_id = b.doc_id and k.i > a.i and k.i <= b.i and k.level <= a.level)))),
-tree as (select hn.doc_id, hn.i as sec_no, p.path, level, start as char_start, greatest(coalesce(lead(start) over (partition by hn.doc_id order by start), length(n.text)), start + 1) as char_end from hn join n using (doc_id) join (select doc_id, i, string_agg(t, ' > ' order by j) as path from anc group by 1, 2) p on p.doc_id = hn.doc_id and p.i = hn.i),
+tree as (select hn.doc_id, hn.i as sec_no, p.path, level, start as char_start, case when coalesce(lead(start) over (partition by hn.doc_id order by start), length(n.text)) > start then coalesce(lead(start) over (partition by hn.doc_id order by start), length(n.text)) else least(length(n.text), start + 1) end as char_end from hn join n using (doc_id) join (select doc_id, i, string_agg(t, ' > ' order by j) as path from anc group by 1, 2) p on p.doc_id = hn.doc_id and p.i = hn.i),
 full_tree as (select * from tree union all select doc_id, -1, 'Front matter', 1, 0, char_start from tree where sec_no = 0 and char_start > 200)"""
 _DAY = lambda n: f"(date '2001-01-31' + (doc_id % {n})::int)"
 _FILES = f"f as (select doc_id, case when doc_id % 5 = 0 then text || ' May  2019 and June 2020' else text end as text, case when doc_id % 3 = 0 then {_DAY(5000)} when doc_id % 3 = 1 then {_DAY(7000)} end as own, {_DAY(9000)} as mtime from documents)"
-_TITLE_ENDS = "^(" + "|".join(t.replace(".", r"\.") for t in dates.TITLE_ENDS) + r")\b"
 _MASS = "m as (select l_orderkey as q, l_partkey as sec, max(l_quantity)::double as score, bool_or(l_linenumber % 3 = 0) as navigational, round(sum(l_discount), 6)::double as mass, min(l_linenumber)::bigint as first from lineitem group by 1, 2)"
 _DEC = "dec as (select case when event_id % 11 = 0 then null else event_id % 500 end as entry_id, ['approved', 'rejected', 'maybe', 'skipped'][event_id % 4 + 1] as status, case when event_id % 3 = 0 then null else 'ann' end as reviewer, null::varchar as comment, case when event_id % 5 = 0 then 'fixed ' || event_id end as corrected, event_id as \"at\" from events), chk as (select dec.*, case when status = 'maybe' then 'status' when entry_id is null then 'missing id' when entry_id not in (select o_orderkey from orders) then 'unknown id' end as error from dec)"
 _CONV = "(select conv_id || '-' || turn as answer, text from conversations where role = 'assistant')"
-_vals = lambda n, v: "(values " + ", ".join(f"({str(x).lower()}{'::double' if isinstance(x, float) else ''})" for x in v) + f") as _{n}({n})"
 
 ORACLES = {
     "cleaned_lines": rf"""with l as (select doc_id, no, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) as line from {_L}), k as (select l.*, source, regexp_replace(line, '[0-9]+', '#', 'g') as key from l join documents using (doc_id)),
@@ -262,13 +232,10 @@ select doc_id, no, sha256(line) as line_sha from w where line <> '' or (prev <>
     "section_bodies": f"with {_NUM} select doc_id, sec_no, sha256(substr(text, char_start + 1, char_end - char_start)) as body_sha from full_tree join n using (doc_id)",
     "chunk_index": "select conv_id, string_agg(turn::varchar, ',' order by turn) as chunks, count(*) as n_chunks from conversations where role = 'assistant' group by 1",
     "context_size": "select conv_id, sum(length(text))::bigint as context_chars from conversations group by 1",
-    "item_groups": """with i as (select l_orderkey, l_linenumber::bigint as pos, min(l_partkey) % 3 as d from lineitem group by 1, 2), x as (select *, coalesce(d = 0 and lead(d) over (partition by l_orderkey order by pos) > 0, false) as heads from i), g as (select *, sum(heads::int) over (partition by l_orderkey order by pos)::bigint as group_no from x)
-select l_orderkey, group_no, max(case when heads then pos end) as heading, count(*) filter (not heads) as n_items from g group by 1, 2 having count(*) filter (not heads) > 0""",
     "doc_inference": """with r as (select doc_id, lower(split_part(text, chr(10), 1)) as b, (doc_id % 9000 + 1000)::varchar as y from documents), w as (select doc_id, unnest(regexp_extract_all(b, '[a-z]{4,}')) as w from r), q as (select item_id, lower(text) as q from benchmark)
 select item_id, doc_id from (select item_id, doc_id, 1 as p from w join q on contains(q, w) union all select item_id, doc_id, 2 from r join q on contains(q, y)) group by 1, 2 having sum(p) >= 2""",
     "router_shortlist": f"""with {_MASS}, a as (select q, sec, rn as o from (select *, row_number() over (partition by q order by score desc, sec) as rn from m) where rn <= 10 and not navigational), b as (select q, sec, rn + 10 as o from (select *, row_number() over (partition by q order by mass desc, sec) as rn from m) where rn <= 18),
 u as (select q, sec, min(o) as o from (select * from a union all select * from b) group by 1, 2) select q, sec, row_number() over (partition by q order by o, sec) as place from u qualify place <= 18""",
-    "signal_router": "select *, case when why is not null and (wants_set or case when why = 'title' then title_items else dominant_items end >= 4) then 'section' else 'hybrid' end as mode from (select *, case when title >= 0.62 then 'title' when concentration >= 0.3 or hits >= 6 then 'evidence' end as why from " + ", ".join(_vals(n, v) for n, v in _SIGNALS.items()) + ")",
     "forced_mode": f"""with {_MASS}, t as (select q, arg_max(sec, (mass, -first, sec)) as top from m group by 1), r as (select o_orderkey as q, o_orderkey % 2 = 0 as s, o_orderkey % 3 as f from orders)
 select r.q, case when f = 0 then 'section' when f = 1 then 'hybrid' when s then 'section' else 'hybrid' end as mode, case when f = 0 then coalesce(case when s then r.q % 7 end, top) when f = 2 and s then r.q % 7 end as sec from r left join t using (q)""",
     "section_family": r"""with s as (select source as doc, (doc_id % 5 + 1) || '.' || doc_id % 7 || '.' || doc_id as number, doc_id as a, n_chars as size from documents), p as (select doc, regexp_extract(number, '^(\d+\.\d+)', 1) as base from s where number like '2.%' union select doc, number from s where number like '1.3.%'),
@@ -277,7 +244,6 @@ w as (select *, sum(size) over (partition by doc) as everything, min(case when o
     "covered_lists": "with c as (select l_orderkey as sec, l_linenumber, max(l_quantity) as most, sum(l_linenumber) as n_items from lineitem group by 1, 2) select sec, count(*) as n, sum(n_items)::bigint as n_items from c group by 1 having min(most) > 10 and sum(n_items) >= 4",
     "display_dates": rf"with {_FILES} select doc_id, strftime(coalesce(own, mtime), '%Y-%m') as year_month, case when regexp_matches(text, '\b({'|'.join(dates.MONTHS)})\s+\d{{4}}\b') then regexp_replace(regexp_extract(text, '\b({'|'.join(dates.MONTHS)})\s+\d{{4}}\b'), '\s+', ' ') else strftime(coalesce(own, mtime), '%-m/%-d/%y') end as display from f",
     "cache_keys": r"select page_id, regexp_replace(regexp_extract(url || '.pdf', '([^/]*)$', 1), '\.[^.]*$', '') || '__' || sha256(url || '.pdf')[1:10] || '.pkl' as cache_name, sha256(concat_ws('||', page_id, url)) as stable_key from pages",
-    "query_expansion": r"with q as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as q from benchmark) select item_id, pos, sha256(case pos when 0 then q when 1 then 'what is ' || lower(q) else 'explain: ' || lower(q) end) as sub_sha from q, (values (0::bigint), (1), (2)) as p(pos)",
     "cross_rerank": "select conv_id, turn, row_number() over (partition by conv_id order by length(turn || ' ' || text) desc, turn || ' ' || text) as by_model, row_number() over (partition by conv_id order by turn) as by_fusion from conversations",
     "judge_calls": f"select answer, 'strict' as judge, 'score: ' || length(text) % 11 as reply from {_CONV} union all select answer, 'lenient', 'score: ' || 10 - length(text) % 3 from {_CONV}",
     "answer_claims": rf"""with c as (select answer, trim(regexp_replace(trim(text), '\s+', ' ', 'g')) as t from {_CONV}), s as (select answer, t, string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)) as ls from c), u as (select answer, t, unnest(list_filter(ls, lambda x: x <> '')) as claim, generate_subscripts(list_filter(ls, lambda x: x <> ''), 1) - 1 as claim_no from s)
@@ -295,5 +261,5 @@ select answer, claim_no, sha256(claim) as claim_sha, case when length(claim) < 6
 select answer, 'ev' || row_number() over (partition by answer order by no, doc, start) as span_id, doc, start, start + 9 as "end", score, case when score >= 90 then 'grounded' when score >= 78 then 'partial' else 'ungrounded' end as label from a""",
 }
 #: Those that fold or pack have no SQL; tests hold them against plain versions.
-PLAIN = ("section_chunks", "indent_levels", "doc_titles", "narratives")
+PLAIN = ("section_chunks", "indent_levels", "doc_titles")
 QUERIES = {name: globals()[name] for name in (*ORACLES, *PLAIN)}

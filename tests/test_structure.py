@@ -42,26 +42,11 @@ def test_headings_and_tree(spark):
     assert structure.section_text(tree, docs).where("sec_no = 1").first()["body"] == "1.1 Under it\nmore\n"
 
 
-def test_located_headings_never_fall(spark):
-    docs = spark.createDataFrame([(1, "Alpha\nBeta\nAlpha\nGamma")], "doc_id long, text string")
-    heads = spark.createDataFrame([(1, 0, "Beta"), (1, 1, "Alpha"), (1, 2, "Missing"), (1, 3, "Gamma")], "doc_id long, seq long, title string")
-    assert [r["start"] for r in structure.located(heads, docs).orderBy("seq").collect()] == [6, 11, 11, 17]
-
-
 def test_items(spark):
     xs = [10.0, 10.5, 24.0, 24.0, 40.0, -1.0]
     rows = spark.createDataFrame([("s", i, x) for i, x in enumerate(xs)] + [("t", 0, -1.0), ("t", 1, 5.0)], "sec string, pos long, x double")
     got = {(r["sec"], r["pos"]): r["depth"] for r in structure.indent_levels(rows, "sec").collect()}
     assert [got["s", i] for i in range(6)] == [0, 0, 1, 1, 2, 0] and got["t", 0] is None
-    marks = [(0, 1), (0, 2), (1, 1), (1, 2), (0, 9), (0, 3), (1, 5), (1, None), (2, 4)]
-    items = spark.createDataFrame([("s", i, d, v) for i, (d, v) in enumerate(marks)], "sec string, pos long, depth long, ordinal long")
-    ok = {r["pos"]: r["accepted"] for r in structure.validated_markers(items, "sec").collect()}
-    assert [ok[i] for i in range(9)] == [True, True, True, True, False, True, True, True, True]
-    tree = spark.createDataFrame([("s", 0, 0, "first one"), ("s", 1, 3, "under it"), ("s", 2, 5, "deeper"), ("s", 3, 3, "again under"), ("s", 4, 0, "tiny"), ("s", 5, 0, "last one")], "sec string, pos long, depth long, body string")
-    assert [(r["depth"], r["parent"]) for r in structure.item_tree(tree, "sec").orderBy("pos").collect()] == [(0, None), (1, 0), (2, 1), (1, 0), (0, None)]
-    groups = structure.item_groups(tree, "sec")
-    assert [(r["heading"], r["n_items"]) for r in groups.orderBy("group_no").collect()] == [(0, 5)]
-    assert structure.chosen_items(tree, groups, "sec").first()["n_items"] == 5
 
 
 def test_titles_and_json(spark):
