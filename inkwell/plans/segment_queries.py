@@ -11,6 +11,7 @@ from ..sources.tables import table
 
 #: By (7 no + 3 doc_id) mod 11: the mark put before a line of a document, which has none of its own.
 MARKS = {0: "1) ", 1: "2)  ", 2: "3) ", 3: "a) ", 4: "b) ", 5: "• ", 6: "ii. ", 7: "9) "}
+_LOW, _UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PAGE_LINES = 12  # lines of a page of those documents
 
 
@@ -58,7 +59,7 @@ def _paged(spark: SparkSession, d: str) -> DataFrame:
 def heading_places(spark: SparkSession, d: str) -> DataFrame:
     """Bookmarks of every fifth and every seventh line, on pages up to two away; one in eleven is of a title that isn't there."""
     lines = _paged(spark, d)
-    title = F.when(F.col("line_no") % 11 == 5, F.concat(F.lit("Zq "), "line")).when(F.col("line_no") % 3 == 0, F.upper("line")).otherwise(F.col("line"))
+    title = F.when(F.col("line_no") % 11 == 5, F.concat(F.lit("Zq "), "line")).when(F.col("line_no") % 3 == 0, F.translate("line", _LOW, _UP)).otherwise(F.col("line"))
     marks = lines.where("line_no % 5 = 1 or line_no % 7 = 2").select("doc", F.col("line_no").alias("seq"), (F.col("line_no") % 3 + 1).alias("level"), F.concat_ws("  ", "n", title).alias("title"), (F.col("page") + 1 + F.col("line_no") % 5 - 2).alias("page"))
     found = placement.located(placement.bookmark_entries(marks), placement.page_texts(lines))
     return found.select("doc", "seq", "level", "number", F.sha2("title", 256).alias("title_sha"), "page", "start")
@@ -128,7 +129,7 @@ ORACLES = {
 vw as (select q, sec % 20 as doc, sec % 7 * 1000 as a, sec % 7 * 1000 + 2000 as z, sec * 10 as v from pk where sec % 2 = 0), it as (select pk.q, sh.*, row_number() over (partition by pk.q order by doc_id % 20, doc_id, index) - 1 as no from pk join sh on sh.doc_id = pk.sec where not heads),
 seen_at as (select it.q, doc_id, index, min((v + char_start - a, v + char_start - a + greatest(1, least(char_end, z) - char_start))) as v from it join vw on vw.q = it.q and vw.doc = doc_id % 20 and a <= char_start and char_start < z group by 1, 2, 3)
 select it.q, 'i' || lpad(no::varchar, 4, '0') as item_id, sha256(coalesce(heading, 'Section ' || doc_id)) as heading_sha, 'Section ' || doc_id as section, sha256(text) as text_sha, marker, depth, char_start, char_end, v[1] as view_start, v[2] as view_end, case when v is null then 0.0::double else 100.0::double end as score, case when v is null then 'ungrounded' else 'grounded' end as grounding from it left join seen_at using (q, doc_id, index)""",
-    "heading_places": rf"""with recursive {_PAGED}, bm as (select doc, no as seq, no % 3 + 1 as level, trim(regexp_replace(n || '  ' || case when no % 11 = 5 then 'Zq ' || line when no % 3 = 0 then upper(line) else line end, '\s+', ' ', 'g')) as whole, page + no % 5 - 2 as page, row_number() over (partition by doc order by no) as i from pl where no % 5 = 1 or no % 7 = 2),
+    "heading_places": rf"""with recursive {_PAGED}, bm as (select doc, no as seq, no % 3 + 1 as level, trim(regexp_replace(n || '  ' || case when no % 11 = 5 then 'Zq ' || line when no % 3 = 0 then translate(line, '{_LOW}', '{_UP}') else line end, '\s+', ' ', 'g')) as whole, page + no % 5 - 2 as page, row_number() over (partition by doc order by no) as i from pl where no % 5 = 1 or no % 7 = 2),
 en as (select doc, seq, level, page, i, whole, regexp_matches(whole, '^\d{{1,2}}(\.\d{{1,2}}){{0,4}}\s+.{{2,120}}$') as has from bm), es as (select en.doc, seq, level, page, i, case when has then regexp_extract(whole, '^(\d{{1,2}}(?:\.\d{{1,2}}){{0,4}})\s', 1) else '' end as number, case when has then trim(regexp_replace(whole, '^\d{{1,2}}(\.\d{{1,2}}){{0,4}}\s+', '')) else whole end as title, greatest(0, least(last, page)) as pg from en join tx using (doc)),
 ew as (select es.*, (select s from pg where pg.doc = es.doc and page = greatest(0, es.pg - 1)) as lo, (select e from pg where pg.doc = es.doc and page = least(last, es.pg + 1)) as hi, (select s from pg where pg.doc = es.doc and page = es.pg) as top, (select e from pg where pg.doc = es.doc and page = es.pg) as foot from es join tx using (doc)),
 f as (select doc, 0::bigint as i, 0::bigint as start from tx union all

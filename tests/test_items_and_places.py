@@ -19,7 +19,13 @@ def plain_items(text: str, base: int, xs: dict[int, float] | None = None) -> lis
     for line in lines:
         for style, p in STYLES:
             if m := re.match(p, line):
-                v = {"bullet": None, "paren_alpha": ord(m[1]) - 96 if m[1].isalpha() else None, "roman": ROMAN.index(m[1].lower()) if m[1].lower() in ROMAN else None}.get(style) if not m[1].isdigit() else int(m[1])
+                v = None
+                if style in ("paren_num", "dot_num"):
+                    v = int(m[1])
+                elif style == "paren_alpha":
+                    v = ord(m[1]) - 96
+                elif style == "roman" and m[1].lower() in ROMAN:
+                    v = ROMAN.index(m[1].lower())
                 marks.append([at, style, v])
                 break
         at += len(line) + 1
@@ -76,7 +82,14 @@ def test_section_items(spark):
     assert sorted((r["sec"], r["index"], r["depth"], r["label"], tuple(r["parents"]), r["raw"], r["char_start"], r["char_end"]) for r in got) == sorted(want)
     first = {r["index"]: r for r in got if r["sec"] == 0}
     assert (first[1]["marker"], first[1]["text"], first[1]["style"]) == ("1)", "First top wrapped on 1) disease.", "paren_num")
-    assert any(r["text"] == "anew after the bullet" for r in got)  # a bullet ends the run of numbers at its depth
+    assert not any(r["text"] == "anew after the bullet" for r in got)  # the bullet is of another depth than the numbers
+
+
+def test_a_bullet_ends_the_run_of_its_depth(spark):
+    body = "5) fifth item\n\u2022 bullet item\n1) anew again\n9) too far on"
+    sections = spark.createDataFrame([("d", 0, body)], "doc string, char_start long, body string")
+    edges = spark.createDataFrame([("d", m.start(), 40.0) for m in re.finditer("(?m)^", body)], "doc string, start long, x double")
+    assert [r["text"] for r in segments.section_items(sections, ["doc"], edges).orderBy("index").collect()] == ["fifth item", "bullet item", "anew again 9) too far on"]
 
 
 def test_items_by_indents(spark):

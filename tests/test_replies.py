@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -227,9 +228,10 @@ def test_best_document_and_rates_by_similarity(spark):
     quote = "the washout period is fourteen days before the first dose"
     pairs = spark.createDataFrame([(1, 1, quote, f"x {quote} y"), (1, 2, quote, quote.replace("fourteen", "forteen")), (1, 3, quote, "nothing at all in here that is like it")], "q long, doc long, quote string, text string")
     found = evidence.align_pairs(pairs, ["q", "doc"])
-    assert {r["doc"]: r["score"] for r in found.collect()} == {1: 100.0, 2: pytest.approx(99.1, abs=0.1)}
+    assert {r["doc"]: r["score"] for r in found.collect()} == {1: 100.0, 2: pytest.approx(98.2, abs=0.1)}
     best = spans.best_document(found, spark.createDataFrame([(1, 2)], "q long, doc long"), "q", "doc", "score").first()
-    assert best["doc"] == 2 and best["adj_score"] > 100
+    assert (best["doc"], best["adj_score"]) == (1, 100.0)  # a preferred document's bonus of 1.5 doesn't reach it
+    assert spans.best_document(found.where("doc > 1"), pairs.select("q", "doc"), "q", "doc", "score").first()["adj_score"] == pytest.approx(99.7)
     rates = spans.alignment_rates(pairs.select(F.lit(7).alias("question"), "q").distinct(), pairs.select(F.lit(7).alias("question"), "doc").distinct(), found, "question", "q", "doc", "score").first()
     assert (rates["rate"], rates["utilisation"]) == (1.0, 0.6667)
 
@@ -244,12 +246,10 @@ def test_registry_reads_what_is_asked(spark, tmp_path):
     q = spark.createDataFrame([(1, "d5", [1.0, 0.0], "word5 text"), (2, "d1", [1.0, 0.0], "word1"), (3, "nowhere", [1.0, 0.0], "word1")], "q long, doc string, v array<double>, text string")
     hits = registry.dense_search(q, folder, "q", "doc", "v", 3)
     assert [(r["q"], r["item"], r["score"]) for r in hits.orderBy("q", "rnk").collect()] == [(1, 165, 165.0), (1, 125, 125.0), (1, 85, 85.0), (2, 1, -1.0), (2, 41, -1.0), (2, 81, -1.0)]
-    plan = hits._jdf.queryExecution().toString()
-    part = next(line for line in plan.split("\n") if "PartitionFilters" in line and "vectors" in line)
-    assert "slot" in part.split("PartitionFilters")[1].split("]")[0]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
     slots = {r["doc"]: r["slot"] for r in registry.registered(spark, folder).collect()}
-    read = {f for f in hits.inputFiles() if "/vectors/" in f}
-    assert {int(f.split("slot=")[1].split("/")[0]) for f in read} == {slots["d5"], slots["d1"]}
+    read = re.search(r"PartitionFilters: \[[^\]]*slot#\d+ IN \(([\d,]+)\)", plan)
+    assert set(map(int, read[1].split(","))) == {slots["d5"], slots["d1"]}
     words = registry.lexical_search(q, folder, "q", "doc").collect()
     assert {(r["q"], r["doc"]) for r in words} <= {(1, "d5"), (2, "d1")} and all(r["score"] > 0 for r in words)
     assert registry.registered(spark, str(tmp_path / "none")).collect() == []

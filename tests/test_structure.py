@@ -126,7 +126,7 @@ def test_models(spark):
     a = spark.createDataFrame([(1, "abc abc", "xyz. Abc and abc. zzz")], "k long, answer string, chunk string")
     assert models.fallback_sentences(a, embed, "k", "answer", "chunk").first()["sentence"] == "Abc and abc."
     parts = spark.createDataFrame([(1, 0, "x"), (1, 1, "y")], "k long, no long, t string")
-    assert models.map_reduced(parts, model, "k", "no", "t").first()["narrative"] == "X\n\nY" and models.map_reduced(parts, None, "k", "no", "t").first()["narrative"] == "x\n\ny"
+    assert models.map_reduced(parts, model, "k", "no", "t").first()["narrative"] == "X\nY" and models.map_reduced(parts, None, "k", "no", "t").first()["narrative"] == "x\ny"
 
 
 def test_graders_and_spans(spark):
@@ -136,10 +136,18 @@ def test_graders_and_spans(spark):
     views = spark.createDataFrame([("a", 5, 25)], "k string, start long, end long")
     parts = spark.createDataFrame([("a", 100, 110, 0), ("a", 200, 230, 10)], "k string, doc_start long, doc_end long, view_start long")
     assert sorted((r["start"], r["end"]) for r in spans.document_spans(views, parts, "k").collect()) == [(105, 110), (200, 215)]
-    batch = spark.createDataFrame([(i, f" q{i % 70} ") for i in range(30_000)], "pos long, q string")
+    batch = spark.createDataFrame([(i, f" q{i % 50} ") for i in range(30_000)], "pos long, q string")
     assert [r["q"] for r in session.checked_batch(batch, "q", "pos").orderBy("pos").collect()] == [f"q{i}" for i in range(50)]
+    for bad in (batch.where("pos < 0"), batch.withColumn("q", F.concat("q", (F.col("pos") % 3).cast("string")))):
+        with pytest.raises(ValueError):
+            session.checked_batch(bad, "q", "pos")
     with pytest.raises(ValueError):
-        session.checked_batch(batch.where("pos < 0"), "q", "pos")
+        validation.flat_suite(hits, [hits], "q")
+    twice = spark.createDataFrame([("q", 1), ("q", 2)], "q string, s int")
+    with pytest.raises(Exception, match="two rows"):
+        validation.flat_suite(hits.select("q").distinct(), [twice], "q").collect()
+    suite = validation.flat_suite(hits.select("q").distinct(), [twice.where("s = 1"), twice.where("s = 2").withColumnRenamed("s", "t")], "q")
+    assert sorted((r["q"], r["s"], r["t"]) for r in suite.collect()) == [("flat", None, None), ("q", 1, 2)]
     one = spark.createDataFrame([(1, 1, "x" * 12, 1, 0, 12, 95.0), (1, 2, "y" * 12, 1, 0, 12, 80.0), (1, 3, "short", 1, 5, 9, 100.0)], "answer long, no long, quote string, doc long, start long, end long, score double")
     assert [(r["span_id"], r["score"], r["label"]) for r in validation.evidence_spans(one, "answer").collect()] == [("ev1", 95.0, "grounded")]
 
