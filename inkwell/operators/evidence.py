@@ -171,6 +171,7 @@ def align_pairs(pairs: DataFrame, key: list[str], cutoff: float = 78.0, least: i
     """
     ship(pairs.sparkSession)
     x = pairs.where("quote is not null and text is not null").select(*key, "quote", "text").dropDuplicates([*key, "quote"])
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "quote")  # few bytes, much work: not to be gathered
     kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in key)
 
     def run(parts):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def marked_pieces(sections: DataFrame, key: list[str], indents: DataFrame | None
     return indent_levels(placed, "_row").withColumn("depth", F.coalesce("depth", "_style")).drop("_style", "x")
 
 
-def _settled(marks: pd.DataFrame, least: int, deepest: int | None) -> Iterator[tuple]:
+def _settled(at: list[int], depths: list[int], ordinals: list[int | None], pieces: list[str], least: int, deepest: int | None) -> Iterator[tuple]:
     """(at, depth, parents, raw) of a section's items, from its marks in order.
 
     A number that falls back, or runs ahead by more than GAP, at its depth is no list mark but a wrapped line: its piece
@@ -45,26 +45,26 @@ def _settled(marks: pd.DataFrame, least: int, deepest: int | None) -> Iterator[t
     """
     runs: dict[int, int | None] = {}
     kept: list[tuple[int, int, list[str]]] = []
-    for at, depth, ordinal, piece in zip(marks["at"], marks["depth"], marks["ordinal"], marks["piece"], strict=True):
+    for place, depth, ordinal, piece in zip(at, depths, ordinals, pieces, strict=True):
         before = runs.get(depth)
-        if pd.isna(ordinal):
+        if ordinal is None:
             runs[depth] = None
         elif before is None or before < ordinal <= before + GAP or (depth > 0 and ordinal == 1):
-            runs = {d: v for d, v in runs.items() if d < depth} | {depth: int(ordinal)}
+            runs = {d: v for d, v in runs.items() if d < depth} | {depth: ordinal}
         else:
             if kept:
                 kept[-1][2].append(piece)
             continue
-        kept.append((int(at), int(depth), [piece]))
+        kept.append((place, depth, [piece]))
     level = {d: i for i, d in enumerate(sorted({d for _, d, _ in kept}))}
     above: list[tuple[int, str]] = []
-    for at, d, pieces in kept:
-        raw, depth = "\n".join(pieces).rstrip(), level[d]
+    for place, d, own in kept:
+        raw, depth = "\n".join(own).rstrip(), level[d]
         if len(raw.strip()) < least:
             continue
         above = [a for a in above if a[0] < depth]
         if deepest is None or depth <= deepest:
-            yield at, depth, [title for _, title in above], raw
+            yield place, depth, [title for _, title in above], raw
         above.append((depth, " ".join(raw.split("\n")[0].split())))
 
 
@@ -77,17 +77,26 @@ def section_items(sections: DataFrame, key: list[str], indents: DataFrame | None
     the labels above it; text is the item without its mark, on one line. Items deeper than ``deepest`` are left out but head
     what is under them. A repeated section gives its items as often as it stands; null and unmarked text gives none.
     """
-    ship(sections.sparkSession)
-    pieces = marked_pieces(sections, key, indents, text, base).select("_row", *key, base, "no", "at", "depth", "ordinal", "piece")
-    kinds = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in [*key, base])
-
-    def run(marks: pd.DataFrame) -> pd.DataFrame:
-        marks = marks.sort_values("no")
-        own = [marks[c].iloc[0] for c in [*key, base]]
-        rows = [(*own, i + 1, *r) for i, r in enumerate(_settled(marks, LEAST, deepest))]
-        return pd.DataFrame(rows, columns=[*key, base, "index", "at", "depth", "parents", "raw"])
-
-    x = pieces.groupBy("_row").applyInPandas(run, f"{kinds}, index long, at long, depth long, parents array<string>, raw string")
+    spark = sections.sparkSession
+    ship(spark)
+    pieces = marked_pieces(sections, key, indents, text, base)
+    marks = F.sort_array(F.collect_list(F.struct("no", F.col("at").cast("long").alias("at"), F.col("depth").cast("long").alias("depth"), F.col("ordinal").cast("long").alias("ordinal"), "piece")))
+    own = pieces.groupBy("_row", *key, base).agg(marks.alias("m")).select(*key, base, *[F.col(f"m.{c}").alias(c) for c in ("at", "depth", "ordinal", "piece")])
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in [*key, base])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fixed, found = batch.select([*key, base]), []
+            for i, (at, depth, ordinal, piece) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("at", "depth", "ordinal", "piece")), strict=True)):
+                found += [(i, n + 1, *r) for n, r in enumerate(_settled(at, depth, ordinal, piece, LEAST, deepest))]
+            rows = pa.array([r[0] for r in found], pa.int64())
+            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string())
+            cols = [pa.array([r[k + 1] for r in found], t) for k, t in enumerate(kinds_)]
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in fixed.columns), *cols], names=[*key, base, "index", "at", "depth", "parents", "raw"])
+
+    # as many partitions as the session has: the texts are short for their work, and would be gathered in a few tasks
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    x = own.mapInArrow(run, f"{kinds}, index long, at long, depth long, parents array<string>, raw string")
     body = F.trim(F.regexp_replace("raw", r"\s*\n\s*", " "))
     x = with_markers(x.withColumn("_line", body), "_line")
     mark = F.coalesce(*[F.when(F.col("style") == s, F.trim(F.regexp_extract("_line", p, 0))) for s, p in MARKERS.items()], F.lit(""))

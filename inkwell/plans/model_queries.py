@@ -50,24 +50,25 @@ def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes are benchmark items, each with every document whose id has the same remainder by 40."""
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("r"))
-    return table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("r")).join(b, "r").drop("r")
+    """Quotes are each document's characters 100 to 220 with its e's changed, item by document; each is held against its own document and the next one."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    quotes = docs.select(F.col("doc_id").alias("item_id"), F.translate(F.substring("text", 101, 120), "e", "3").alias("quote"))
+    return quotes.select("*", F.explode(F.array("item_id", F.col("item_id") + 1)).alias("doc_id")).join(docs, "doc_id")
 
 
 def align_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.align_pairs(_pairs(spark, d), ["doc_id", "item_id"], 55.0).drop("quote")
+    return evidence.align_pairs(_pairs(spark, d), ["doc_id", "item_id"]).drop("quote")
 
 
 def best_document_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """The document where each quote aligns best, those of an even id preferred."""
-    found = align_pairs(spark, d)
-    return spans.best_document(found, found.where("doc_id % 2 = 0").select("item_id", "doc_id"), "item_id", "doc_id", "score")
+    even = _pairs(spark, d).where("doc_id % 2 = 0").select("item_id", "doc_id")
+    return spans.best_document(align_pairs(spark, d), even, "item_id", "doc_id", "score")
 
 
 def evidence_alignment_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Questions are ten groups of items, their context the documents that the items are held against."""
-    pairs = _pairs(spark, d).select((F.col("item_id") % 10).alias("question"), "item_id", "doc_id")
+    """Questions are groups of fifty items, their context the documents that the items are held against."""
+    pairs = _pairs(spark, d).select(F.expr("item_id div 50").alias("question"), "item_id", "doc_id")
     return spans.alignment_rates(pairs.select("question", "item_id").distinct(), pairs.select("question", "doc_id").distinct(), align_pairs(spark, d), "question", "item_id", "doc_id", "score")
 
 
