@@ -194,7 +194,7 @@ _PARTS = (1, 2, 4, 8, 16)
 
 
 def document_matches(questions: DataFrame, registry: DataFrame, q_id: str) -> DataFrame:
-    """Rows (q_id, n_matches, resolved) of every question: the document of that id, else those whose label holds the text.
+    """Rows (q_id, n_matches, resolved) of every question: the document of that id, else those whose label, or base name if the registry has one, holds the text.
 
     ``resolved`` is the one label that matches; several or none leave the search over all documents. Each distinct text
     meets the ids by equality, and the labels by its beginning, which stands somewhere in any label that holds it.
@@ -202,7 +202,9 @@ def document_matches(questions: DataFrame, registry: DataFrame, q_id: str) -> Da
     q = questions.select(q_id, F.lower(F.trim("text")).alias("_q"))
     asked = q.where("_q is not null").select("_q").distinct()
     named = registry.select(F.lower("reg_id").alias("_q"), "label").join(asked, "_q").groupBy("_q").agg(F.max("label").alias("named"))
-    labels = registry.where("label is not null").select("label", F.lower("label").alias("_l")).distinct().select("label", "_l", F.explode(_parts(F.col("_l"))).alias("_part"))
+    names = F.array("label", *(["base_name"] if "base_name" in registry.columns else []))
+    labels = registry.where("label is not null").select("label", F.explode(names).alias("_l")).where("_l is not null").select("label", F.lower("_l").alias("_l")).distinct()
+    labels = labels.select("label", "_l", F.explode(_parts(F.col("_l"))).alias("_part"))
     hits = labels.join(asked.withColumn("_part", _begin(F.col("_q"))), "_part").where(F.contains(F.col("_l"), F.col("_q")))
     found = hits.groupBy("_q").agg(F.countDistinct("label").alias("n"), F.min("label").alias("one"))
     x = q.join(named, "_q", "left").join(found, "_q", "left")

@@ -27,7 +27,7 @@ def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """Rows (question) of a text file: of .csv the first field without quotes and without a heading ``question``; else each line that is not blank."""
     lines = spark.read.text(path).select(F.trim("value").alias("q"))
     if path.endswith(".csv"):
-        quoted = F.regexp_extract("q", r'^"((?:[^"]|"")*)"', 1)
+        quoted = F.regexp_extract("q", r'^"((?:[^"]++|"")*+)"', 1)
         first = F.when(F.col("q").startswith('"'), F.replace(quoted, F.lit('""'), F.lit('"'))).otherwise(F.substring_index("q", ",", 1))
         lines = lines.select(F.trim(first).alias("q")).where("lower(q) <> 'question'")
     return lines.where("q <> ''").withColumnRenamed("q", "question")
