@@ -25,6 +25,23 @@ def merged_documents(hits: DataFrame, query: str, doc: str, item: str, score: st
     return top_k(one, query, item, score, k)
 
 
+def hits_over_documents(hits: DataFrame, asked: DataFrame, documents: DataFrame, query: str, doc: str, page: str, text: str, item: str, score: str, k: int = 10, begin: int = 60) -> DataFrame:
+    """Rows (query, doc, page, item, score, rnk): the k best hits of each query over the documents that it asks for.
+
+    ``asked`` has (query, doc); a query that asks for none, or for all of ``documents``, takes its k best hits of all. Else the k best of
+    each document are merged, of those on one page whose texts begin with the same ``begin`` characters the best only.
+    """
+    n = documents.select(doc).distinct().count()
+    some = asked.join(documents.select(doc).distinct(), doc, "left_semi").distinct()
+    picky = some.groupBy(query).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n).select(query)
+    cols = [query, doc, page, item, score]
+    whole = hits.join(picky, query, "left_anti").select(*cols)
+    own = hits.join(some.join(picky, query, "left_semi"), [query, doc], "left_semi").withColumn("_t", F.substring(text, 1, begin))
+    best = own.withColumn("_r", F.row_number().over(Window.partitionBy(query, doc).orderBy(F.desc(score), item))).where(F.col("_r") <= k)
+    one = best.withColumn("_d", F.row_number().over(Window.partitionBy(query, doc, page, "_t").orderBy(F.desc(score), item))).where("_d = 1")
+    return top_k(whole.unionByName(one.select(*cols)), query, item, score, k)
+
+
 def section_title_scores(questions: DataFrame, sections: DataFrame, q_id: str, s_id: str, fields: tuple[str, ...] = ("title", "full_title", "path")) -> DataFrame:
     """Rows (q_id, s_id, score): the best score of a section's title fields, .85 containment + .15 F1 each; pairs without a shared token aren't formed."""
     q = questions.select(q_id, F.array_distinct(tokens(F.col("text"))).alias("t")).select(q_id, F.size("t").alias("nq"), F.explode("t").alias("t"))

@@ -129,6 +129,11 @@ def item_groups(items: DataFrame, key: list[str], pos: str = "index", depth: str
     return g.where("n_items > 0")
 
 
+def list_sections(groups: DataFrame, key: list[str], least: int = 5) -> DataFrame:
+    """Rows (key, n_items) of the sections whose groups hold ``least`` items or more: those that behave as lists, whatever they are about."""
+    return groups.groupBy(*key).agg(F.sum("n_items").alias("n_items")).where(F.col("n_items") >= least)
+
+
 def structural_extraction(picked: DataFrame, sections: DataFrame, segments: DataFrame, key: str, doc: str, sec: str, pages: DataFrame | None = None, indents: DataFrame | None = None) -> DataFrame:
     """Rows (key, item_id, heading, section, text, marker, depth, char_start, char_end, view_start, view_end, page, score, grounding).
 

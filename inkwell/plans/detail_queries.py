@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions import text as T
-from ..operators import catalog, chunking, claims, ranking, rendering, review, spans, structure, validation
+from ..operators import catalog, chunking, claims, ranking, rendering, retrieval, review, spans, structure, understanding, validation
 from ..sources.tables import table
 from .queries_sql import SENTENCES, TOKENS
 
@@ -102,6 +102,25 @@ def grader_suite(spark: SparkSession, d: str) -> DataFrame:
     return validation.flat_suite(docs.select("doc_id", "source"), [judge, size, share], "doc_id")
 
 
+def hits_over_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Labels are documents, pages tens of vectors; texts repeat by thirds. Queries ask for two labels, for all, or for none, by their id."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    text = F.concat(F.lit("same beginning of sixty characters and more, for all of a third "), (F.col("vec_id") % 3).cast("string"))
+    hits = retrieval.dense(q, e, "q_id", "vec_id").join(e.select("vec_id", F.col("label").cast("long").alias("doc"), F.expr("vec_id div 10").alias("page"), F.when(F.col("vec_id") % 2 == 0, text).otherwise(F.concat("vec_id", text)).alias("text")), "vec_id")
+    i = F.expr("q_id div 50")
+    asked = q.select("q_id", F.explode(F.when(i % 3 == 0, F.array(i % 10, (i + 1) % 10)).when(i % 3 == 1, F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long")))).alias("doc"))
+    return ranking.hits_over_documents(hits, asked, hits.select("doc"), "q_id", "doc", "page", "text", "vec_id", "score")
+
+
+def doc_name_match_base(spark: SparkSession, d: str) -> DataFrame:
+    """Base names are the sources, labels say something else; questions are the sources, cut by the document's id."""
+    docs = table(spark, d, "documents")
+    registry = docs.groupBy("source").agg(F.min("doc_id").alias("i")).select(F.concat(F.lit("id"), F.col("i").cast("string")).alias("reg_id"), F.concat(F.lit("Label "), F.col("i").cast("string")).alias("label"), F.col("source").alias("base_name"))
+    q = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("id"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 4 == 1, F.col("source")).when(F.col("doc_id") % 4 == 2, F.expr("substring(source, 2, 3)")).otherwise("LABEL 1").alias("text"))
+    return understanding.document_matches(q, registry, "doc_id")
+
+
 _L = r"l as (select doc_id, generate_subscripts(ls, 1) - 1 as no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)), s as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by no rows between unbounded preceding and 1 preceding), 0)::bigint as start from l)"
 _BAND = lambda v, c: f"case when {c} " + f" when {c} ".join(f">= {a} then '{w}'" for a, w in rendering.BANDS[v] if a is not None) + f" when {c} is not null then '{rendering.BANDS[v][-1][1]}' end"
 _FIELD = lambda e: f"list_distinct({TOKENS.replace('text', e)})"
@@ -123,6 +142,10 @@ t as (select conv_id, 'ROLE {x}' || chr(10) || coalesce(history, '') || chr(10)
     "line_edges": f"with {_L}, e as (select doc_id, start, coalesce(case when no % 3 > 0 then length(line) % 40 * 1.5 end, -1.0)::double as x from s where no > 0), o as (select doc_id, unnest(range(0, length(text) + 1, 333)) as at from documents) select o.doc_id, o.at, coalesce(arg_max(e.x, e.start), -1.0::double) as x from o left join e on e.doc_id = o.doc_id and e.start <= o.at group by 1, 2",
     "section_titles": f"with q as (select item_id, list_distinct({TOKENS}) as t from benchmark), f as (select doc_id, unnest([{_FIELD('(text[1:25])')}, {_FIELD('(text[1:40] || chr(32) || source)')}, {_FIELD('(lang || chr(32) || chr(62) || chr(32) || text[1:90])')}]) as t from documents), b as (select item_id, doc_id, len(list_intersect(q.t, f.t)) as b, len(q.t) as nq, len(f.t) as nt from q, f) select item_id, doc_id, round(max(0.85::double * (b / nq) + 0.15::double * (2 * b / (nq + nt))), 6) as score from b where b > 0 group by 1, 2",
     "section_concentration": "with x as (select l_orderkey % 400 as q, l_partkey % 12 as sec, l_orderkey || '-' || l_linenumber as item, max(l_quantity)::double as score from lineitem group by 1, 2, 3), t as (select * from x qualify row_number() over (partition by q order by score desc, item) <= 25), m as (select q, sec, sum(score) as m, count(*) as n from t where sec % 5 <> 0 group by 1, 2) select q, arg_max(sec, (round(m, 6), -sec)) as dominant, round(arg_max(m, (round(m, 6), -sec)) / sum(m), 4) as concentration, arg_max(n, (round(m, 6), -sec)) as hits from m group by 1",
+    "hits_over_documents": """with e as (select vec_id, label::bigint as doc, vec_id // 10 as page, case when vec_id % 2 = 0 then '' else vec_id::varchar end || 'same beginning of sixty characters and more, for all of a third ' || vec_id % 3 as text, embedding::double[] as v from embeddings), h as (select q.vec_id as q_id, e.doc, e.page, e.text, e.vec_id, round(list_inner_product(q.v, e.v), 6) as score from e, e q where q.vec_id % 50 = 0),
+p as (select *, q_id // 50 % 3 = 0 as picky from h), o as (select * from p where picky and doc in (q_id // 50 % 10, (q_id // 50 + 1) % 10) qualify row_number() over (partition by q_id, doc order by score desc, vec_id) <= 10), u as (select * from o qualify row_number() over (partition by q_id, doc, page, text[1:60] order by score desc, vec_id) = 1)
+select q_id, doc, page, vec_id, score, row_number() over (partition by q_id order by score desc, vec_id) as rnk from (select * from u union all select * from p where not picky) qualify rnk <= 10""",
+    "doc_name_match_base": "with r as (select 'id' || min(doc_id) as reg_id, 'Label ' || min(doc_id) as label, source as base from documents group by source), q as (select doc_id, lower(case doc_id % 4 when 0 then 'id' || doc_id when 1 then source when 2 then source[2:4] else 'LABEL 1' end) as q from documents), m as (select q.doc_id, max(case when lower(reg_id) = q then label end) as named, count(distinct case when contains(lower(label), q) or contains(lower(base), q) then label end) as n, min(case when contains(lower(label), q) or contains(lower(base), q) then label end) as one from q, r group by 1) select doc_id, case when named is not null then 1 else n end as n_matches, coalesce(named, case when n = 1 then one end) as resolved from m",
     "grader_suite": "with j as (select doc_id, max(quality) as judge, max(toxic) as flagged from labels group by 1) select documents.doc_id, source, judge, flagged, case when lang = 'en' then n_chars end as chars, case when documents.doc_id % 3 = 0 then n_chars % 10 / 10 end as share from documents left join j using (doc_id)",
 }
 QUERIES = {name: globals()[name] for name in ORACLES}

@@ -33,6 +33,10 @@ def section_item_groups(spark: SparkSession, d: str) -> DataFrame:
     return segments.item_groups(segments.section_items(_marked(spark, d), ["doc_id"]), ["doc_id"], label=None)
 
 
+def list_sections(spark: SparkSession, d: str) -> DataFrame:
+    return segments.list_sections(section_item_groups(spark, d), ["doc_id"])
+
+
 def picked_items(spark: SparkSession, d: str) -> DataFrame:
     """Groups and items of the documents that are picked, every third one."""
     picked = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id")
@@ -130,6 +134,7 @@ _page = lambda at: f"coalesce((select min(page) from pg where pg.doc = x.doc and
 ORACLES = {
     "section_items": _ITEMS + " select doc_id, index, depth, style, marker, sha256(label) as label_sha, sha256(parents) as parents_sha, sha256(text) as text_sha, sha256(raw) as raw_sha, char_start, char_end from item",
     "section_item_groups": _ITEMS + ", " + _GROUPS("item", "doc_id", "index") + " select doc_id, group_no, max(case when heads then index end) as heading, count(*) filter (not heads) as n_items, min(case when not heads then index end) as first, max(case when not heads then index end) as last from gg group by 1, 2 having count(*) filter (not heads) > 0",
+    "list_sections": _ITEMS + ", " + _GROUPS("item", "doc_id", "index") + ", gr as (select doc_id, group_no, count(*) filter (not heads) as n from gg group by 1, 2) select doc_id, sum(n)::bigint as n_items from gr group by 1 having sum(n) >= 5",
     "picked_items": _ITEMS + ", " + _GROUPS("item", "doc_id", "index") + ", gr as (select doc_id, group_no, count(*) filter (not heads) as n from gg group by 1, 2 having count(*) filter (not heads) > 0) select doc_id, count(*) as n_groups, sum(n)::bigint as n_items from gr where doc_id % 3 = 0 group by 1",
     "item_groups": "with i as (select l_orderkey, l_linenumber::bigint as pos, min(l_partkey) % 3 as depth from lineitem group by 1, 2), " + _GROUPS("i", "l_orderkey", "pos") + " select l_orderkey, group_no, max(case when heads then pos end) as heading, count(*) filter (not heads) as n_items from gg group by 1, 2 having count(*) filter (not heads) > 0",
     "structural_extraction": _ITEMS + ", " + _GROUPS("item", "doc_id", "index") + """, sh as (select *, max(case when heads then label end) over (partition by doc_id, group_no) as heading from gg), pk as (select distinct item_id as q, unnest([item_id * 3 % 150, (item_id * 3 + 1) % 150, (item_id * 3 + 2) % 150]) as sec from benchmark),
