@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, meet, ship
 
 WIDTH = 64  # samples in a row of the stored image
 HEADER_BYTES = 33  # signature and IHDR chunk
@@ -189,7 +189,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text counts as empty and gives a payload of WIDTH zero bytes. Equal texts share one stored file and have equal
     values throughout. Repeated rows give repeated rows; other columns are not read; an empty table gives an empty one.
-    The shards stay in the shared folder beside the index table.
+    The shards stay in the shared folder beside the index table. The rows of a text that very many rows hold are dealt over tasks.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -197,7 +197,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = at.path("shards") if "://" in at.root or at.root.startswith("/") else "file://" + at.path("shards").removeprefix("file:")
     index = at.put(write_payloads(docs, folder, id_col, text_col), "index")
     # tasks may have stored equal payloads: the first place counts
-    blobs = index.groupBy("digest").agg(F.min(F.struct("shard", "begin", "length")).alias("at")).select("digest", "at.*")
-    described = at.put(read_back(read_metadata(blobs, folder), folder), "blobs").withColumnRenamed("digest", "_digest")
-    rows = index.select(id_col, "n_bytes", "digest").join(described, F.col("digest") == F.col("_digest"))
+    blobs = index.groupBy("digest").agg(F.min(F.struct("shard", "begin", "length")).alias("at"), F.count(F.lit(1)).alias("n")).select("digest", "at.*", "n")
+    described = at.put(read_back(read_metadata(blobs, folder), folder).join(blobs.select("digest", "n"), "digest"), "blobs")
+    rows = meet(index.select(F.col(id_col).alias("_id"), "n_bytes", "digest"), described, ["digest"], ["_id"]).withColumnRenamed("_id", id_col)
     return rows.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "begin")
