@@ -128,6 +128,14 @@ def test_ids_that_clash(spark, monkeypatch, tmp_path):
     assert len(set(r.ids(0, 17).tolist())) == 15
 
 
+@pytest.mark.parametrize("key", [[], [5], [3, 1, 3, 2**64 - 1, 1], [2**63 + 4, 2**63, 2**63 + 4, 2**63 + 1], list(range(50)) * 3])
+def test_runs(key):
+    key = np.array(key, np.uint64)
+    order, begins = vocabulary.runs(key)
+    assert order.tolist() == np.argsort(key, kind="stable").tolist()
+    assert key[order[begins]].tolist() == sorted(set(key.tolist()))
+
+
 @pytest.mark.parametrize("top", [0, 3, 1_000, 2**40, 2**64 - 1])
 def test_elias_fano(top):
     rng = np.random.default_rng(top % 97)
