@@ -44,19 +44,37 @@ def scanned(spark: SparkSession, paths: list[str], parser: Parser, suffix: str =
     return read.select("path", "modificationTime", "content").mapInPandas(parse, schema)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, fingerprint, cache) of a manifest; none where it isn't there."""
-    schema = "path string, fingerprint string, cache string"
+_MANIFEST = "path string, fingerprint string, cache string"
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all versions of a manifest; none where it isn't there."""
     try:
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(f"{_MANIFEST}, version long").json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{_MANIFEST}, version long")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, fingerprint, cache) of the last version of a manifest; none where it isn't there."""
+    x = _versions(spark, path)
+    last = x.agg(F.max("version").alias("version"))
+    return x.join(F.broadcast(last), "version").where("path is not null").drop("version")  # one row
 
 
 def write_manifest(entries: DataFrame, path: str) -> None:
-    entries.select("path", "fingerprint", "cache").write.mode("overwrite").json(path)
+    """Append ``entries`` as a new version; a crash before it is committed leaves the one before. They may come from the manifest itself.
+
+    A row without a path marks each version, so that one may be empty.
+    """
+    spark = entries.sparkSession
+    last = _versions(spark, path).agg(F.max("version")).first()[0]
+    none = F.lit(None).cast("string")
+    mark = spark.range(1).select(none.alias("path"), none.alias("fingerprint"), none.alias("cache"))
+    x = entries.select("path", "fingerprint", "cache").unionByName(mark).withColumn("version", F.lit(0 if last is None else last + 1).cast("long"))
+    x.write.mode("append").json(path)
 
 
 def write_parsed(lines: DataFrame, folder: str) -> None:

@@ -164,6 +164,11 @@ def test_files(spark, tmp_path):
     assert files.manifest(spark, at).count() == 0
     files.write_manifest(spark.createDataFrame([("p", "f", "c")], "path string, fingerprint string, cache string"), at)
     assert [tuple(r) for r in files.manifest(spark, at).collect()] == [("p", "f", "c")]
+    more = spark.createDataFrame([("q", "g", "d")], "path string, fingerprint string, cache string")
+    files.write_manifest(files.manifest(spark, at).unionByName(more), at)
+    assert {r["path"] for r in files.manifest(spark, at).collect()} == {"p", "q"}
+    files.write_manifest(more.limit(0), at)
+    assert files.manifest(spark, at).count() == 0
     lines = spark.createDataFrame([("f1", "x"), ("f2", "y")], "fingerprint string, line string")
     files.write_parsed(lines, str(tmp_path / "parsed"))
     assert [r["line"] for r in files.read_parsed(spark, str(tmp_path / "parsed"), lines.where("fingerprint = 'f2'")).collect()] == ["y"]
