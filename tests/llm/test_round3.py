@@ -10,6 +10,7 @@ from itertools import permutations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.llm import collocations, filter_audit, language_model, vocabulary, words
 from inkwell.llm.elias_fano import EliasFano
@@ -115,11 +116,11 @@ def test_collocations(spark, monkeypatch, docs, top, step):
 
 def test_scores_past_64_bits(spark):
     a = 3_000_000_000_000
-    got = spark.createDataFrame([(a, 2 * a, 5 * a)], "a long, l long, r long").select(collocations.cohesion(*map(lambda c: __import__("pyspark.sql.functions").sql.functions.col(c), "alr"))).first()[0]
+    got = spark.createDataFrame([(a, 2 * a, 5 * a)], "a long, l long, r long").select(collocations.cohesion(*map(F.col, "alr"))).first()[0]
     assert got == 1_000_000 * a * a // (10 * a * a)
 
 
-def test_ids_that_clash(spark, monkeypatch, tmp_path):
+def test_ids_that_clash(monkeypatch):
     """Where an id has several words, those are counted apart under other ids."""
     true = vocabulary.Reader.hashes
     monkeypatch.setattr(vocabulary.Reader, "hashes", lambda self, lo, hi, seed: true(self, lo, hi, seed) if seed else true(self, lo, hi, seed) % np.uint64(7))
