@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import placement, segments, structure
@@ -198,8 +197,7 @@ def test_pages_there_and_back(spark):
     assert [(r["page_start"], r["page_end"]) for r in placement.with_page_stamps(spans, texts).orderBy("char_start").collect()] == [(0, 0), (0, 1), (1, 2)]
 
 
-@pytest.mark.parametrize("empty", [True])
-def test_nothing_gives_nothing(spark, empty):
+def test_nothing_gives_nothing(spark):
     none = spark.createDataFrame([], "doc long, char_start long, body string")
     assert segments.section_items(none, ["doc"]).collect() == []
     lines = spark.createDataFrame([], "doc long, page long, line_no long, text string")
