@@ -36,15 +36,15 @@ def with_neighbours(hits: DataFrame, corpus: DataFrame, query: str, item: str, s
 def pairwise_agreement(sets: DataFrame, key: str, name: str, item: str) -> DataFrame:
     """Rows (key, agreement): mean Jaccard similarity over the pairs of a key's sets, each a name's items; null below two sets.
 
-    Shared items come from an equi-join on the item; pairs of a key's few sets that share none count as 0.
+    Equal sets are one class, however many: a class counts by its pairs. Shared items of classes come from an equi-join on the item;
+    pairs of a key's few sets that share none count as 0.
     """
-    rows = sets.select(key, name, item).distinct()
-    size = rows.groupBy(key, name).agg(F.count(F.lit(1)).alias("n"))
-    a = rows.select(key, item, F.col(name).alias("a"))
-    b = rows.select(key, item, F.col(name).alias("b"))
-    both = a.join(b, [key, item]).where("a < b").groupBy(key, "a", "b").agg(F.count(F.lit(1)).alias("both"))
-    both = both.join(size.select(key, F.col(name).alias("a"), F.col("n").alias("na")), [key, "a"]).join(size.select(key, F.col(name).alias("b"), F.col("n").alias("nb")), [key, "b"])
-    total = both.groupBy(key).agg(F.sum(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("total"))
-    pairs = size.groupBy(key).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs"))
-    mean = F.when(F.col("pairs") > 0, F.round(F.coalesce("total", F.lit(0.0)) / F.col("pairs"), 4))
+    alike = sets.select(key, name, item).distinct().groupBy(key, name).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    size = alike.groupBy(key, "items").agg(F.min(name).alias(name), F.count(F.lit(1)).alias("w")).withColumn("n", F.size("items"))
+    rows = size.select(key, name, "n", "w", F.explode("items").alias(item))
+    a, b = (rows.select(key, item, F.col(name).alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}")) for x in "ab")
+    both = a.join(b, [key, item]).where("a < b").groupBy(key, "a", "b", "na", "nb", "wa", "wb").agg(F.count(F.lit(1)).alias("both"))
+    total = both.groupBy(key).agg(F.sum(F.col("wa") * F.col("wb") * F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("total"))
+    pairs = size.groupBy(key).agg((F.sum("w") * (F.sum("w") - 1) / 2).alias("pairs"), F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("equal"))
+    mean = F.when(F.col("pairs") > 0, F.round((F.coalesce("total", F.lit(0.0)) + F.col("equal")) / F.col("pairs"), 4))
     return pairs.join(total, key, "left").select(key, mean.alias("agreement"))

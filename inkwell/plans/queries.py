@@ -52,23 +52,23 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     return grading.retrieval_quality(bm25_topk(spark, d), "item_id")
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
+def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return retrieval.dense(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id")
+    return retrieval.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id", k)
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_dense(spark, d), "q_id", "vec_id", "score", 10)
+    return retrieval.top_k(_dense(spark, d, 10), "q_id", "vec_id", "score", 10)
 
 
 def dense_precision(spark: SparkSession, d: str) -> DataFrame:
-    hits = _dense(spark, d).withColumnRenamed("vec_id", "item").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label"), "item")
+    hits = _dense(spark, d, 10).withColumnRenamed("vec_id", "item").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("item"), "label"), "item")
     top = retrieval.top_k(hits.select("q_id", "item", "label", "score"), "q_id", "item", "score", 10).drop("rnk")
     return retrieval.precision_filter(top, "q_id", "label")
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    hits = _dense(spark, d)
+    hits = _dense(spark, d, 40)
     fused = retrieval.reciprocal_rank_fusion(retrieval.top_k(hits, "q_id", "vec_id", "score", 40).withColumn("question", F.lit(1)), "question", "vec_id")
     return retrieval.top_k(fused, "question", "vec_id", "rrf", 60)
 
@@ -76,7 +76,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense rankings of the same questions in one: vector ids count as document ids, every fiftieth as a question."""
     lexical = retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
-    near = _dense(spark, d).select(F.expr("q_id div 50").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
+    near = _dense(spark, d, 40).select(F.expr("q_id div 50").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
     both = retrieval.top_k(lexical, "item_id", "doc_id", "score", 40).unionByName(retrieval.top_k(near, "item_id", "doc_id", "score", 40))
     return retrieval.top_k(retrieval.reciprocal_rank_fusion(both, "item_id", "doc_id"), "item_id", "doc_id", "rrf", 60)
 
@@ -93,7 +93,10 @@ def align_original(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiquery_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d).groupBy("vec_id").agg(F.round(F.max("score"), 4).alias("score"))
+    """The best score of each vector over all queries: vectors look for the query nearest to them."""
+    e = table(spark, d, "embeddings")
+    best = retrieval.nearest(e.withColumnRenamed("embedding", "q"), e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "q_id"), "vec_id", "q_id", 1)
+    return best.select("vec_id", retrieval.rounded(F.col("score"), 4).alias("score"))
 
 
 def align_exact(spark: SparkSession, d: str) -> DataFrame:

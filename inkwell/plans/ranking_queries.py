@@ -10,18 +10,23 @@ from ..sources.tables import table
 from .question_queries import SENTENCES, TOKENS
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
+def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = table(spark, d, "embeddings")
-    scored = retrieval.dense(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id")
-    return scored.join(e.select("vec_id", "label"), "vec_id")
+    near = retrieval.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id", k)
+    return near.join(e.select("vec_id", "label"), "vec_id")
+
+
+def _hits_by_label(spark: SparkSession, d: str, k: int, labels: str = "true") -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return retrieval.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e.where(labels), "q_id", "vec_id", k, within="label")
 
 
 def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.filtered_top_k(_hits(spark, d), "q_id", "label", "vec_id", "score", 3)
+    return ranking.filtered_top_k(_hits_by_label(spark, d, 3).select("vec_id", "q_id", "score", "label"), "q_id", "label", "vec_id", "score", 3)
 
 
 def multi_doc_merge(spark: SparkSession, d: str) -> DataFrame:
-    x = _hits(spark, d).where("label in (0, 3, 7)").withColumn("page", F.expr("vec_id div 3"))
+    x = _hits_by_label(spark, d, 10, "label in (0, 3, 7)").withColumn("page", F.expr("vec_id div 3"))
     return ranking.merged_documents(x, "q_id", "label", "vec_id", "score", ["page"]).select("q_id", "vec_id", "score", "rnk")
 
 
@@ -32,18 +37,18 @@ def title_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_concentration(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.concentration(_hits(spark, d), "q_id", "label", "vec_id", "score")
+    return ranking.concentration(_hits(spark, d, ranking.TOP_HITS), "q_id", "label", "vec_id", "score")
 
 
 def subquery_agreement(spark: SparkSession, d: str) -> DataFrame:
-    x = retrieval.top_k(_hits(spark, d), "q_id", "vec_id", "score", 10).withColumn("question", F.expr("q_id div 50 % 3"))
+    x = retrieval.top_k(_hits(spark, d, 10), "q_id", "vec_id", "score", 10).withColumn("question", F.expr("q_id div 50 % 3"))
     fused = x.groupBy("question", "vec_id").agg(F.max("score").alias("score"))
     return ranking.subquery_agreement(x, retrieval.top_k(fused, "question", "vec_id", "score", 10).select("question", "vec_id"), "question", "q_id", "vec_id")
 
 
 def _cover(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "embeddings").select("vec_id", "label", (200 + F.col("vec_id") % 5 * 100).alias("size"))
-    kept = retrieval.top_k(_hits(spark, d), "q_id", "vec_id", "score", 10).select("q_id", "vec_id", "label")
+    kept = retrieval.top_k(_hits(spark, d, 10), "q_id", "vec_id", "score", 10).select("q_id", "vec_id", "label")
     return ranking.section_cover(kept, members, "q_id", "label", "vec_id", "size")
 
 

@@ -30,7 +30,7 @@ def item_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def context_render(spark: SparkSession, d: str) -> DataFrame:
-    top = retrieval.top_k(_hits(spark, d), "q_id", "vec_id", "score", 5).withColumn("page", F.col("vec_id") % 9)
+    top = retrieval.top_k(_hits(spark, d, 5), "q_id", "vec_id", "score", 5).withColumn("page", F.col("vec_id") % 9)
     x = top.join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     return rendering.context_rows(x, "q_id", "label", "page", "score", "rnk", "text").select("q_id", "fingerprint", "refs", F.sha2("prompt", 256).alias("prompt_sha"))
 

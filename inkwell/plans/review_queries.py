@@ -47,7 +47,7 @@ def answer_length(spark: SparkSession, d: str) -> DataFrame:
 
 def _queries_and_hits(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    hits = retrieval.dense(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id")
+    hits = retrieval.nearest(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q")), e, "q_id", "vec_id", 10)
     top = retrieval.top_k(hits, "q_id", "vec_id", "score", 10)
     return top.join(e.select("vec_id", "label"), "vec_id")
 
