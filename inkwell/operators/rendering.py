@@ -18,6 +18,11 @@ def score_band(score: Column, high: float = 0.8, middle: float = 0.5) -> Column:
     return F.when(score >= high, "high").when(score >= middle, "medium").when(score.isNotNull(), "low")
 
 
+def four_places(score: Column) -> Column:
+    """A score with four digits as C's printf writes it: by the double's binary value. Java's formats take the halves of the written number instead."""
+    return F.pandas_udf(lambda s: s.map(lambda v: None if v != v else f"{v:.4f}"), "string")(score.cast("double"))
+
+
 def percent(share: Column) -> Column:
     """A share as whole percents, halves away from zero; a dash where there is none."""
     return F.coalesce(F.concat(F.round(share * 100, 0).cast("long").cast("string"), F.lit("%")), F.lit("–"))
@@ -45,7 +50,7 @@ def prompts(questions: DataFrame, hits: DataFrame, history: DataFrame, key: str,
     text) stand in order under a heading, which goes where there are none. What the texts hold is not looked at as a template.
     """
     number = F.row_number().over(Window.partitionBy(key).orderBy("rnk"))
-    line = F.format_string("\n[Context %d] Source: %s | Page: %s | Confidence: %.4f\n%s\n", number, F.col("source"), F.col("page").cast("string"), F.col("score"), F.col("text"))
+    line = F.format_string("\n[Context %d] Source: %s | Page: %s | Confidence: %s\n%s\n", number, F.col("source"), F.col("page").cast("string"), four_places(F.col("score")), F.col("text"))
     joined = lambda df, n, c: df.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(n).alias("n"), F.col(c).alias("t")))), lambda s: s["t"]), "").alias(c))
     context = joined(hits.withColumn("context", line), "rnk", "context")
     last = history.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("turn")))).where(F.col("_n") <= most_turns)
@@ -95,7 +100,8 @@ def _joined(sep: str, by: str, what: Column) -> Column:
 
 def context_rows(hits: DataFrame, query: str, doc: str, page: str, score: str, rank: str, text: str) -> DataFrame:
     """Rows (query, fingerprint, refs, prompt) over ranked hits: doc:page:score, written-out references, numbered passages."""
-    number = F.format_string("%.4f", F.col(score))
+    hits = hits.withColumn("_number", four_places(F.col(score)))
+    number = F.col("_number")
     mark = F.concat_ws(":", doc, page, number)
     ref = F.concat(F.col(doc).cast("string"), F.lit(" p."), (F.col(page) + 1).cast("string"), F.lit(" (conf: "), number, F.lit(")"))
     passage = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] "), normalize(F.col(text)))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import packing, retrieval
+from inkwell.operators import packing, rendering, retrieval
 from inkwell.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,3 +50,10 @@ def test_agreement_joins_equal_sets_once(spark):
 def test_best_scores_round_as_sql_does(spark):
     x = spark.createDataFrame([(0.38835,), (0.276450,), (-0.38835,), (2.5,)], "x double")
     assert [r[0] for r in x.select(retrieval.rounded(F.col("x"), 4)).collect()] == [0.3883, 0.2764, -0.3883, 2.5]
+
+
+def test_references_show_scores_as_printf_does(spark):
+    hits = spark.createDataFrame([(1, 2, 0, 0.38835, 1, "a"), (1, 3, 0, 0.5, 2, "b"), (1, 4, 0, -0.27645, 3, "c")], "q long, doc long, page long, score double, rnk long, text string")
+    x = rendering.context_rows(hits, "q", "doc", "page", "score", "rnk", "text").collect()[0]
+    assert x.fingerprint == "2:0:0.3883|3:0:0.5000|4:0:-0.2764"
+    assert x.refs.startswith("2 p.1 (conf: 0.3883)")
