@@ -15,9 +15,9 @@ VECTORS, QUERIES, CELLS = 65_536, 16_384, 4_000_000  # vectors and queries that
 BLOCKS = 48  # blocks at least, so that few vectors keep all cores busy
 
 
-def top_k(hits: DataFrame, query: str, item: str, score: str, k: int) -> DataFrame:
-    """The k best items of each query, ties by id; adds ``rnk``."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), item)
+def top_k(hits: DataFrame, query: str, item: str, score: str, k: int, then: tuple[str, ...] = ()) -> DataFrame:
+    """The k best items of each query, ties by id, then by ``then``; adds ``rnk``."""
+    w = Window.partitionBy(query).orderBy(F.desc(score), item, *then)
     return hits.withColumn("rnk", F.row_number().over(w).cast("long")).where(F.col("rnk") <= k)
 
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import packing, rendering, retrieval
+from inkwell.operators import packing, ranking, rendering, retrieval
 from inkwell.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,3 +57,11 @@ def test_references_show_scores_as_printf_does(spark):
     x = rendering.context_rows(hits, "q", "doc", "page", "score", "rnk", "text").collect()[0]
     assert x.fingerprint == "2:0:0.3883|3:0:0.5000|4:0:-0.2764"
     assert x.refs.startswith("2 p.1 (conf: 0.3883)")
+
+
+def test_an_item_of_two_sections_is_taken_by_its_smallest_first(spark):
+    for order in (1, -1):
+        hits = spark.createDataFrame([(1, s, "a", 5.0) for s in (1, 2, 3, 4)[::order]] + [(1, 1, "b", 9.0)], "q long, sec long, item string, score double").repartition(1)
+        sections = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "sec long, navigational boolean")
+        x = ranking.section_concentration(hits, sections, "q", "sec", "item", "score", 2).collect()
+        assert [tuple(r) for r in x] == [(1, 1, 1.0, 2)]
