@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,23 +104,53 @@ def semantic_match(rows: DataFrame, embed: Embed | None, a: str, b: str) -> Data
 PART = 14_000  # characters of a context that a model reads at once
 
 
-def context_parts(contexts: DataFrame, key: list[str], text: str = "text", most: int = PART) -> DataFrame:
-    """Rows (key, part, text): a context cut at newlines, each part as many whole lines as come to ``most`` characters.
+def _cut(rows: DataFrame, key: list[str], text: str, most: int, gap: int | None) -> DataFrame:
+    """Rows (key, part, text): texts as they come, cut at newlines, in one pass that holds a part at a time.
 
-    A line over ``most`` is a part by itself; nothing is cut off. A context's lines meet in one row, as its text does.
+    Neighbours of one key are one context, ``gap`` empty lines between them; each row is its own where ``gap`` is None.
     """
-    begin = F.struct(F.lit(0).alias("size"), F.lit(-1).alias("no"), F.array().cast("array<int>").alias("out"))
+    x = rows.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, no, lines, kinds = None, 0, 0, [], []
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[*key, "part", "text"])
+
+        for part in batches:
+            kinds = [*part.schema.types[:-1], pa.int32(), pa.string()]
+            for *k, t in zip(*(c.to_pylist() for c in part.columns)):
+                more = t.split("\n")
+                if gap is None or k != now:
+                    if lines:
+                        out.append((*now, no, "\n".join(lines)))
+                    now, size, no, lines = k, 0, 0, []
+                else:
+                    more = [""] * gap + more
+                for line in more:
+                    if lines and size + len(line) > most:
+                        out.append((*now, no, "\n".join(lines)))
+                        size, no, lines = 0, no + 1, []
+                    lines.append(line)
+                    size += len(line) + 1
+            if out:
+                yield batch()
+        if lines:
+            out.append((*now, no, "\n".join(lines)))
+            yield batch()
+
+    return x.mapInArrow(run, ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in key) + ", part int, text string")
 
-    def step(acc: Column, n: Column) -> Column:
-        fresh = (acc["no"] < 0) | ((acc["size"] + n > most) & (acc["size"] > 0))
-        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(F.when(fresh, n + 1).otherwise(acc["size"] + n + 1).alias("size"), no.alias("no"), F.array_append(acc["out"], no).alias("out"))
 
-    x = contexts.where(F.col(text).isNotNull()).select(*key, F.split(text, "\n", -1).alias("ls"), F.length(text).alias("n"))
-    nos = F.when(F.col("n") <= most, F.transform("ls", lambda _: F.lit(0))).otherwise(F.aggregate(F.transform("ls", lambda s: F.length(s)), begin, step, lambda acc: acc["out"]))
-    x = x.withColumn("z", F.arrays_zip(nos.alias("p"), F.col("ls").alias("l")))
-    parts = F.transform(F.array_distinct("z.p"), lambda p: F.struct(p.alias("part"), F.array_join(F.transform(F.filter("z", lambda s: s["p"] == p), lambda s: s["l"]), "\n").alias("text")))
-    return x.select(*key, F.inline(parts))
+def context_parts(contexts: DataFrame, key: list[str], text: str = "text", most: int = PART) -> DataFrame:
+    """Rows (key, part, text): a context cut at newlines, each part as many whole lines as come to ``most`` characters.
+
+    A line over ``most`` is a part by itself; nothing is cut off. The time is linear in the text.
+    """
+    return _cut(contexts, key, text, most, None)
 
 
 def map_reduced(parts: DataFrame, model: Model | None, key: str, no: str, text: str, most: int = PART) -> DataFrame:
@@ -132,20 +163,28 @@ def map_reduced(parts: DataFrame, model: Model | None, key: str, no: str, text:
     """
     spark = parts.sparkSession
     folder = f"{shared_folder(spark)}/narratives-{uuid.uuid4().hex}"
-    joined = parts.where(F.col(text).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(no, F.col(text).alias("t")))).alias("ts"))
-    cut = context_parts(joined.select(key, F.array_join("ts.t", "\n").alias("text")), [key], "text", most)
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    def joined(rows: DataFrame, order: list[str], text: str, gap: int) -> DataFrame:
+        # a question's texts pass one task in their order, without meeting in a row
+        return _cut(rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order), [key], text, most, gap)
+
+    cut = put(joined(parts.where(F.col(text).isNotNull()), [no, text], text, 0), "parts-0")
     done: list[DataFrame] = []
     passes, k = cut.groupBy(key).agg(F.count(F.lit(1)).alias("passes")), 0
     while True:
-        notes = replies(cut, F.col("text"), model, "note").withColumn("note", F.coalesce("note", "text"))
-        notes.write.parquet(f"{folder}/{k}")
-        notes = spark.read.parquet(f"{folder}/{k}")
-        whole = notes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "note"))), lambda s: s["note"]), "\n\n").alias("text"))
-        done.append(whole.where("n = 1").select(key, F.col("text").alias("narrative"), F.lit(k).cast("long").alias("rounds")))
-        cut = context_parts(whole.where("n > 1"), [key], "text", most)
-        stuck = cut.groupBy(key).agg(F.count(F.lit(1)).alias("m")).join(whole, key).where("m >= n")
-        done.append(stuck.select(key, F.col("text").alias("narrative"), F.lit(k).cast("long").alias("rounds")))
-        cut = cut.join(stuck.select(key), key, "left_anti")
+        notes = put(replies(cut, F.col("text"), model, "note").select(key, "part", F.coalesce("note", "text").alias("note")), f"notes-{k}")
+        n = notes.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        done.append(notes.join(n.where("n = 1"), key).select(key, F.col("note").alias("narrative"), F.lit(k).cast("long").alias("rounds")))
+        rest = notes.join(n.where("n > 1").select(key), key)
+        cut = put(joined(rest, ["part"], "note", 1), f"parts-{k + 1}")
+        stuck = cut.groupBy(key).agg(F.count(F.lit(1)).alias("m")).join(n, key).where("m >= n").select(key)
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "note"))), lambda s: s["note"]), "\n\n")
+        done.append(rest.join(stuck, key).groupBy(key).agg(whole.alias("narrative")).select(key, "narrative", F.lit(k).cast("long").alias("rounds")))
+        cut = cut.join(stuck, key, "left_anti")
         if not len(cut.take(1)):
             break
         k += 1
