@@ -101,6 +101,7 @@ def semantic_match(rows: DataFrame, embed: Embed | None, a: str, b: str) -> Data
     return x.withColumn("match", match).drop("_va", "_vb")
 
 
+CHUNKS = 60  # of an answer's chunks so many are held against it
 PART = 14_000  # characters of a context that a model reads at once
 
 
@@ -255,7 +256,7 @@ def generative_extraction(questions: DataFrame, model: Model | None, key: str, p
     return out.select(key, "item_id", "heading", "text", "evidence", "start", "end", "doc_start", "doc_end", "score", grounding_label(F.col("score")).alias("grounding"))
 
 
-def semantic_utilisation(answers: DataFrame, chunks: DataFrame, key: str, vector: str = "embedding", rank: str = "rnk", most: int = 60, least: float = 0.30) -> DataFrame:
+def semantic_utilisation(answers: DataFrame, chunks: DataFrame, key: str, vector: str = "embedding", rank: str = "rnk", most: int = CHUNKS, least: float = 0.30) -> DataFrame:
     """Rows (key, utilisation): of the first ``most`` chunks of each question, the share whose vector's product with the answer's is ``least`` or more.
 
     ``answers`` has (key, vector), ``chunks`` (key, rank, vector), from a cached table of vectors. Chunks meet their own answer

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, grading, models, replies, review, routing, spans
@@ -95,7 +95,9 @@ def semantic_utilisation(spark: SparkSession, d: str) -> DataFrame:
     """Answers are the stated query vectors, their chunks the vectors of the same label, in the order of their ids."""
     e = table(spark, d, "embeddings")
     answers = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label", "embedding")
-    chunks = answers.select("q", "label").join(e.select("label", "vec_id", "embedding"), "label").select("q", F.col("vec_id").alias("rnk"), "embedding")
+    # the first chunks of each label, before they meet its answers
+    of = e.where("embedding is not null").withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("_n") <= models.CHUNKS)
+    chunks = answers.select("q", "label").join(of.select("label", "vec_id", "embedding"), "label").select("q", F.col("vec_id").alias("rnk"), "embedding")
     return models.semantic_utilisation(answers, chunks, "q")
 
 

@@ -90,3 +90,8 @@ def test_narratives_take_texts_in_order_and_join_stuck_notes(spark):
     got = {r.q: r for r in models.map_reduced(x, lambda ps: ["<" + p + ">" for p in ps], "q", "n", "t", 100).collect()}
     assert got["b"].narrative == "<first\nsecond>" and got["b"].passes == 1 and got["b"].rounds == 0
     assert got["a"].passes == len(cut) and got["a"].narrative == "\n\n".join(f"<{c}>" for c in cut)
+
+
+def test_chunks_meet_their_answers_after_they_are_cut(spark):
+    text = plan(QUERIES["semantic_utilisation"](spark, SMALL)).split("Join")[-1]
+    assert "row_number" in text  # below the lowest join
