@@ -95,3 +95,22 @@ def test_narratives_take_texts_in_order_and_join_stuck_notes(spark):
 def test_chunks_meet_their_answers_after_they_are_cut(spark):
     text = plan(QUERIES["semantic_utilisation"](spark, SMALL)).split("Join")[-1]
     assert "row_number" in text  # below the lowest join
+
+
+def test_titles_are_looked_up_by_sets_of_tokens(spark):
+    r = random.Random(5)
+    words = [f"w{i:02d}x" for i in range(25)]
+    titles = [(i, " ".join(r.choices(words, k=r.randint(1, 7)))) for i in range(300)] + [(300 + i, "w01x w02x") for i in range(40)] + [(400, None), (401, "")]
+    asked = [(i, " ".join(r.choices([*words, "unknown"], k=r.randint(1, 12)))) for i in range(120)] + [(500, "w01x"), (501, "unknown"), (502, None)]
+    want = []
+    for q, text in asked:
+        a = set((text or "").split())
+        scored = []
+        for t, title in titles:
+            b = set((title or "").split())
+            if a & b:
+                scored.append((-round(0.85 * (len(a & b) / len(a)) + 0.15 * (2 * len(a & b) / (len(a) + len(b))), 6), t))
+        want += [(q, t, -x, i + 1) for i, (x, t) in enumerate(sorted(scored)[:10])]
+    got = ranking.title_scores(spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(titles, "t long, title string"), "q", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "forall" in plan(got)
