@@ -41,7 +41,10 @@ def navigational(lines: Column, least: int = 10, share: float = 0.4) -> tuple[Co
 
 def rebuilt_text(text: Column) -> Column:
     """A page's text from its overlapping sentence chunks: each sentence of a kept chunk once, where it first stands."""
-    s = sentences(text)
-    windows = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: i % STEP == 0), lambda i: F.slice(s, i + 1, F.lit(SIZE)))
-    kept = F.filter(windows, lambda w: F.length(F.array_join(w, " ")) / 4 > LEAST_TOKENS)
-    return F.array_join(F.array_distinct(F.filter(F.flatten(kept), lambda x: x != "")), " ")
+
+    def rebuilt(s: Column) -> Column:
+        windows = F.transform(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: i % STEP == 0), lambda i: F.slice(s, i + 1, F.lit(SIZE)))
+        kept = F.filter(windows, lambda w: F.length(F.array_join(w, " ")) / 4 > LEAST_TOKENS)
+        return F.array_join(F.array_distinct(F.filter(F.flatten(kept), lambda x: x != "")), " ")
+
+    return F.transform(F.array(sentences(text)), rebuilt)[0]  # a lambda's variable: the text is split once, not again for each window

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from inkwell.operators import models, packing, ranking, rendering, retrieval
+from inkwell.operators import items, models, packing, ranking, rendering, retrieval
 from inkwell.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -114,3 +114,11 @@ def test_titles_are_looked_up_by_sets_of_tokens(spark):
     got = ranking.title_scores(spark.createDataFrame(asked, "q long, text string"), spark.createDataFrame(titles, "t long, title string"), "q", "t")
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "forall" in plan(got)
+
+
+def test_a_long_text_is_split_once(spark):
+    text = " ".join(f"Sentence number {i} of a very long text." for i in range(6_000))
+    x = spark.createDataFrame([(1, text), (2, None), (3, "Short.")], "k long, text string").select("k", items.rebuilt_text(F.col("text")).alias("t"))
+    began = time.monotonic()
+    assert {r.k: r.t for r in x.collect()} == {1: text, 2: None, 3: ""}
+    assert time.monotonic() - began < 12  # split again for each of 2,000 windows, it took far longer
