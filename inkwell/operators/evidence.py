@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..functions.text import normalize
 from ..sources.package import ship
 
 SEED_WORDS = 6
+TOGETHER = 1_000_000  # characters of texts that are judged side by side
 
 
 def grounding_label(score: Column, grounded: float = 90.0, partial: float = 78.0) -> Column:
@@ -123,12 +125,66 @@ def align_fuzzy(docs: DataFrame, quotes: DataFrame, d_id: str = "doc_id", q_id:
     return found.select(F.col("d").alias(d_id), F.col("q").alias(q_id), "start", "end", "score", grounding_label(F.col("score"), 90.0, cutoff).alias("label"))
 
 
-def best_place(quote: str, text: str, cutoff: float) -> tuple[int, int, float] | None:
+def stretches(pairs: list[tuple[str, str]], cutoff: float) -> list[list[tuple[int, int]]]:
+    """For each (quote, text): stretches (from, to) of starts at which a window of the quote's length may reach ``cutoff``, in order.
+
+    Half a quote's starts are judged at once by the common subsequence with the text that all their windows lie in, which
+    none of them passes; bits of a subsequence stand in 64-bit words, all stretches of quotes of one length side by side.
+    """
+    import numpy as np
+
+    out: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    by_size: dict[int, list[int]] = {}
+    for i, (quote, _) in enumerate(pairs):
+        by_size.setdefault(len(quote), []).append(i)
+    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+    for m, own in by_size.items():
+        step, n_words = max(1, m // 2), -(-m // 64)
+        wide, masks, places, ends, at = m + step - 1, [[] for _ in range(n_words)], [], [], 0
+        for i in own:
+            quote, text = points(pairs[i][0]), points(pairs[i][1])
+            letters, of = np.unique(quote, return_inverse=True)
+            rank = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+            rank = np.where(letters[rank] == text, rank, len(letters))
+            for w in range(n_words):
+                bits = np.zeros(len(letters) + 1, "u8")
+                part = of[64 * w : 64 * w + 64]
+                np.bitwise_or.at(bits, part, np.uint64(1) << np.arange(len(part), dtype="u8"))
+                masks[w].append(np.append(bits[rank], np.zeros(wide, "u8")))
+            starts = np.arange(0, len(text) - m + 1, step)
+            places.append(starts + at)
+            ends.append(len(starts))
+            at += len(text) + wide
+        mask, place = [np.concatenate(x) for x in masks], np.concatenate(places)
+        rows = [np.full(len(place), ~np.uint64(0)) for _ in range(n_words)]
+        for j in range(wide):
+            carry = None
+            for w in range(n_words):
+                row = rows[w]
+                hit = row & mask[w][place + j]
+                total = row + hit
+                over = total < row
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype("u8")
+                rows[w] = total | (row - hit)
+        full = [np.uint64((1 << min(64, m - 64 * w)) - 1) for w in range(n_words)]
+        common = m - sum(np.bitwise_count(r & f).astype(np.int64) for r, f in zip(rows, full))
+        able, begin = 100 * common / m >= cutoff - 1e-9, 0
+        for i, n in zip(own, ends):
+            last = len(pairs[i][1]) - m + 1
+            out[i] = [(k * step, min(last, (k + 1) * step)) for k in np.flatnonzero(able[begin : begin + n]).tolist()]
+            begin += n
+    return out
+
+
+def best_place(quote: str, text: str, cutoff: float, among: list[tuple[int, int]] | None = None) -> tuple[int, int, float] | None:
     """(start, end, score) of the window of ``text`` most like ``quote``, the first of equals; None where all are below ``cutoff``.
 
     Windows have the quote's length; before the text's start and past its end they are cut. No window is left out: from one
     to the next the common subsequence grows by one at most, so where it lacks k, the next k - 1 windows can't reach
-    what is needed. A text shorter than the quote is looked for in the quote, and counts as a whole.
+    what is needed; ``among`` has the stretches of starts that may, where they are known. A text shorter than the quote is looked for in the quote, and counts as a whole.
     """
     if not quote or not text:
         return None
@@ -143,22 +199,27 @@ def best_place(quote: str, text: str, cutoff: float) -> tuple[int, int, float] |
         masks[c] = masks.get(c, 0) | 1 << i
     found = False
 
-    def lacks(start: int, end: int) -> int:
-        """What the window lacks of the subsequence that it needs to be the best; keeps it where it lacks nothing."""
+    def common(start: int, end: int) -> int:
+        """The window's common subsequence; the window is kept where it is the best."""
         nonlocal best, found
-        size, c = m + end - start, _common(masks, m, text[start:end])
-        score = 200 * c / size
+        c = _common(masks, m, text[start:end])
+        score = 200 * c / (m + end - start)
         if score >= best[0] and (not found or score > best[0] or start < best[2]):
             best, found = (score, 0, start, end), True
-        return max(1, math.ceil(best[0] * size / 200 - 1e-9) - c)
+        return c
 
     s = 0
-    while s <= len(text) - m:
-        s += lacks(s, s + m)
-    least = int(cutoff * m / (200 - cutoff))  # a shorter window can't reach the cutoff
-    for n in range(m - 1, max(least, 1) - 1, -1):
-        lacks(0, n)
-        lacks(len(text) - n, len(text))
+    for begin, end in [(0, len(text) - m + 1)] if among is None else among:
+        s = max(s, begin)
+        while s < end:
+            c = common(s, s + m)
+            s += max(1, math.ceil(best[0] * 2 * m / 200 - 1e-9) - c)
+    least = max(int(cutoff * m / (200 - cutoff)), 1)  # a shorter window can't reach the cutoff
+    for head in (True, False):
+        n = m - 1
+        while n >= least:
+            c = common(0, n) if head else common(len(text) - n, len(text))
+            n = min(n - 1, int(200 * c / max(best[0], 1e-9) + 1e-6) - m)  # a shorter window shares no more, and can't be longer than that for it
     return (best[2], best[3], best[0]) if found else None
 
 
@@ -178,14 +239,26 @@ def align_pairs(pairs: DataFrame, key: list[str], cutoff: float = 78.0, least: i
         import pandas as pd
 
         for part in parts:
-            out = []
+            out, some, size = [], [], 0
+
+            def looked() -> None:
+                known = iter(stretches([(bare, flat) for _, _, bare, flat, _, long in some if long], cutoff))
+                for k, quote, bare, flat, text, long in some:
+                    if hit := best_place(bare, flat, cutoff, next(known) if long else None):
+                        places = flattened(text)[1]
+                        out.append((*k, quote, places[hit[0]], places[min(hit[1], len(flat))], round(hit[2], 1)))
+                some.clear()
+
             for *k, quote, text in part.itertuples(index=False):
                 bare = " ".join(quote.split())
                 if len(bare) < least:
                     continue
-                flat, places = flattened(text)
-                if hit := best_place(bare, flat, cutoff):
-                    out.append((*k, quote, places[hit[0]], places[min(hit[1], len(flat))], round(hit[2], 1)))
+                flat = re.sub(r"\s+", " ", text)
+                some.append((k, quote, bare, flat, text, 0 < len(bare) <= len(flat) <= TOGETHER and bare not in flat))
+                if (size := size + len(flat)) > TOGETHER:
+                    looked()
+                    size = 0
+            looked()
             yield pd.DataFrame(out, columns=[*key, "quote", "start", "end", "score"])
 
     found = x.mapInPandas(run, f"{kinds}, quote string, start long, end long, score double")
