@@ -17,7 +17,7 @@ from .vocabulary import STEP, Reader, dealt, frequent, pack, runs, unpack, vocab
 
 DISCOUNT = 0.75  # taken off the count of each pair and triple, for what was never seen after its context
 SHARD = 1_000_000  # places of the corpus in a shard, about
-CLASS = 500_000  # places after a word from which on its shard is cut by the word before
+CLASS = 500_000  # places after a word from which on they are dealt over shards by the word before; no count depends on it
 HOT = 262_143  # most words whose counts are with every task
 COLD = HOT  # code of the others
 SCALE = 4_096.0  # steps of a stored probability for each power of ten
@@ -37,7 +37,9 @@ class Words:
     """Codes of the frequent words by rank; others have COLD, and their ids stand beside them."""
 
     def __init__(self, ids: np.ndarray, n: np.ndarray):
-        self.ids, self.n, self._by_id = ids, n, None
+        self.ids, self.n, self._by_id, self._classes = ids, n, None, None
+        k = -(-n // CLASS)
+        self.classes = k[k > 1]  # of words as contexts: counts fall, so those with more than one come first
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         if not len(self.ids):
@@ -58,15 +60,25 @@ class Words:
         return out
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_by_id": None}
+        return self.__dict__ | {"_by_id": None, "_classes": None}
 
     def context(self, w2: np.ndarray, code2: np.ndarray, w1: np.ndarray) -> np.ndarray:
         """The id of the context word, by class of the word before where it is so frequent that it has classes."""
-        k = np.append(np.maximum(1, -(-self.n // CLASS)), 1).astype(np.uint64)[np.minimum(code2, len(self.ids))]
+        k = np.append(self.classes, 1).astype(np.uint64)[np.minimum(code2, len(self.classes))]
         out, many = w2.copy(), np.flatnonzero(k > 1)
         out[many] = words.mixed(w2[many] + np.uint64(1) + words.mixed(w1[many]) % k[many])
         return out
 
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, codes): the context ids of all words that have classes, in order, and whose they are."""
+        if self._classes is None:
+            k = self.classes
+            code = np.repeat(np.arange(len(k)), k)
+            ids = words.mixed(self.ids[code] + np.uint64(1) + (np.arange(len(code)) - np.repeat(np.cumsum(k) - k, k)).astype(np.uint64))
+            order = np.argsort(ids)
+            self._classes = ids[order], code[order]
+        return self._classes
+
     def long(self, code: np.ndarray, cold: np.ndarray) -> np.ndarray:
         out = np.append(self.ids, np.uint64(0))[np.minimum(code, len(self.ids))]
         out[code == COLD] = cold
@@ -126,20 +138,55 @@ class Keys:
         (self.pair_c, self.pair_v), (self.history_c, self.history_u) = divmod(pair, wide3), divmod(history, wide1)
 
 
+def within(k: Keys, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(count of each pair, places after each context, how many words follow it), of the places given alone."""
+    n_pair = np.bincount(k.pair, n, len(k.pair_c))
+    return n_pair, np.bincount(k.pair_c, n_pair, len(k.ctx)), np.bincount(k.pair_c[n_pair > 0], minlength=len(k.ctx))
+
+
+def over_classes(w: Words, k: Keys, n: np.ndarray, kinds: np.ndarray, told: list[tuple[str, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, where a context that is a class of a word has the counts of that word's pairs over all its classes.
+
+    ``told`` are those pairs, (context, block of ``pack``), and pairs that stand at none of the places; what isn't among
+    them was never seen. ``kinds`` is how many words follow each word that has classes.
+    """
+    n_pair, n_ctx, kinds2 = within(k, n)
+    ids, code = w.contexts()
+    c, own = np.flatnonzero(np.isin(k.ctx, ids)), np.zeros(len(k.ctx), bool)
+    code, own[c] = code[np.searchsorted(ids, k.ctx[c])], True
+    n_ctx[c], kinds2[c] = w.n[code], kinds[code]
+    n_pair[own[k.pair_c]] = 0
+    begins = np.searchsorted(k.pair_c, np.arange(len(k.ctx) + 1))
+    for ctx, block in told:
+        c = int(np.searchsorted(k.ctx, np.uint64(int(ctx))))
+        if c == len(k.ctx) or k.ctx[c] != np.uint64(int(ctx)):
+            continue
+        code3, cold3, n3 = unpack(block)
+        w3 = w.long(code3, cold3)
+        order, asked = np.argsort(w3), k.w3[k.pair_v[begins[c] : begins[c + 1]]]
+        at = np.searchsorted(w3, asked, sorter=order)
+        hit = np.flatnonzero(at < len(w3))
+        hit = hit[w3[order[at[hit]]] == asked[hit]]
+        n_pair[begins[c] + hit] = n3[order[at[hit]]]
+    return n_pair, n_ctx, kinds2
+
+
 class Trie:
     """Contexts, the words after each, the words before each, and the triples of both, of counted places (ctx, w1, w3, n).
 
     Levels are Elias-Fano sequences: keys within a context stand as ranks past the context's own; pointers are the
     places at which a context's keys begin; a triple's last word is its place among the words after its context.
     Probabilities less their discount, and what the discounts leave for shorter contexts, are 16-bit steps.
+    ``whole`` are the counts of pairs and contexts where these places aren't all there are of a context.
     """
 
-    def __init__(self, k: Keys, n: np.ndarray):
+    def __init__(self, k: Keys, n: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         seen = np.flatnonzero(n > 0)
-        n_pair, n_history = np.bincount(k.pair, n, len(k.pair_c)), np.bincount(k.history, n, len(k.history_c))
+        n_pair, n_ctx, kinds2 = whole or within(k, n)
+        n_history = np.bincount(k.history, n, len(k.history_c))
         p, h = np.flatnonzero(n_pair > 0), np.flatnonzero(n_history > 0)
         level = lambda size, at: np.bincount(at, minlength=size) > 0
-        in_c, in_v, in_u = level(len(k.ctx), k.pair_c[p]), level(len(k.w3), k.pair_v[p]), level(len(k.w1), k.history_u[h])
+        in_c, in_v, in_u = n_ctx > 0, level(len(k.w3), k.pair_v[p]), level(len(k.w1), k.history_u[h])
         c_of, v_of, u_of = (np.cumsum(x) - 1 for x in (in_c, in_v, in_u))
         self.contexts, self.after, self.before = EliasFano(k.ctx[in_c]), EliasFano(k.w3[in_v]), EliasFano(k.w1[in_u])
         of_pair, of_history = c_of[k.pair_c[p]], c_of[k.history_c[h]]
@@ -153,8 +200,7 @@ class Trie:
         self.triples = EliasFano(triple)
         n_triple, owner = np.bincount(t, n[seen], len(triple)), np.zeros(len(triple), np.int64)
         owner[t] = at
-        n_ctx = np.bincount(of_pair, n_pair[p], self.contexts.n)
-        kinds2, kinds3 = np.bincount(of_pair, minlength=self.contexts.n), np.bincount(owner, minlength=len(h))
+        n_ctx, kinds2, kinds3 = n_ctx[in_c], kinds2[in_c], np.bincount(owner, minlength=len(h))
         less = lambda x: np.maximum(x - DISCOUNT, 0)
         self.p2, self.rest2, self.p3, self.rest3 = mapped(*(quantised(x) for x in (less(n_pair[p]) / n_ctx[of_pair], np.minimum(DISCOUNT * kinds2 / n_ctx, 1), less(n_triple) / n_history[h][owner], np.minimum(DISCOUNT * kinds3 / n_history[h], 1))))
 
@@ -194,15 +240,64 @@ def _over(chunk: str, shards: int) -> int:
     return int(hashlib.blake2b(chunk.encode(), digest_size=6).hexdigest(), 16) % shards
 
 
-PLACES, SUMS, ROWS = 0, 1, 2  # kinds of blocks: places for a shard, a stretch's sums by row, a stretch's rows
+PLACES, SUMS, ROWS, PAIRS = 0, 1, 2, 3  # kinds of blocks: places for a shard, a stretch's sums by row, a stretch's rows, pairs of a context
+
+
+def counted_pairs(x: DataFrame, w: Words, clashes: np.ndarray, shards: int) -> DataFrame:
+    """Rows (word, kinds, block) of the words that have classes: how many words follow it in ``x``, and how often the frequent ones do.
+
+    Pairs are counted in each stretch, then by shards of pairs; a word's own list has at most as many as ``w`` has words.
+    """
+    many = len(w.classes)
+
+    def listed(c2: np.ndarray, h3: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one place of each different pair, its count)."""
+        h, v = ranked(h3)
+        order, begins = runs(c2.astype(np.int64) * max(1, len(h)) + v)
+        return order[begins], np.add.reduceat(n[order], begins) if len(begins) else begins
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = Reader(b.column(0), b.column(1), words.BLANK, clashes, True)
+            for lo in range(0, len(r.starts), STEP):
+                hi, before = min(lo + STEP, len(r.starts)), min(lo, 1)
+                h, row = r.ids(lo - before, hi), r.row[lo - before : hi]
+                code = w.codes(h)
+                i = np.flatnonzero((row[1:] == row[:-1]) & (code[:-1] < many))
+                rep, n = listed(code[i], h[i + 1], np.ones(len(i), np.int64))
+                c2, h3, code3 = code[i[rep]], h[i[rep] + 1], code[i[rep] + 1]
+                rows = [(s, pack(c2[o], code3[o], h3[o][code3[o] == COLD], n[o].astype("u4"))) for s, o in dealt((words.mixed(h3 + words.mixed(c2.astype("u8"))) % np.uint64(shards)).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([o for _, o in rows], pa.binary())], names=["shard", "block"])
+
+    def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["word", "kinds", "block"])
+
+    def add(t: pa.Table) -> pa.Table:
+        parts = [unpack(b) for b in t.column("block").to_pylist()]
+        c2, h3, code3, n = (np.concatenate(a) for a in zip(*((c, w.long(code, cold), code, n.astype(np.int64)) for c, code, cold, n in parts), strict=True))
+        rep, n = listed(c2, h3, n)
+        c2, code3, out = c2[rep], code3[rep], []
+        for word, own in dealt(c2.astype(np.int64)):
+            hot = own[code3[own] != COLD]
+            out.append((word, len(own), pack(code3[hot], n[hot].astype("u8"))))
+        return table(out)
+
+    def whole(t: pa.Table) -> pa.Table:
+        code3, n = (np.concatenate(a) for a in zip(*map(unpack, t.column("block").to_pylist()), strict=True))
+        order = np.argsort(code3)
+        return table([(t.column("word")[0].as_py(), sum(t.column("kinds").to_pylist()), pack(code3[order], np.zeros(0, "u8"), n[order]))])
+
+    rows = "word int, kinds long, block binary"
+    return x.select("part", "text").mapInArrow(count, "shard int, block binary").groupBy("shard").applyInArrow(add, rows).groupBy("word").applyInArrow(whole, rows)
 
 
 def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_tokens, n_known, train_tokens, base_score, score) of every row, the model learnt from those where ``learn`` holds.
 
     Words are lowered in A-Z and end with an end mark. The model interpolates triples, pairs and smoothed words by absolute
-    discounting; a text's first word stands by itself. A context that would fill more than a quarter of a shard is kept
-    apart by classes of the word before it: all counts are used, none is cut off. Shards are cut by context, so each holds
+    discounting; a text's first word stands by itself. The places of a context that would fill more than half a shard are dealt
+    by classes of the word before it; its pairs are counted over all classes first, so scores are those of the whole
+    whatever is dealt. Shards are cut by context, so each holds
     whatever its probabilities need but the counts of the words themselves; those of the 262,143 most frequent words are with
     every task, the places of other words first go by the shards of the vocabulary. Within a stretch of about a million
     words a triple is sent once, with the rows that hold it, which are read a stretch at a time; sums come back by stretch. So one triple that
@@ -218,6 +313,12 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     tokens, kinds = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     w = Words(*frequent(vocab, HOT))
     shards, rare_shards = max(1, -(-tokens // SHARD)), partitions(spark)
+    many = len(w.classes)
+    kinds_after = np.zeros(many, np.int64)
+    if many:
+        pairs = at.put(counted_pairs(x.where("learn"), w, clashes, max(1, -(-int(w.n[:many].sum()) // SHARD))), "pairs")
+        for word, k in pairs.select("word", "kinds").collect():
+            kinds_after[word] = k
     list_type = pa.list_(docs.select(id_col).limit(0).toArrow().schema.field(0).type)
     names = ["shard", "kind", "chunk", "ids", "digests", "block"]
 
@@ -308,26 +409,45 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
             rows.append(sums(chunk, own, d, c3, w2 == 0))
             i = np.flatnonzero(w2 > 0)
             short = np.where(known, (place * rare_shards + own_shard + 1), 0).astype(np.uint64)
-            parts.append((w.context(w2, code2, w1)[i], w1[i], code1[i], short[i], np.full(len(i), COLD, "u4"), c3[i], doc[i] | np.uint64(len(chunks) << 32), learnt[i]))
+            parts.append((w.context(w2, code2, w1)[i], w1[i], code1[i], short[i], np.full(len(i), COLD, "u4"), c3[i], doc[i] | np.uint64(len(chunks) << 32), learnt[i], code2[i]))
             chunks.append(chunk)
         if parts:
-            rows += sent("|".join(chunks), tuple(np.concatenate(p) for p in zip(*parts, strict=True)))
+            *places, code2 = (np.concatenate(p) for p in zip(*parts, strict=True))
+            rows += sent("|".join(chunks), tuple(places))
+            own = np.flatnonzero(code2 < many)
+            rows += rare_pairs(places[0][own], code2[own], places[3][own], places[7][own])
         return pa.Table.from_batches([batch(rows)])
 
+    def rare_pairs(ctx: np.ndarray, code2: np.ndarray, short: np.ndarray, learnt: np.ndarray) -> Iterator[tuple]:
+        """For each class that asks for them, pairs of words that have classes and rare words, all of whose places are here."""
+        ids, v = ranked(short)
+        pair, of = ranked(code2.astype(np.int64) * max(1, len(ids)) + v)
+        n = np.bincount(of, learnt, len(pair)).astype("u8")
+        seen = np.flatnonzero(n[of] > 0)
+        of = of[seen]
+        for _, i in dealt(np.searchsorted(w.contexts()[0], ctx[seen])):
+            each = np.unique(of[i])
+            c = ctx[seen[i[0]]]
+            yield int(_shard(c[None], shards)[0]), PAIRS, str(c), None, None, pack(np.full(len(each), COLD, "u4"), ids[pair[each] % len(ids)], n[each])
+
     def answer(t: pa.Table) -> pa.Table:
         """Build a shard's trie from the places to learn from, and add up the scores of all its places by stretch and row."""
         t = t.select(names)
-        own = np.flatnonzero(t.column("kind").to_numpy() == PLACES)
+        kind = t.column("kind").to_numpy()
+        own, others, told = (np.flatnonzero(x) for x in (kind == PLACES, (kind == SUMS) | (kind == ROWS), kind == PAIRS))
         if not len(own):
-            return t
+            return t.take(pa.array(others))
         places = t.take(pa.array(own))
         blocks = places.column("block")
-        parts = [unpacked(w, b.as_py()) for b in blocks]
-        ends = np.cumsum([len(b[0]) for b in parts])
-        ctx, w1, w3, c3, n = (np.concatenate([b[i] for b in parts]) for i in range(5))
-        del parts
+        parts = list(map(list, zip(*(unpacked(w, b.as_py()) for b in blocks), strict=True)))
+        ends = np.cumsum([len(b) for b in parts[0]])
+        ctx, w1, w3, c3, n = (np.concatenate(parts.pop(0)) for _ in range(5))  # a column's parts go as it is put together
         k = Keys(ctx, w1, w3)
-        p = np.log10(Trie(k, n).probability(k, 10 ** log1(c3)))
+        del ctx, w1, w3
+        told = t.take(pa.array(told))
+        told = list(zip(told.column("chunk").to_pylist(), told.column("block").to_pylist(), strict=True))
+        p = np.log10(Trie(k, n, over_classes(w, k, n, kinds_after, told)).probability(k, 10 ** log1(c3)))
+        del k, n, c3, told
         number: dict[str, int] = {}
         refs, scores, begin = [], [], 0
         for chunk, b, end in zip(places.column("chunk").to_pylist(), blocks, ends, strict=True):  # the rows of one block at a time
@@ -342,7 +462,6 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
         for i, own in dealt((ref >> np.uint64(32)).astype(np.int64)):
             none = np.zeros(len(own))
             rows.append((0, SUMS, chunks[i], None, None, pack((ref[own] & np.uint64(0xFFFFFFFF)).astype("u4"), none, none, none, score[own])))
-        others = np.flatnonzero(t.column("kind").to_numpy() != PLACES)
         return pa.concat_tables([t.take(pa.array(others)), pa.Table.from_batches([batch(rows)])])
 
     def gather(t: pa.Table) -> pa.Table:
@@ -364,6 +483,10 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     v = vocab.select(F.expr(f"cast(pmod(h, {rare_shards}) as int)").alias("shard"), "h", "n")
     looked = x.mapInArrow(scan(True), block).groupBy("shard").cogroup(v.groupBy("shard")).applyInArrow(look_up, block)
     places = x.mapInArrow(scan(False), block).unionByName(looked)
+    if many:
+        ids, code = w.contexts()
+        classes = spark.createDataFrame(pa.table({"word": pa.array(code, pa.int32()), "shard": pa.array(_shard(ids, shards), pa.int32()), "chunk": pa.array([str(i) for i in ids], pa.string())}))
+        places = places.unionByName(pairs.join(F.broadcast(classes), "word").select("shard", F.lit(PAIRS).alias("kind"), "chunk", F.lit(None).cast(f"array<{kind}>").alias("ids"), F.lit(None).cast("binary").alias("digests"), "block"))
     answers = places.groupBy("shard").applyInArrow(answer, block)
     rows = answers.groupBy("chunk").applyInArrow(gather, f"id {kind}, digest binary, copies long, " + ", ".join(f"{c} double" for c in _SUMS))
     rows = rows.groupBy("id", "digest").agg(F.sum("copies").alias("copies"), *[F.sum(c).alias(c) for c in _SUMS])

@@ -197,6 +197,32 @@ def test_lm_scoring(spark, monkeypatch, tmp_path, docs, step, hot):
         assert g[6] == pytest.approx(w[6], abs=1.3e-4 * w[2])  # a step of the stored probabilities for each token, at most
 
 
+@pytest.mark.parametrize(("step", "hot"), [(1 << 20, 262_143), (101, 12)])
+def test_scores_do_not_depend_on_classes(spark, monkeypatch, step, hot):
+    """The places of frequent contexts are dealt by the word before them, and every score stays that of the whole corpus."""
+    from pyspark import cloudpickle
+
+    docs = lines(10, 80)
+    monkeypatch.setattr(language_model, "STEP", step)
+    monkeypatch.setattr(language_model, "SHARD", 500)
+    monkeypatch.setattr(language_model, "frequent", lambda v, most: vocabulary.frequent(v, hot))
+    df = spark.createDataFrame(docs, DOCS)
+    cloudpickle.register_pickle_by_value(language_model)  # so that workers have the changed CLASS too
+    try:
+        got = []
+        for size in (20, 10**9):
+            monkeypatch.setattr(language_model, "CLASS", size)
+            rows = language_model.lm_scores(df, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1).collect()
+            got.append(sorted(((r["doc_id"], r["n_tokens"], r["base_score"], r["score"]) for r in rows), key=lambda r: (str(r[0]), r[1], r[2])))
+    finally:
+        cloudpickle.unregister_pickle_by_value(language_model)
+    want = sorted(((r[0], r[2], r[5], r[6]) for r in plain_lm(docs)), key=lambda r: (str(r[0]), r[1], r[2]))
+    for cut, uncut, plain in zip(*got, want, strict=True):
+        assert cut[:2] == uncut[:2] == plain[:2]
+        assert cut[3] == pytest.approx(uncut[3], rel=1e-9)
+        assert cut[3] == pytest.approx(plain[3], abs=1.3e-4 * plain[1])
+
+
 def test_classes_of_history_still_sum_to_one():
     """With the words before it in classes, the probabilities after a context sum to 1, but for the steps they are kept in."""
     rng = np.random.default_rng(4)
