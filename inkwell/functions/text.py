@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Words that never count as tokens, and suffixes that are cut where four characters stay, the first that fits.
 STOP_WORDS = "a an the of and or to in for with on at by is are be was were as that this these those from into per which who whom what when where how must should may can will shall not no if then than there their its it's it".split()
 SUFFIXES = "ational ations ation ments ment ings ing ives ive ies ical ally als al ors or ers er ed es s".split()
+STEM = f"^(.{{4,}}?)({'|'.join(SUFFIXES)})$"
 KEY_STOP_WORDS = "a an the is are was were of in to and or for that this it its be by with as at on not no if from".split()
 
 
@@ -27,7 +28,7 @@ def line_key(text: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    return F.regexp_replace(word, f"^(.{{4,}}?)({'|'.join(SUFFIXES)})$", "$1")
+    return F.regexp_replace(word, STEM, "$1")
 
 
 def plain_tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, evidence, grading, retrieval, session
+from ..operators import chunking, evidence, grading, lexical, retrieval, session
 from ..sources.tables import table
 from . import detail_queries, model_queries, question_queries, ranking_queries, rendering_queries, review_queries, segment_queries, structure_queries
 from .queries_sql import NORM, SENTENCES, TOKENS
@@ -44,8 +44,7 @@ def doc_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
-    return retrieval.top_k(hits, "item_id", "doc_id", "score", 10)
+    return lexical.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 10)
 
 
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -75,9 +74,9 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense rankings of the same questions in one: vector ids count as document ids, every fiftieth as a question."""
-    lexical = retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
+    found = retrieval.top_k(retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id"), "item_id", "doc_id", "score", 40)
     near = _dense(spark, d, 40).select(F.expr("q_id div 50").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
-    both = retrieval.top_k(lexical, "item_id", "doc_id", "score", 40).unionByName(retrieval.top_k(near, "item_id", "doc_id", "score", 40))
+    both = found.unionByName(retrieval.top_k(near, "item_id", "doc_id", "score", 40))
     return retrieval.top_k(retrieval.reciprocal_rank_fusion(both, "item_id", "doc_id"), "item_id", "doc_id", "rrf", 60)
 
 
