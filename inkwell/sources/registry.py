@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators.retrieval import B, K1, inner_product, term_counts, top_k
+from ..operators.lexical import best_rows, term_rows
+from ..operators.retrieval import inner_product, top_k
 from .shared import read_or_empty
 
 SLOTS = 64  # parts of the folder; a document lies in one, by its hash
@@ -29,19 +30,18 @@ def register(chunks: DataFrame, folder: str, doc: str, item: str, text: str | No
 
     Data are written first and the listing last, so that a reader never sees a document before its chunks, and an append
     that failed is as if it had not been. One writer at a time is assumed. Nothing is rewritten: documents registered
-    before stay where they are. Null documents aren't registered. Files hold their documents in order.
+    before stay where they are. Null documents aren't registered. Files hold their documents in order. Vectors of a document meet
+    in a task; words are written by the tasks that count them, a row for each chunk.
     """
     spark = chunks.sparkSession
     last = read_or_empty(spark, f"{folder}/listing", LISTING).agg(F.max("version")).first()[0]
     version = F.lit(0 if last is None else last + 1).cast("long")
     x = chunks.where(F.col(doc).isNotNull()).select(F.col(doc).cast("string").alias("doc"), F.col(item).alias("item"), _slot(doc).alias("slot"), version.alias("version"), *[F.col(c).alias(name) for c, name in ((text, "text"), (embedding, "embedding")) if c])
-    keep = lambda df, name: df.repartition("slot", "doc").sortWithinPartitions("slot", "doc").write.mode("append").partitionBy("slot").parquet(f"{folder}/{name}")
+    keep = lambda df, name: df.sortWithinPartitions("slot", "doc").write.mode("append").partitionBy("slot").parquet(f"{folder}/{name}")
     if embedding:
-        keep(x.select("doc", "version", "slot", "item", "embedding"), "vectors")
+        keep(x.select("doc", "version", "slot", "item", "embedding").repartition("slot", "doc"), "vectors")
     if text:
-        key = F.struct("doc", "item")
-        counts = term_counts(x.select(key.alias("k"), "text"), "k").select("k.doc", "k.item", "dl", "t", "tf")
-        keep(counts.withColumn("slot", _slot("doc")).withColumn("version", version), "words")
+        keep(term_rows(x, ["doc", "item"]).withColumn("slot", _slot("doc")).withColumn("version", version), "counts")
     x.groupBy("doc", "slot", "version").agg(F.count(F.lit(1)).alias("chunks")).write.mode("append").parquet(f"{folder}/listing")
 
 
@@ -68,13 +68,6 @@ def lexical_search(questions: DataFrame, folder: str, q_id: str, doc: str, text:
     Counts of chunks and of words in chunks are each document's own, as each has its own retriever. A word in more than half of the
     chunks weighs a quarter of the document's mean weight.
     """
-    q = questions.select(q_id, F.col(doc).cast("string").alias("doc"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    w = _read(questions.sparkSession, folder, "words", q)
-    size = w.select("doc", "item", "dl").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = w.where("t is not null")
-    df = tf.groupBy("doc", "t").agg(F.count(F.lit(1)).alias("df")).join(size, "doc").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = F.avg("raw").over(Window.partitionBy("doc")) * 0.25
-    idf = df.withColumn("idf", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw"))).select("doc", "t", "avgdl", "idf")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = q.join(tf, ["doc", "t"]).join(idf, ["doc", "t"]).groupBy(q_id, "doc", "item").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top_k(hits, q_id, "item", "score", k)
+    q = questions.where(F.col(doc).isNotNull()).select(q_id, F.col(doc).cast("string").alias("doc"), F.explode(tokens(F.col(text))).alias("t")).distinct()
+    rows = _read(questions.sparkSession, folder, "counts", q)
+    return best_rows(q, rows, q_id, "item", k, within="doc")

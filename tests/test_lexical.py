@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as T
 from inkwell.operators import lexical
 from inkwell.plans.queries import QUERIES
+from inkwell.sources import registry
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -107,3 +108,27 @@ def test_neither_words_nor_pairs_are_shuffled(spark, name):
     assert "MapInArrow" in text
     for node in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin", "BroadcastNestedLoopJoin"):
         assert node not in text
+
+
+def test_registered_words_are_written_and_searched_where_they_are(spark, tmp_path):
+    r = random.Random(6)
+    docs = [(f"d{i % 3}", i, ws) for i, ws in made(r, 90)]
+    chunks = spark.createDataFrame([(d, i, " ".join(ws)) for d, i, ws in docs] + [(None, 500, "w1x")], "doc string, item long, text string").repartition(4)
+    shuffled = []
+    write = lexical.term_rows
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(registry, "term_rows", lambda *a: shuffled.append(plan(x := write(*a))) or x)
+        registry.register(chunks, str(tmp_path), "doc", "item", "text")
+    assert len(shuffled) == 1 and "hashpartitioning" not in shuffled[0]  # the counts aren't dealt anew
+    asked = {(q, f"d{q % 4}"): {f"w{i}x" for i in r.sample(range(60), 5)} for q in range(12)}
+    asked[3, "d1"] = asked[3, "d3"]  # the same question of a second document: its best of both
+    questions = spark.createDataFrame([(q, d, " ".join(ws)) for (q, d), ws in asked.items()] + [(77, None, "w1x")], "q long, doc string, text string")
+    got = registry.lexical_search(questions, str(tmp_path), "q", "doc", k=6)
+    hits: dict = {}
+    for (q, d), ws in asked.items():
+        if held := [(i, x) for e, i, x in docs if e == d]:
+            hits.setdefault(q, []).extend((-s.expected, i, d) for _, i, s, _ in plain_bm25({q: ws}, held, 6))
+    want = [(q, d, i, pytest.approx(-s, abs=2e-6), n + 1) for q in sorted(hits) for n, (s, i, d) in enumerate(sorted(hits[q])[:6])]
+    found = sorted(((x.q, x.doc, x.item, x.score, x.rnk) for x in got.collect()), key=lambda x: (x[0], x[4]))
+    assert len(found) == len(want) and all(a == b for a, b in zip(found, want))
+    assert {x[1] for x in found} == {"d0", "d1", "d2"}
