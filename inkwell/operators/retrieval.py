@@ -1,4 +1,4 @@
-"""Lexical and dense retrieval for many questions at once, fusion and precision filters."""
+"""Dense retrieval for many questions at once, term counts, fusion and precision filters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_tokens, stem, tokens
+from ..functions.text import plain_tokens, stem
 from ..sources.package import ship
 
 K1, B = 1.5, 0.75
@@ -32,22 +32,6 @@ def term_counts(corpus: DataFrame, d_id: str, text: str = "text") -> DataFrame:
     return words.join(stems, "w", "left").groupBy(d_id, "dl", "t").agg(F.sum("n").alias("tf"))
 
 
-def bm25(questions: DataFrame, corpus: DataFrame, q_id: str, d_id: str, text: str = "text") -> DataFrame:
-    """Rows (q_id, d_id, score) of all pairs that share a token; one in more than half of the corpus weighs a quarter of the mean idf."""
-    q = questions.select(q_id, F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
-    lengths = corpus.select(d_id, F.size(plain_tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl")).distinct()
-    docs = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = term_counts(corpus, d_id, text).where("t is not null")
-    # counted by tf, so that both uses of the term counts are one and the same shuffle
-    df = tf.groupBy("t").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(docs))  # one row
-    df = df.withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = F.broadcast(df.agg((F.avg("raw") * 0.25).alias("floor")))  # one row
-    idf = df.join(q.select("t").distinct(), "t", "left_semi").crossJoin(floor).select("t", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    joined = q.join(tf.join(idf, "t"), "t")
-    return joined.groupBy(q_id, d_id).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-
-
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 

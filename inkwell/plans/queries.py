@@ -74,7 +74,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and dense rankings of the same questions in one: vector ids count as document ids, every fiftieth as a question."""
-    found = retrieval.top_k(retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id"), "item_id", "doc_id", "score", 40)
+    found = lexical.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 40)
     near = _dense(spark, d, 40).select(F.expr("q_id div 50").alias("item_id"), F.col("vec_id").alias("doc_id"), "score")
     both = found.unionByName(retrieval.top_k(near, "item_id", "doc_id", "score", 40))
     return retrieval.top_k(retrieval.reciprocal_rank_fusion(both, "item_id", "doc_id"), "item_id", "doc_id", "rrf", 60)

@@ -102,7 +102,7 @@ def test_words_are_those_of_the_expressions(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["retrieval_quality", "bm25_topk"])
+@pytest.mark.parametrize("name", ["retrieval_quality", "hybrid_fusion", "bm25_topk"])
 def test_neither_words_nor_pairs_are_shuffled(spark, name):
     text = plan(QUERIES[name](spark, SMALL))
     assert "MapInArrow" in text
